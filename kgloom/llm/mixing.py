@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     rows = rows.withColumn("total", F.sum("source_size").over(all_rows) * F.lit(share))
     rows = rows.withColumn("level", (F.col("total") - F.col("full")) / F.col("open"))
     rows = rows.withColumn("fits", F.when(F.col("level") <= F.col("ratio"), F.col("level")))
-    rows = rows.withColumn("level", F.min("fits").over(all_rows))
+    rows = rows.withColumn("level", F.max("fits").over(all_rows))
     target = F.least(F.col("most"), F.coalesce(F.col("level") * F.col("weight"), F.col("most")))
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
@@ -102,7 +102,7 @@ w AS (SELECT *, [3.0, 1.0, 2.0][(place % 3 + 1)::INT]::DOUBLE AS weight, source_
 l AS (SELECT *, most / weight AS ratio,
        ((sum(source_size) OVER ())::DOUBLE * 1.5 - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
        / sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-t AS (SELECT source, source_size, least(most, coalesce((min(CASE WHEN level <= ratio THEN level END) OVER ()) * weight, most)) AS target FROM l),
+t AS (SELECT source, source_size, least(most, coalesce((max(CASE WHEN level <= ratio THEN level END) OVER ()) * weight, most)) AS target FROM l),
 r AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each_,
        row_number() OVER (PARTITION BY d.source ORDER BY floor(sqrt(size::DOUBLE)), md5(doc_id::VARCHAR), doc_id) AS place,
        ('0x' || substr(md5(coalesce('offset ' || d.source, 'null')), 1, 5))::INT / 1048576.0::DOUBLE AS off
