@@ -15,13 +15,17 @@ is called `ids` or `decoded` it is replaced.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
+import itertools
 import json
 import mmap
 import os
+import re
 import tempfile
+import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.llm.common import documents, text_or_empty
+from kgloom.llm.common import documents, text_or_empty, written
 
 # Fixed value: the pattern by which byte-level BPE splits text before merging; \s is written as the Unicode property.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NEVER = np.int32(2**31 - 1)
 _LONG = 64  # longer words are merged one by one over a heap
-_MEMO = 400_000  # words whose ids a worker keeps; beyond it, it starts anew
+_MEMO = 600_000  # words whose ids a worker keeps; beyond it, it starts anew
 
 
 def byte_letters() -> list[str]:
@@ -251,62 +255,95 @@ class Lexicon:
         return found
 
 
+def _latin_split():
+    """The same split for texts whose characters all lie below U+0250, in the faster standard engine: there the classes are short lists."""
+    kinds = {"L": [], "N": [], "Z": []}
+    for k in range(0x250):
+        kind = "Z" if chr(k) in "\t\n\v\f\r \x85\xa0" else unicodedata.category(chr(k))[0]
+        kinds.get(kind, []).append(f"\\u{k:04x}")
+    letter, number, space = ("".join(kinds[x]) for x in "LNZ")
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+
+class _Places(dict):
+    """Places of words in order of their first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Encoder:
     """Splits texts, looks words up in the lexicon and merges the rest; keeps what it has seen up to a bound."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None = None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.split = regex.compile(_SPLIT).findall
+        self.split, self.latin = regex.compile(_SPLIT).findall, _latin_split()
+        self.beyond = re.compile("[^\\u0000-\\u024f]").search
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
         self._forget()
 
     def _forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.known: list[np.ndarray] = []
-        for content, token in self.vocabulary.special.items():
-            self.at["\0special" + content] = len(self.known)
-            self.known.append(np.array([token], np.int32))
+        self.at = _Places()
+        tokens = list(self.vocabulary.special.items())
+        for content, _ in tokens:
+            self.at["\0special" + content]  # noqa: B018  takes a place
+        self.store = np.array([x for _, x in tokens], np.int32)
+        self.start, self.count = np.arange(len(tokens)), np.ones(len(tokens), np.int64)
 
     def words(self, text: str) -> list[str]:
+        split = self.split if self.beyond(text) else self.latin
         if self.special is None or not any(x in text for x in self.vocabulary.special):
-            return self.split(text)
+            return split(text)
         out: list[str] = []
         for k, piece in enumerate(self.special.split(text)):
-            out += ["\0special" + piece] if k % 2 else self.split(piece)
+            out += ["\0special" + piece] if k % 2 else split(piece)
         return out
 
-    def _learn(self, words: Iterable[str]) -> None:
-        new = list(words)
-        data = [x.encode() for x in new]
-        ids = self.lexicon.find(data) if self.lexicon else [None] * len(new)
+    def _learn(self) -> None:
+        new = [x.encode() for x in itertools.islice(self.at, len(self.count), None)]
+        if not new:
+            return
+        ids = self.lexicon.find(new) if self.lexicon else [None] * len(new)
         rest = [k for k, x in enumerate(ids) if x is None]
-        for k, x in zip(rest, self.vocabulary.merge([data[k] for k in rest]), strict=True):
+        for k, x in zip(rest, self.vocabulary.merge([new[k] for k in rest]), strict=True):
             ids[k] = x
-        for word, x in zip(new, ids, strict=True):
-            self.at[word] = len(self.known)
-            self.known.append(x)
+        count = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.start = np.concatenate([self.start, len(self.store) + np.cumsum(count) - count])
+        self.store, self.count = np.concatenate([self.store, *ids]), np.concatenate([self.count, count])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and the offsets of each text."""
         if len(self.at) > _MEMO:
             self._forget()
-        split = [self.words(x) for x in texts]
-        self._learn(set().union(*split).difference(self.at) if split else ())
-        places = [np.fromiter(map(self.at.__getitem__, x), np.int64, len(x)) for x in split]
-        flat = np.concatenate(places) if places else np.empty(0, np.int64)
-        distinct, flat = np.unique(flat, return_inverse=True)
-        held = [self.known[k] for k in distinct.tolist()]
-        size = np.fromiter(map(len, held), np.int64, len(held))
-        store = np.concatenate(held) if held else np.empty(0, np.int32)
-        start, count = (np.cumsum(size) - size)[flat], size[flat]
+        place = self.at.__getitem__
+        places = []
+        for text in texts:
+            words = self.words(text)
+            places.append(np.fromiter(map(place, words), np.int32, len(words)))
+        self._learn()
+        flat = np.concatenate(places) if places else np.empty(0, np.int32)
+        start, count = self.start[flat], self.count[flat]
         ends = np.cumsum(count)
-        ids = store[np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
-        return ids.astype(np.int32), bounds
+        ids = self.store[np.repeat(start - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, places)])]
+        return ids, bounds
+
+
+_ENCODERS: dict[bytes, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary, compiled: bytes) -> Encoder:
+    """A worker's encoder; tasks that follow in the same worker go on with what it has learnt."""
+    key = hashlib.sha256(compiled).digest() + len(vocabulary.pieces).to_bytes(4, "big")
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(vocabulary, Lexicon.mapped(compiled))
+    return _ENCODERS[key]
 
 
-_PIECE = 4 << 20  # characters that are encoded at a time
+_PIECE = 1 << 20  # characters that are encoded at a time
 
 
 def _pieces(texts: list[str]) -> Iterator[list[str]]:
@@ -342,15 +379,23 @@ def word_counts(docs: DataFrame, vocabulary, flush_at: int = 300_000) -> DataFra
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon_size: int = 1 << 15) -> bytes:
-    """The compiled lexicon of the most frequent words; lexicon_size and the word length bound it."""
+def build_lexicon(docs: DataFrame, vocabulary: Vocabulary, lexicon_size: int = 1 << 16) -> bytes:
+    """The compiled lexicon of the most frequent words: at most lexicon_size of them, of at most 64 bytes, so what is collected and sent is bounded."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    counts = word_counts(docs, sent).where((F.col("n") > 1) & (F.octet_length("word") <= _LONG))
-    top = [x.word.encode() for x in counts.orderBy(F.desc("n"), "word").limit(lexicon_size).collect()]
+    counts = written(word_counts(docs, sent).where((F.col("n") > 1) & (F.octet_length("word") <= _LONG)), "words")
+    # Counts fall into classes by their leading bits, a few hundred at most; the classes that fit are collected whole.
+    counts = counts.withColumn("kind", F.expr("length(bin(n)) * 16 + cast(shiftright(n, greatest(length(bin(n)) - 5, 0)) AS int) % 16"))
+    left, least = lexicon_size, None
+    for row in counts.groupBy("kind").agg(F.count("*").alias("words")).orderBy(F.desc("kind")).collect():
+        left -= row.words
+        if left < 0:
+            break
+        least = row.kind
+    top = [] if least is None else [x.word.encode() for x in counts.where(F.col("kind") >= least).select("word").collect()]
     return Lexicon.compile(dict(zip(top, vocabulary.merge(top), strict=True)))
 
 
-def encode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 16) -> DataFrame:
     """The input with `ids`, the token ids of `text`."""
     sc = docs.sparkSession.sparkContext
     vocabulary = Vocabulary(tokenizer)
@@ -358,7 +403,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 15) -> Data
     compiled = sc.broadcast(build_lexicon(docs, vocabulary, lexicon_size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(table.value, Lexicon.mapped(compiled.value))
+        encoder = _encoder(table.value, compiled.value)
         for batch in batches:
             at = 0
             texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
