@@ -81,13 +81,21 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.cuts - score, -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 12, rate: float = 0.08, decay: float = 2e-5, batch: int = 64) -> Ordinal:
-    """Cumulative-link regression by minibatch AdaGrad; the order of rows is fixed, so refits agree."""
+def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 30, rate: float = 0.1, decay: float = 1e-4, batch: int = 64, screen: float = 3.5) -> Ordinal:
+    """Cumulative-link regression by minibatch AdaGrad; the order of rows is fixed, so refits agree.
+
+    Only features whose documents' mean grade lies `screen` standard errors off the mean get a weight: rare words that
+    mark nothing would else be learnt by heart."""
     weights, squares = np.zeros(1 << _BITS), np.full(1 << _BITS, 1e-3)
     seen = np.bincount(grades, minlength=GRADES)
     if (seen > 0).sum() < 2:
         best = int(seen.argmax()) if seen.sum() else GRADES - 1
         return Ordinal(weights.astype(np.float32), np.where(np.arange(1, GRADES) <= best, -8.0, 8.0))
+    flat, each = np.concatenate(rows), np.repeat(grades, [len(x) for x in rows])
+    shown, total = np.bincount(flat, minlength=1 << _BITS), np.bincount(flat, each, 1 << _BITS)
+    off = np.abs(total / np.maximum(shown, 1) - grades.mean()) * np.sqrt(shown) / grades.std()
+    telling = (off >= screen) & (shown >= 3)
+    rows = [x[telling[x]] for x in rows]
     above = np.clip(1 - np.cumsum(seen)[:-1] / seen.sum(), 1e-3, 1 - 1e-3)
     cuts = np.maximum.accumulate(-np.log(above / (1 - above)) + np.arange(GRADES - 1) * 1e-3)
     cut_squares = np.full(GRADES - 1, 1e-2)
@@ -108,9 +116,8 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, epochs: int = 12, rate: floa
             y, line = grades[part], np.arange(len(part))
             p = np.maximum(full[line, y] - full[line, y + 1], 1e-9)
             up = heavy[y] * (slope[line, y + 1] - slope[line, y]) / p  # of the loss, by the score
-            step = np.bincount(flat, up[own], 1 << _BITS) if len(flat) > 1 << 15 else None
             at, inverse = np.unique(flat, return_inverse=True)
-            grad = (step[at] if step is not None else np.bincount(inverse, up[own], len(at))) / len(part) + decay * weights[at]
+            grad = np.bincount(inverse, up[own], len(at)) / len(part) + decay * weights[at]
             squares[at] += grad**2
             weights[at] -= rate * grad / np.sqrt(squares[at])
             low, high = np.zeros(GRADES + 1), np.zeros(GRADES + 1)
