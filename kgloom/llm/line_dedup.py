@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, text_or_empty
+from kgloom.llm.common import documents, text_or_empty, written
 
 MIN_DOCS = 3
 DEPTH = 3
@@ -55,6 +55,7 @@ def _keys(text: Column) -> Column:
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, dropped): for each document the template keys that it must drop."""
     lines = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(_keys(F.col("text")))).alias("key")).where("key IS NOT NULL")
+    lines = written(lines, "line-keys")  # worked out once, read for the counts and for the answer
     known = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     often = known.where((F.col("n") >= min_docs) & (~F.col("first").eqNullSafe(F.col("last")) | (F.col("first").isNotNull() & F.col("unnamed"))))
     gone = lines.join(often.select("key", "first"), "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
