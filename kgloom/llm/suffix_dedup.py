@@ -12,8 +12,8 @@ To do so over all documents without a row per byte:
    chunks send the hashes of their anchors, packed, to the part that the hash belongs to, once a chunk; parts answer
    with a bit for each: does any other document have it. This is the initial bucketing by q-grams.
 2. Contexts. For anchors that recur, chunks send the hash of the anchor's context (all bytes that windows around it can
-   cover). Parts answer for each: its bytes are a repeat (an earlier document has the whole context), or it is alone, or
-   it is the first of its context in a bucket with other contexts.
+   cover). Parts answer for each: its bytes are a repeat (an earlier document has the whole context), or no other
+   context of its bucket shares half a window with it, or it is the first of its context and may share windows.
 3. Refinement. Only those last ones, one for each distinct context of a bucket, are sent as bytes. Each part refines its
    buckets by bucket pointers to depth `length` and gives, for each window, the smallest document.
 4. Chunks put the windows together, remove what they cover, and give the rest.
@@ -257,23 +257,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
         lead = order[np.searchsorted(of[order], np.arange(len(values)))]
         return values["a"], values["h"], doc[lead], rows[lead], of
 
+    half = -(-(length - gram) // 2)
+
+    def halves(c: Chunk, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the anchor with half a window's rest to its left and to its right, 0 where the document ends before: any window has one or the other."""
+        at, doc = c.place[lead], c.doc[lead]
+        size, data = np.full(len(at), gram + half), c.data + bytes(16 + half + gram)
+        before, after = at - c.starts[doc] >= half, c.ends[doc] - at >= gram + half
+        left = hash_spans(data, np.maximum(at - half, 0), size).astype("<u4") | np.uint32(1)
+        right = hash_spans(data, at, size).astype("<u4") | np.uint32(1)
+        return np.where(before, left, np.uint32(0)), np.where(after, right, np.uint32(0))
+
     def second(batches):
         for row, c in _chunks(batches, length, gram):
-            a, h, doc, _, _ = distinct(c, flagged(row, c))
+            a, h, doc, lead, _ = distinct(c, flagged(row, c))
+            left, right = halves(c, lead)
             cuts = _cut(a % np.uint64(n_parts), n_parts)
-            yield sent([(row["chunk"], p, _blob(a[at], h[at], doc[at])) for p, at in enumerate(cuts) if len(at)])
+            yield sent([(row["chunk"], p, _blob(a[at], h[at], doc[at], left[at], right[at])) for p, at in enumerate(cuts) if len(at)])
 
     def earliest(group: pd.DataFrame) -> pd.DataFrame:
-        """For each context: 8 bytes of its smallest document, and whether its bucket has other contexts."""
-        counts = [len(x) // 24 for x in group["data"]]
-        a, h, doc = (np.concatenate([np.frombuffer(x, k, n, 8 * i * n) for x, n in zip(group["data"], counts, strict=True)]) for i, k in enumerate(("<u8", "<u8", "<i8")))
+        """For each context: has an earlier document it all (1), or is it the first and may share a window with another one (2)?"""
+        counts = [len(x) // 32 for x in group["data"]]
+        layout = (("<u8", 0), ("<u8", 8), ("<i8", 16), ("<u4", 24), ("<u4", 28))
+        a, h, doc, left, right = (np.concatenate([np.frombuffer(x, k, n, i * n) for x, n in zip(group["data"], counts, strict=True)]) for k, i in layout)
         both = np.stack([a, h], axis=1).view([("a", "<u8"), ("h", "<u8")]).ravel()
-        values, of = np.unique(both, return_inverse=True)
+        values, lead, of = np.unique(both, return_index=True, return_inverse=True)
         low = np.full(len(values), _LAST)
         np.minimum.at(low, of, doc)
-        _, bucket, size = np.unique(values["a"], return_inverse=True, return_counts=True)
-        state = np.where(low[of] < doc, 1, np.where((size[bucket] > 1)[of], 2, 0)).astype(np.uint8)
-        # 1: an earlier document has it all; 2: first of its context, the bucket has others; 0: nothing to find.
+        others = np.zeros(len(values), bool)
+        for side_ in (left[lead], right[lead]):
+            # A clash of these hashes only sends a context that is then told apart by its bytes.
+            _, bucket, size = np.unique(_mix(values["a"] * _M1, side_.astype(np.uint64)), return_inverse=True, return_counts=True)
+            others |= (size[bucket] > 1) & (side_ > 0)
+        state = np.where(low[of] < doc, 1, np.where(others[of], 2, 0)).astype(np.uint8)
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "part": group["part"].to_numpy(), "data": [x.tobytes() for x in np.split(state, np.cumsum(counts)[:-1])]})
 
     joined = packed.join(hits, "chunk", "left")
