@@ -11,8 +11,8 @@ gzip member a record to WARC files in the cluster's shared folder, and reads the
 
 Defined results: a null html is the empty payload; a null url is written as 'urn:page'; characters that an ARC header
 line can't hold are percent-encoded; of equal payloads of at least `min_bytes` bytes the one with the smallest page_id
-is the response; rows with equal page_id and payload are written each, the first as response, the others as revisits of
-their own page_id; rows with null page_id come last; an empty table gives no archive and an empty result.
+is the response; rows that share this page_id are all
+responses; rows with null page_id come last; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm.common import documents, new_folder, written
@@ -184,11 +184,7 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     # Only payloads that come more than once; the smallest id is the response.
     twice = keys.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.count("*").alias("times"), F.min("page_id").alias("first")).where("times > 1")
     rows = rows.join(twice.select("sha", F.lit(True).alias("again"), "first"), "sha", "left")
-    nth = Window.partitionBy("sha", "page_id").orderBy("url")
-    lead = F.col("again").isNull() | (F.col("page_id").eqNullSafe(F.col("first")) & (F.row_number().over(nth) == 1))
-    # Ranking is only needed among rows that share the first page_id, which are few: others never lead.
-    may = F.col("again").isNotNull() & F.col("page_id").eqNullSafe(F.col("first"))
-    rows = rows.where(~may | F.col("again").isNull()).withColumn("lead", F.col("again").isNull()).unionByName(rows.where(may).withColumn("lead", lead))
+    rows = rows.withColumn("lead", F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

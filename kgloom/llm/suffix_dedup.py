@@ -196,6 +196,16 @@ def _answers(row: dict, cuts: list[np.ndarray], n: int, kind: str) -> np.ndarray
     return out
 
 
+def _pairs(a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct (a, h) pair, in the pairs' order, and each row's pair."""
+    order = np.lexsort((h, a))
+    new = np.ones(len(a), bool)
+    new[1:] = (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])
+    of = np.empty(len(a), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
 def _blob(*arrays: np.ndarray) -> bytes:
     return b"".join(x.tobytes() for x in arrays)
 
@@ -250,12 +260,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
         """The chunk's distinct contexts: anchor hash, context hash, smallest document, a row that has it there, and each row's context."""
         start, left, size = c.contexts(rows, length, gram)
         h = hash_spans(c.data + bytes(16), start, size) + left.astype(np.uint64) * _M1
-        both = np.stack([c.hash[rows], h], axis=1).view([("a", "<u8"), ("h", "<u8")]).ravel()
-        values, of = np.unique(both, return_inverse=True)
+        some, of = _pairs(c.hash[rows], h)
         doc = c.ids[c.doc[rows]]
         order = np.lexsort((doc, of))
-        lead = order[np.searchsorted(of[order], np.arange(len(values)))]
-        return values["a"], values["h"], doc[lead], rows[lead], of
+        lead = order[np.searchsorted(of[order], np.arange(len(some)))]
+        return c.hash[rows][lead], h[lead], doc[lead], rows[lead], of
 
     half = -(-(length - gram) // 2)
 
@@ -280,14 +289,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
         counts = [len(x) // 32 for x in group["data"]]
         layout = (("<u8", 0), ("<u8", 8), ("<i8", 16), ("<u4", 24), ("<u4", 28))
         a, h, doc, left, right = (np.concatenate([np.frombuffer(x, k, n, i * n) for x, n in zip(group["data"], counts, strict=True)]) for k, i in layout)
-        both = np.stack([a, h], axis=1).view([("a", "<u8"), ("h", "<u8")]).ravel()
-        values, lead, of = np.unique(both, return_index=True, return_inverse=True)
-        low = np.full(len(values), _LAST)
+        lead, of = _pairs(a, h)
+        low = np.full(len(lead), _LAST)
         np.minimum.at(low, of, doc)
-        others = np.zeros(len(values), bool)
+        others = np.zeros(len(lead), bool)
         for side_ in (left[lead], right[lead]):
             # A clash of these hashes only sends a context that is then told apart by its bytes.
-            _, bucket, size = np.unique(_mix(values["a"] * _M1, side_.astype(np.uint64)), return_inverse=True, return_counts=True)
+            _, bucket, size = np.unique(_mix(a[lead] * _M1, side_.astype(np.uint64)), return_inverse=True, return_counts=True)
             others |= (size[bucket] > 1) & (side_ > 0)
         state = np.where(low[of] < doc, 1, np.where(others[of], 2, 0)).astype(np.uint8)
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "part": group["part"].to_numpy(), "data": [x.tobytes() for x in np.split(state, np.cumsum(counts)[:-1])]})
@@ -335,12 +343,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
         if len(starts):
             bucket = refine(data, starts, length)
             shift = base[of] + left[of] - starts
-            # Windows of one bucket lie around one anchor: the anchor's hash and the bytes left of it are part of the name.
-            name = np.stack([a[of].astype(np.int64), bucket * (length + 1) + shift], axis=1)
-            _, inverse = np.unique(np.ascontiguousarray(name).view([("a", "<i8"), ("b", "<i8")]).ravel(), return_inverse=True)
-            low = np.full(int(inverse.max()) + 1, _LAST)
-            np.minimum.at(low, inverse, doc[of])
-            again = low[inverse] < doc[of]
+            low = np.full(int(bucket.max()) + 1, _LAST)
+            np.minimum.at(low, bucket, doc[of])
+            again = low[bucket] < doc[of]
             np.bitwise_or.at(mask, of[again], np.uint64(1) << shift[again].astype(np.uint64))
         cuts = np.cumsum([len(h[0]) for h in heads])[:-1]
         return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "part": group["part"].to_numpy(), "data": [x.tobytes() for x in np.split(mask, cuts)]})

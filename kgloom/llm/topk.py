@@ -40,35 +40,37 @@ class SortedLists:
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], vectors[order]
         self.up = np.argsort(self.vectors, axis=0, kind="stable")  # places by ascending component
+        self.values = np.take_along_axis(self.vectors, self.up, axis=0)
+        self.most = float(np.abs(self.vectors).max(initial=1)) * vectors.shape[1]
 
-    def best(self, own: int, query: np.ndarray, k: int, step: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, own: int, query: np.ndarray, k: int, step: int = 512) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best but for the query's own id."""
         n = len(self.ids)
-        axes = np.flatnonzero(query)
-        # Wide axes tell most; exact bounds need every axis, so all are read in step.
-        weight = query[axes]
-        rising = weight > 0
-        lists = np.where(rising, self.up[::-1][:, axes], self.up[:, axes])  # best first
-        column = np.arange(len(axes))
-        worst = self.vectors[lists[-1], axes] * weight if n else weight
-        low, seen = np.full(n, worst.sum()), np.zeros((n, len(axes)), bool)
-        alive, at = self.ids != own, 0
+        # Bounds are exact in doubles below 2**52; larger products are bounded in whole numbers.
+        kind = np.float64 if self.most * float(np.abs(query).max(initial=1)) < 2**52 else np.int64
+        weight, down = query.astype(kind), query > 0
+        worst = np.where(down, self.values[0], self.values[-1]) * weight
+        low, unread = np.full(n, worst.sum(), kind), np.ones((n, len(query)), kind)
+        column, alive, at = np.arange(len(query)), self.ids != own, 0
         while at < n:
-            rows = lists[at : at + step]
-            got = self.vectors[rows, axes] * weight
-            np.add.at(low, rows.ravel(), (got - worst).ravel())
-            seen[rows, column] = True
-            at += len(rows)
-            if at >= n or alive.sum() <= k:
-                break
-            room = got[-1] - worst  # the most that an unread entry may have over the worst
-            high = low + (~seen) @ room
+            end = min(at + step, n)
+            rows = np.where(down, self.up[::-1][at:end], self.up[at:end])  # best first
+            got = np.where(down, self.values[::-1][at:end], self.values[at:end]) * weight
+            if kind is np.float64:
+                low += np.bincount(rows.ravel(), (got - worst).ravel(), n)
+            else:
+                np.add.at(low, rows.ravel(), (got - worst).ravel())
+            unread[rows, column] = 0
+            at = end
             live = np.flatnonzero(alive)
+            if at >= n or len(live) <= k:
+                break
+            high = low[live] + unread[live] @ (got[-1] - worst)  # what unread entries may have over the worst
             kth = np.partition(low[live], len(live) - k)[len(live) - k]
-            stays = live[high[live] >= kth]
-            if len(stays) <= max(4 * k, n // 64):
-                alive = np.zeros(n, bool)
-                alive[stays] = True
+            stays = live[high >= kth]
+            alive = np.zeros(n, bool)
+            alive[stays] = True
+            if len(stays) <= max(4 * k, n // 16):
                 break
             step *= 2
         left = np.flatnonzero(alive)
