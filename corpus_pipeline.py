@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm import bpe, line_dedup, mixing, quality, simhash
+from kgloom.llm import bpe, line_dedup, mixing, quality, wide_simhash
 from kgloom.llm.common import written
 
 
@@ -26,8 +26,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_first(docs)
+    """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
+    return wide_simhash.keep_first(docs)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
