@@ -8,7 +8,8 @@ by word are too far apart (Manhattan distance, the lower bound), then verified b
 
 With the defaults, 256 bits, 17 axes and 60 cells, a pair of similarity 0.8 shares no cell in about 2 % of cases, and
 its distance exceeds the radius in about 5 %; above 0.85 both are below 0.5 %. Nothing else is left out: crowded cells
-are cut into blocks and every pair of blocks is compared.
+are cut into blocks and every pair of blocks is compared. From 8 million fingerprints on, `grid_for` adds an axis with
+each doubling and cells to keep that recall, so that unlike pairs met grow with the rows and not with their square.
 
 Defined results: as in simhash; texts without words have the fingerprint zero.
 """
@@ -159,16 +160,19 @@ def _linker(distance: int, words: int):
 
 
 def wide_links(nodes: DataFrame, distance: int, words: int = WORDS, axes: int = AXES, rounds: int = ROUNDS, block: int = 4096) -> DataFrame:
-    """Distinct (fp, node) rows to (u, v) links that join all nodes found near; redundant links are left out."""
+    """Distinct (fp, node) rows to (u, v) links that join all nodes found near; redundant links are left out.
+
+    Fingerprints move once a cell. Only cells with more rows than a block, at most one in `block` of all rows, are joined
+    back to them; that table is written first, so that the planner sees its size before it broadcasts it or not."""
     masks = cell_masks(words, axes, rounds).view(np.int64)
+    names = [f"f{k}" for k in range(words)]
     fps = [F.col("fp")[k].alias(f"f{k}") for k in range(words)]
     cells = nodes.select("node", *fps, F.explode(F.sequence(F.lit(1), F.lit(len(masks)))).alias("g"))
     of = [F.col(f"f{k}").bitwiseAND(F.element_at(F.lit(masks[:, k].tolist()), F.col("g"))) for k in range(words)]
-    names = [f"f{k}" for k in range(words)]
     cells = cells.select(F.xxhash64("g", *of).alias("cell"), "node", *names)
-    crowd = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = cells.join(crowd, "cell")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
+    crowd = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block), "wide-crowds")
+    met = cells.join(crowd, "cell", "left")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("long")
     mine = F.pmod(F.xxhash64("node"), blocks)
     # A block meets itself and each other block once, whichever side it comes from.
     meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(mine, j) * blocks + F.greatest(mine, j))
@@ -177,12 +181,21 @@ def wide_links(nodes: DataFrame, distance: int, words: int = WORDS, axes: int =
     return met.mapInArrow(_linker(distance, words), "u long, v long").distinct()
 
 
+def grid_for(rows: int, similarity: float, words: int = WORDS, missed: float = 0.02) -> tuple[int, int]:
+    """(axes, rounds): about 64 unlike rows a cell at any size, and so many cells that a pair of this similarity shares none in `missed` of all cases."""
+    axes = min(max(AXES, math.ceil(math.log2(max(rows, 1))) - 6), 64 * words)
+    same = (1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi) ** axes
+    cells = math.log(missed) / math.log1p(-same) if same < 1 else 1
+    return axes, max(1, round(cells / (64 * words // axes)))
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS) -> DataFrame:
     """Every row's (doc_id, component_id)."""
     found = written(wide_fingerprints(docs, width, words), "wide-fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-nodes")
     named = nodes.where("node IS NOT NULL")
-    joined = components(wide_links(named, radius(similarity, 64 * words), words))
+    axes, rounds = grid_for(named.count(), similarity, words)
+    joined = components(wide_links(named, radius(similarity, 64 * words), words, axes, rounds))
     of = named.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return found.join(of, "fp", "left").select("doc_id", "component_id")
 
