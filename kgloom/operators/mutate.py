@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators import expand
+
 
 def entity_triples(triples: DataFrame, entity: str) -> DataFrame:
     """Triples with the entity as subject, then those with it as object: a loop comes twice."""
@@ -26,3 +28,11 @@ def add(triples: DataFrame, more: DataFrame) -> DataFrame:
 def upsert(nbh: DataFrame, fresh: DataFrame, nodes: DataFrame) -> DataFrame:
     """The neighbourhoods of the recomputed (noi) nodes replaced, even by nothing."""
     return nbh.join(nodes.select("noi").distinct(), "noi", "left_anti").unionByName(fresh)
+
+
+def refreshed(old: DataFrame, nbh: DataFrame, nodes: DataFrame, changed: DataFrame, new: DataFrame, depth: int, skip: list[str] | None = None) -> DataFrame:
+    """The neighbourhoods after a change of the graph from `old` to `new` that touched the (node) entities `changed`: only
+    nodes within `depth` of them, before or after, are worked out again; the others keep their rows of nbh."""
+    near = expand.affected(old, changed, depth).unionByName(expand.affected(new, changed, depth)).distinct()
+    again = nodes.join(near, F.col("noi") == F.col("node"), "left_semi").select("noi")
+    return upsert(nbh, expand.expand(new, again, depth, skip), again)

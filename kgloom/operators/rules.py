@@ -62,3 +62,62 @@ def screen(features: DataFrame, rules: DataFrame, labels: DataFrame) -> DataFram
     ratio = lambda a, b, name: F.try_divide(a.cast("double"), b.cast("double")).alias(name)
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     return out.select("*", ratio(tp, tp + fp, "precision"), ratio(tn, tn + fp, "specificity"), ratio(tp, tp + fn, "sensitivity"), ratio(2 * tp, 2 * tp + fp + fn, "f1"))
+
+
+def triples(pairs: DataFrame, support: int) -> DataFrame:
+    """(rel1, rel2, rel3, antecedent, support): pairs that rel1 and rel2 share, and how many of them rel3 has as well. Both are at least `support`."""
+    one = pairs.distinct()
+    both = one.withColumnRenamed("rel", "rel1").join(one.select(F.col("rel").alias("rel2"), "a", "b"), ["a", "b"]).where("rel1 < rel2")
+    before = conjunctions(pairs, support).withColumnRenamed("support", "antecedent")
+    all_ = both.join(one.select(F.col("rel").alias("rel3"), "a", "b"), ["a", "b"]).where("rel3 <> rel1 AND rel3 <> rel2")
+    found = all_.groupBy("rel1", "rel2", "rel3").agg(F.count("*").alias("support")).where(F.col("support") >= support)
+    return found.join(before, ["rel1", "rel2"]).select("rel1", "rel2", "rel3", "antecedent", "support")
+
+
+def gain_ratio(tp: Column, fp: Column, tn: Column, fn: Column) -> Column:
+    """The share of the labels' entropy that a rule takes away; 0 where the labels have none."""
+
+    def entropy(p: Column) -> Column:
+        return F.when((p > 0) & (p < 1), -p * F.log(p) - (1 - p) * F.log(1 - p)).otherwise(0.0)
+
+    n = (tp + fp + tn + fn).cast("double")
+    share = F.try_divide(tp + fp, n)
+    left = share * entropy(F.try_divide(tp, tp + fp)) + (1 - share) * entropy(F.try_divide(fn, fn + tn))
+    whole = entropy(F.try_divide(tp + fn, n))
+    return F.coalesce(F.try_divide(whole - left, whole), F.lit(0.0))
+
+
+def best(screened: DataFrame, criterion: str, k: int) -> DataFrame:
+    """The k rules that are best by a column, ties to the smaller rule; a null ratio comes last."""
+    return screened.orderBy(F.col(criterion).desc_nulls_last(), "rule").limit(k)
+
+
+def predict(features: DataFrame, rules: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(noi, predicted): 1 where any rule has all its features. A feature that no node has is false, but for count.* with <, which is true."""
+    known = features.select("feature").distinct().withColumn("__known", F.lit(True))
+    lenient = F.col("__known").isNull() & F.col("feature").startswith("count.") & F.col("feature").contains("<")
+    items = rules.distinct().join(known, "feature", "left").select("rule", "feature", lenient.alias("free"))
+    size = items.groupBy("rule").agg(F.count(F.when(~F.col("free"), 1)).alias("n_items"))
+    held = features.distinct().join(items.where("NOT free"), "feature").groupBy("noi", "rule").agg(F.count("*").alias("n"))
+    some = held.join(size, "rule").where("n = n_items").select("noi").distinct().withColumn("__hit", F.lit(True))
+    every = size.agg(F.coalesce(F.max(F.col("n_items") == 0), F.lit(False)).alias("__all"))
+    out = nodes.select("noi").distinct().join(some, "noi", "left").join(F.broadcast(every))  # one row
+    return out.select("noi", (F.col("__all") | F.coalesce("__hit", F.lit(False))).cast("long").alias("predicted"))
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function of x > 0: Stirling's series from x + 8 on, and the recurrence back."""
+    x = x.cast("double")
+    y = x + 8
+    product = x
+    for k in range(1, 8):
+        product = product * (x + k)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7))
+    # ln(2 * pi) / 2
+    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + series - F.log(product)
+
+
+def log_beta_binomial(k: Column, n: Column, alpha: float, beta: float) -> Column:
+    """The logarithm of the beta-binomial weight of k out of n, without the binomial coefficient."""
+    a, b = F.lit(float(alpha)), F.lit(float(beta))
+    return log_gamma(a + b) - log_gamma(a) - log_gamma(b) + log_gamma(k + a) + log_gamma(n - k + b) - log_gamma(n + a + b)
