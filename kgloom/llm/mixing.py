@@ -81,11 +81,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0)
     # Rows that share a doc_id differ in text or are equal and interchangeable; they are numbered on both sides.
     nth = Window.partitionBy("doc_id", "_source", "_text").orderBy(F.lit(1))
     taken = taken.select("doc_id", F.col("source").alias("_source"), "_text", "copies")
-    left = docs.withColumn("_text", F.xxhash64("text")).withColumn("_source", F.col("source")).withColumn("_nth", F.row_number().over(nth))
+    # The row travels as a struct, so that no column of it can clash with ours.
+    left = docs.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("_text"), F.col("source").alias("_source")).withColumn("_nth", F.row_number().over(nth))
     right = taken.withColumn("_nth", F.row_number().over(nth))
     same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("l._source").eqNullSafe(F.col("r._source")) & (F.col("l._text") == F.col("r._text")) & (F.col("l._nth") == F.col("r._nth"))
-    rows = left.alias("l").join(right.alias("r"), same).select(*[F.col(f"l.`{c}`") for c in docs.columns], "copies")
-    return rows.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
+    rows = left.alias("l").join(right.alias("r"), same).select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select("_row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
