@@ -6,16 +6,24 @@ counts are the bits themselves: a cell is spanned by `axes` segments of a seeded
 `rounds` permutations are cut into such cells. Two fingerprints that share any cell are held apart if their bit counts
 by word are too far apart (Manhattan distance, the lower bound), then verified by the exact Hamming distance.
 
-With the defaults, 256 bits, 17 axes and 60 cells, a pair of similarity 0.8 shares no cell in about 2 % of cases, and
-its distance exceeds the radius in about 5 %; above 0.85 both are below 0.5 %. Nothing else is left out: crowded cells
-are cut into blocks and every pair of blocks is compared. From 8 million fingerprints on, `grid_for` adds an axis with
-each doubling and cells to keep that recall, so that unlike pairs met grow with the rows and not with their square.
-
-Defined results: as in simhash; texts without words have the fingerprint zero.
+Fingerprints are of shingle sets, so that Jaccard similarity bounds the angle from above whatever the sets' sizes. The
+radius holds 99.95 % of pairs at exactly 0.8, and with 13 axes and 76 cells 0.004 % of them share no cell by the same
+model. Crowded cells are cut into blocks and every pair of blocks is compared. From half a million fingerprints on,
+`grid_for` adds an axis with each doubling and cells to keep that recall, so that unlike pairs met grow with the rows.
+
+Fingerprints only propose. A spanning forest of the pairs within the radius joins whatever may belong together; its links
+are verified by the exact Jaccard similarity of whole shingle sets. Where that takes a forest apart, every pair within the
+radius whose ends aren't joined yet is verified too, so no pair is lost because a forest left it out. Sets of few
+shingles have too coarse fingerprints: those of up to `few` meet by exact prefixes (two sets of similarity s share one
+of the first n - ceil(s * n) + 1 of their sorted hashes) and are compared as sets there.
+
+Defined results: as in simhash, but groups are the components of the pairs with a Jaccard similarity of at least
+`similarity`; texts without words have the empty set, and are like each other only.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -29,15 +37,16 @@ from pyspark.sql import functions as F
 from kgloom.llm.common import written
 from kgloom.llm.components import components
 
-SEED, WORDS, AXES, ROUNDS = 42, 4, 17, 4
+SEED, WORDS, AXES, ROUNDS = 42, 4, 13, 4
+FEW = 80
 _PIECE = 1 << 14
 _SMALL = 64
 
 
 def radius(similarity: float, bits: int) -> int:
-    """The differing bits that a pair of this Jaccard similarity stays within in 95 of 100 cases."""
+    """The differing bits that a pair of this Jaccard similarity stays within in 9,995 of 10,000 cases."""
     p = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    return round(bits * p + 1.645 * math.sqrt(bits * p * (1 - p)))
+    return round(bits * p + 3.29 * math.sqrt(bits * p * (1 - p)))
 
 
 def _spread(h: np.ndarray, words: int) -> np.ndarray:
@@ -51,36 +60,66 @@ def _spread(h: np.ndarray, words: int) -> np.ndarray:
     return out
 
 
-def wide_fingerprint(data: bytes, width: int = 5, words: int = WORDS, seed: int = SEED) -> np.ndarray:
-    """The SimHash of a whole text over `64 * words` bits."""
+def shingles(data: bytes, width: int = 5, seed: int = SEED) -> np.ndarray:
+    """The sorted hashes of a whole text's distinct shingles."""
     parts = data.lower().split()
     n = len(parts)
     if not n:
-        return np.zeros(words, np.uint64)
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, n)
     stop = np.cumsum(size + 1) - 1
     count = max(n - width + 1, 1)
     starts, stops = (stop - size)[:count].tolist(), stop[min(width, n) - 1 :].tolist()
-    ones, digest = np.zeros(64 * words, np.int64), xxhash.xxh64_intdigest
-    for k in range(0, count, _PIECE):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[k : k + _PIECE], stops[k : k + _PIECE], strict=True)], np.uint64)
-        bits = np.unpackbits(_spread(hashes, words).view(np.uint8), axis=1, bitorder="little")
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, count))
+
+
+def fingerprint_of(hashes: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """The SimHash of a shingle set over `64 * words` bits."""
+    ones = np.zeros(64 * words, np.int64)
+    for k in range(0, len(hashes), _PIECE):
+        bits = np.unpackbits(_spread(hashes[k : k + _PIECE], words).view(np.uint8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(ones * 2 > count, bitorder="little").view("<u8")
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def wide_fingerprint(data: bytes, width: int = 5, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """The SimHash of a whole text's shingle set."""
+    return fingerprint_of(shingles(data, width, seed), words)
+
+
+def _lists(rows: list) -> pa.Array:
+    return pa.array([None if x is None else x.view(np.int64) for x in rows], pa.list_(pa.int64()))
 
 
-def wide_fingerprints(docs: DataFrame, width: int = 5, words: int = WORDS) -> DataFrame:
-    """(doc_id, fp) of every row; fp is an array of longs."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def wide_fingerprints(docs: DataFrame, width: int = 5, words: int = WORDS, few: int = FEW) -> DataFrame:
+    """(doc_id, key, fp, few) of every row: the shingle set's SHA-256 and fingerprint, and the set itself if it has no more than `few` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            fps = np.array([wide_fingerprint(x.as_py() or b"", width, words) for x in texts], np.uint64).reshape(-1)
-            ends = pa.array(np.arange(0, len(fps) + 1, words, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(fps.view(np.int64)))], names=["doc_id", "fp"])
+            sets = [shingles(x.as_py() or b"", width) for x in batch.column("text").cast(pa.binary())]
+            keys = pa.array([hashlib.sha256(x.tobytes()).digest() for x in sets], pa.binary())
+            small = [x if len(x) <= few else None for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, _lists([fingerprint_of(x, words) for x in sets]), _lists(small)], names=["doc_id", "key", "fp", "few"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, key binary, fp array<long>, few array<long>")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp array<long>")
+
+def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """(doc_id, key, shingles) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), strict=True):
+                found = shingles(text.as_py() or b"", width)
+                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([hashlib.sha256(found.tobytes()).digest()], pa.binary()), _lists([found])], names=["doc_id", "key", "shingles"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, key binary, shingles array<long>")
 
 
 def cell_masks(words: int = WORDS, axes: int = AXES, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
@@ -137,14 +176,26 @@ def _cells_links(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, node: np.n
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def _linker(distance: int, words: int):
+def _every_link(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, distance: int) -> np.ndarray:
+    """All pairs within the distance whose labels differ."""
+    edges = []
+    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
+        for k in range(a, b - 1):
+            other = np.flatnonzero(label[k + 1 : b] != label[k]) + k + 1
+            near = other[np.bitwise_count(fp[other] ^ fp[k]).sum(axis=1, dtype=np.int32) <= distance]
+            edges.append(np.column_stack([np.full(len(near), node[k]), node[near]]))
+    found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
+    return np.unique(np.sort(found, axis=1), axis=0)
+
+
+def _linker(distance: int, words: int, every: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell and pair of blocks; one may go on in the next batch."""
         held = None
         for batch in itertools.chain(batches, [None]):
             rows = held
             if batch is not None:
-                rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3 + words)])
+                rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3 + words + every)])
                 rows = rows if held is None else np.concatenate([held, rows])
             if rows is None or not len(rows):
                 continue
@@ -152,24 +203,17 @@ def _linker(distance: int, words: int):
             start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
             if batch is not None:
                 held, start, stop = rows[start[-1] :], start[:-1], stop[:-1]
-            fp = np.ascontiguousarray(rows[:, 3:]).view(np.uint64)
-            found = _cells_links(start, stop, fp, rows[:, 2], distance)
+            fp = np.ascontiguousarray(rows[:, 3 : 3 + words]).view(np.uint64)
+            found = _every_link(start, stop, fp, rows[:, 2], rows[:, -1], distance) if every else _cells_links(start, stop, fp, rows[:, 2], distance)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     return run
 
 
-def wide_links(nodes: DataFrame, distance: int, words: int = WORDS, axes: int = AXES, rounds: int = ROUNDS, block: int = 4096) -> DataFrame:
-    """Distinct (fp, node) rows to (u, v) links that join all nodes found near; redundant links are left out.
-
-    Fingerprints move once a cell. Only cells with more rows than a block, at most one in `block` of all rows, are joined
-    back to them; that table is written first, so that the planner sees its size before it broadcasts it or not."""
-    masks = cell_masks(words, axes, rounds).view(np.int64)
-    names = [f"f{k}" for k in range(words)]
-    fps = [F.col("fp")[k].alias(f"f{k}") for k in range(words)]
-    cells = nodes.select("node", *fps, F.explode(F.sequence(F.lit(1), F.lit(len(masks)))).alias("g"))
-    of = [F.col(f"f{k}").bitwiseAND(F.element_at(F.lit(masks[:, k].tolist()), F.col("g"))) for k in range(words)]
-    cells = cells.select(F.xxhash64("g", *of).alias("cell"), "node", *names)
+def _met(cells: DataFrame, names: list[str], block: int) -> DataFrame:
+    """(cell, node, names) rows dealt by cell and pair of blocks, and sorted so. Only cells with more rows than a block, at
+    most one in `block` of all rows, are joined back to them; that table is written first, so that the planner sees its
+    size before it broadcasts it or not."""
     crowd = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block), "wide-crowds")
     met = cells.join(crowd, "cell", "left")
     blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("long")
@@ -177,11 +221,80 @@ def wide_links(nodes: DataFrame, distance: int, words: int = WORDS, axes: int =
     # A block meets itself and each other block once, whichever side it comes from.
     meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(mine, j) * blocks + F.greatest(mine, j))
     met = met.select("cell", F.explode(meets).alias("pair"), "node", *names)
-    met = met.repartition("cell", "pair").sortWithinPartitions("cell", "pair")
-    return met.mapInArrow(_linker(distance, words), "u long, v long").distinct()
+    # Sorted by node too: a group that fills many cells has one star, whose links are the same in all of them.
+    return met.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "node")
+
+
+def wide_links(nodes: DataFrame, distance: int, words: int = WORDS, axes: int = AXES, rounds: int = ROUNDS, block: int = 4096, every: bool = False) -> DataFrame:
+    """Distinct (fp, node) rows to (u, v) links that join all nodes found near; redundant links are left out. With `every`, rows have a label too, and all near pairs of different labels are given. Fingerprints move once a cell."""
+    masks = cell_masks(words, axes, rounds).view(np.int64)
+    names = [f"f{k}" for k in range(words)] + ["label"] * every
+    fps = [F.col("fp")[k].alias(f"f{k}") for k in range(words)]
+    cells = nodes.select("node", *fps, *["label"] * every, F.explode(F.sequence(F.lit(1), F.lit(len(masks)))).alias("g"))
+    of = [F.col(f"f{k}").bitwiseAND(F.element_at(F.lit(masks[:, k].tolist()), F.col("g"))) for k in range(words)]
+    cells = cells.select(F.xxhash64("g", *of).alias("cell"), "node", *names)
+    return _met(cells, names, block).mapInArrow(_linker(distance, words, every), "u long, v long").distinct()
+
+
+def _alike(common, a, b, similarity: float):
+    """Whether the Jaccard similarity is reached, for sizes of the common part and of both sets."""
+    return common * (1 + similarity) >= similarity * (a + b) - 1e-9
+
+
+def _set_forest(sets: list[np.ndarray], node: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the alike sets."""
+    size = np.array([len(x) for x in sets])
+    owner, values = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    open_, edges = np.ones(len(sets), bool), []
+    for first in range(len(sets)):
+        if not open_[first]:
+            continue
+        open_[first], reach = False, [first]
+        while reach and open_.any():
+            at = reach.pop()
+            lo, hi = np.searchsorted(values, sets[at]), np.searchsorted(values, sets[at], "right")
+            common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(sets))
+            near = np.flatnonzero(open_ & (common > 0) & _alike(common, size, size[at], similarity))
+            open_[near] = False
+            edges += [(node[at], node[k]) for k in near.tolist()]
+            reach += near.tolist()
+    return edges
+
 
+def _set_linker(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((key, n, x) for batch in batches for key, n, x in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), batch.column(3), strict=True))
+        for _, group in itertools.groupby(rows, lambda r: r[0]):
+            found = list(group)
+            if len(found) > 1:
+                edges = np.array(_set_forest([x.values.to_numpy() for *_, x in found], [n for _, n, _ in found], similarity), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
-def grid_for(rows: int, similarity: float, words: int = WORDS, missed: float = 0.02) -> tuple[int, int]:
+    return run
+
+
+def few_links(nodes: DataFrame, similarity: float, block: int = 4096) -> DataFrame:
+    """(few, node) rows to (u, v) links that join all alike sets; none is missed."""
+    n = F.size("few")
+    prefix = F.slice(F.array_sort("few"), F.lit(1), (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
+    cells = nodes.where("few IS NOT NULL AND size(few) > 0").select(F.explode(prefix).alias("cell"), "node", "few")
+    return _met(cells, ["few"], block).mapInArrow(_set_linker(similarity), "u long, v long").distinct()
+
+
+def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """The links whose ends' whole shingle sets have this Jaccard similarity. Only texts that have a link are cut into shingles again."""
+    ends = links.select(F.col("u").alias("doc_id")).unionByName(links.select(F.col("v").alias("doc_id"))).distinct()
+    keys = nodes.select(F.col("node").alias("doc_id"), "key")
+    sets = shingle_sets(docs.join(ends, "doc_id", "left_semi"), width).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    sets = written(sets.select("doc_id", "shingles"), "wide-sets")
+    one, two = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
+    common = F.size(F.array_intersect("su", "sv"))
+    return links.join(one, "u").join(two, "v").where(_alike(common, F.size("su"), F.size("sv"), similarity)).select("u", "v").distinct()
+
+
+def grid_for(rows: int, similarity: float, words: int = WORDS, missed: float = 0.0001) -> tuple[int, int]:
     """(axes, rounds): about 64 unlike rows a cell at any size, and so many cells that a pair of this similarity shares none in `missed` of all cases."""
     axes = min(max(AXES, math.ceil(math.log2(max(rows, 1))) - 6), 64 * words)
     same = (1 - math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi) ** axes
@@ -189,15 +302,34 @@ def grid_for(rows: int, similarity: float, words: int = WORDS, missed: float = 0
     return axes, max(1, round(cells / (64 * words // axes)))
 
 
+def _labelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """The nodes with their component under a name."""
+    return nodes.join(components(links), "node", "left").withColumn(name, F.coalesce("component", "node")).drop("component")
+
+
+def alike_links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS) -> DataFrame:
+    """(key, fp, few, node) rows to verified links that join all nodes found alike."""
+    axes, rounds = grid_for(nodes.count(), similarity, words)
+    within = radius(similarity, 64 * words)
+    forest = written(wide_links(nodes.select("fp", "node"), within, words, axes, rounds), "wide-forest")
+    sure = written(verified(forest, nodes, docs, similarity, width).unionByName(few_links(nodes, similarity)), "wide-sure")
+    # What the forest joined and the sets took apart again may hold alike pairs that the forest left out.
+    both = _labelled(_labelled(nodes.select("fp", "key", "node"), forest, "loose"), sure, "label")
+    both = written(both, "wide-labels")
+    apart = both.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("loose")
+    rest = written(both.join(apart, "loose", "left_semi"), "wide-apart")
+    more = written(wide_links(rest.select("fp", "node", "label"), within, words, axes, rounds, every=True).join(forest, ["u", "v"], "left_anti"), "wide-more")
+    return sure.unionByName(verified(more, nodes, docs, similarity, width))
+
+
 def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS) -> DataFrame:
     """Every row's (doc_id, component_id)."""
     found = written(wide_fingerprints(docs, width, words), "wide-fingerprints")
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "wide-nodes")
+    nodes = written(found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("few").alias("few")), "wide-nodes")
     named = nodes.where("node IS NOT NULL")
-    axes, rounds = grid_for(named.count(), similarity, words)
-    joined = components(wide_links(named, radius(similarity, 64 * words), words, axes, rounds))
-    of = named.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(of, "fp", "left").select("doc_id", "component_id")
+    joined = components(alike_links(docs, named, similarity, width, words))
+    of = nodes.join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
+    return found.join(of, "key", "left").select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:

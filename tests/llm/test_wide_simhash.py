@@ -37,3 +37,37 @@ def test_links_join_what_brute_force_joins(spark):
         for u, v in links:
             name[u] = name[v] = min(name[u], name[v])
     assert name == [60 * (k // 60) for k in range(len(rows))]
+
+
+def test_groups_are_those_of_exact_jaccard(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    docs = []
+    for size, changes in ((8, 4), (9, 4), (30, 5), (90, 8), (400, 25)):
+        for _ in range(12):
+            words = [word() for _ in range(size)]
+            docs.append(" ".join(words))
+            for k in range(1, changes):
+                changed = list(words)
+                for at in rng.sample(range(size), k):
+                    changed[at] = word()
+                # Cut ends and changed words, around 0.8 from both sides and below; chains among them.
+                docs += [" ".join(changed), " ".join(words[: size - k])]
+    sets = []
+    for text in docs:
+        parts = text.split()
+        sets.append({" ".join(parts[k : k + 5]) for k in range(max(len(parts) - 4, 1))})
+    name = list(range(len(docs)))
+
+    def root(k):
+        while name[k] != k:
+            k = name[k]
+        return k
+
+    for a in range(len(docs)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                name[y] = x
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in wide.similar_groups(df).collect()} == {k: root(k) for k in range(len(docs))}
