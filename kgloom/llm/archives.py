@@ -20,12 +20,14 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -188,18 +190,20 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
     rows = rows.withColumn("lead", F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("first")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Segments of equal bytes differ by partition and number; a retried task gives them the same ones again.
+        mark = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             part, size = [], 0
             for row in batch.select(["page_id", "url", "html", "lead", "first"]).to_pylist():
                 part.append(row)
                 size += len(row["html"])
                 if size >= _SEGMENT:
-                    yield segment(part)
+                    yield segment(part, next(mark))
                     part, size = [], 0
             if part:
-                yield segment(part)
+                yield segment(part, next(mark))
 
-    def segment(part: list[dict]) -> pa.RecordBatch:
+    def segment(part: list[dict], mark: int) -> pa.RecordBatch:
         documents_ = [http_document(r["page_id"], r["html"]) for r in part]
         arc = write_arc([(r["url"], "20000101000000", "text/html", d) for r, d in zip(part, documents_, strict=True)])
         follows = iter(part)
@@ -212,7 +216,7 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         out = bytearray()
         for record in convert(arc, name_of):
             out += gzip.compress(record.bytes(), 1, mtime=0)
-        name = hashlib.sha256(bytes(out)).hexdigest()[:32] + ".warc.gz"
+        name = f"{mark:016x}-{hashlib.sha256(bytes(out)).hexdigest()[:32]}.warc.gz"
         _store(folder, name, bytes(out))
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(part)], pa.int64())], names=["name", "records"])
 
@@ -220,12 +224,13 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 
 
 def read_back(spark: SparkSession, names: DataFrame, folder: str) -> DataFrame:
-    """The WARC files' records: page_id, payload_bytes, payload_digest, record_type, refers_to. A digest that doesn't fit its payload raises."""
+    """The WARC files' records: page_id, payload_bytes, payload_digest, record_type, refers_to. A digest that doesn't fit its payload raises, and so does a file that is missing or has another number of records than was written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for content in batch.column("content"):
+            for content, records in zip(batch.column("content"), batch.column("records").to_pylist(), strict=True):
+                before = len(out[0])
                 for record in read_warc(content.as_py()):
                     if record.kind not in ("response", "revisit"):
                         continue
@@ -237,6 +242,8 @@ def read_back(spark: SparkSession, names: DataFrame, folder: str) -> DataFrame:
                     row = (int(http["x-page-id"]) if http["x-page-id"] else None, int(http["content-length"]), sha, record.kind, int(to[1]) if to and to[1] else None)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
+                if len(out[0]) - before != records:
+                    raise ValueError(f"{len(out[0]) - before} records read of {records} written")
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
@@ -245,8 +252,10 @@ def read_back(spark: SparkSession, names: DataFrame, folder: str) -> DataFrame:
         return spark.createDataFrame([], schema)
     # Only files that a finished task has named: what a lost task left is not read.
     files = spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    files = files.join(names.select("name").distinct(), "name", "left_semi")
-    return files.select("content").mapInArrow(run, schema)
+    wanted, found = names.agg(F.count("name")).first()[0], names.join(files.select("name"), "name").agg(F.count_distinct("name")).first()[0]
+    if wanted != found:
+        raise ValueError(f"{wanted} WARC files written, {found} found")
+    return files.join(names.select("name", "records"), "name").select("content", "records").mapInArrow(run, schema)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

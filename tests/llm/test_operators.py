@@ -186,3 +186,16 @@ def test_archives(spark):
     names = archives.written(archives.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder))
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in archives.read_back(spark, names, folder).collect()}
     assert got == {1: ("response", None, 1), 2: ("revisit", 1, 1), 3: ("revisit", 0, 0), 0: ("response", None, 0), None: ("revisit", 1, 1)}
+
+
+def test_archives_keep_equal_segments(spark):
+    rows = [(None, None, "x" * (9 << 20))] * 3 + [(7, "u", "y" * (9 << 20))] * 3 + [(8, "u", "z")]
+    folder = archives.new_folder(spark, "test")
+    names = archives.written(archives.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder))
+    got = sorted(str(r.page_id) for r in archives.read_back(spark, names, folder).collect())
+    assert got == ["7", "7", "7", "8", "None", "None", "None"]
+    wrong = names.withColumn("records", names.records + 1)
+    with pytest.raises(Exception, match="records read"):
+        archives.read_back(spark, wrong, folder).collect()
+    with pytest.raises(ValueError, match="WARC files written"):
+        archives.read_back(spark, names.unionByName(spark.createDataFrame([("gone", 1)], "name string, records long")), folder)
