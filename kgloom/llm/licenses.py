@@ -5,8 +5,11 @@ increasing subsequence of the anchors' places is kept; runs of equal words next
 between kept anchors are aligned in the same way. Coverage is the share of the template's words that are aligned.
 
 A text is first held against each template's bag of words: coverage can't exceed the share of template words that the
-text has at all, so the rest can't match and isn't aligned. Then the rarest template words of the text cut it into
-windows, in each of which such a word stands once; so a license that occurs many times in a text is found each time.
+text has at all, so the rest can't match and isn't aligned. Then all words that the template has once cut the text into
+windows, in each of which such a word stands once; so a license that occurs many times in a text is found each time. A
+template has more such words than a copy may lack (else all its words are taken), so no copy goes without a window; only
+windows that hold too few of the template's words are not aligned. Of places of one template that overlap, the one with
+more aligned words and fewer others stays.
 
 Defined results: a null or blank text has no license; texts are scanned whole; several licenses may be found in one
 document, each once with its best place and its number of places; of templates whose places overlap the one with more
@@ -19,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -126,18 +130,35 @@ class Scanner:
         hits = []
         for k in able:
             template, bag = self.templates[k][1:]
+            need = self.least * len(template)
+            pivots = [w for w in bag if bag[w] == 1]
+            if len(pivots) <= len(template) - need:
+                pivots = list(bag)
+            held = [0, *accumulate(w in bag for w in text)]
+            slack = len(template) // 2 + 8
+            windows = set()
+            for pivot in pivots:
+                spots = places.get(pivot, [])
+                for own in (n for n, w in enumerate(template) if w == pivot):
+                    for i, at in enumerate(spots):
+                        start = max(spots[i - 1] + 1 if i else 0, at - own - slack)
+                        stop = min(spots[i + 1] if i + 1 < len(spots) else len(text), at + len(template) - own + slack)
+                        if held[stop] - held[start] >= need:
+                            windows.add((start, stop))
             best: dict[tuple[int, int], int] = {}
-            for pivot in sorted((w for w in bag if bag[w] == 1 and w in have), key=lambda w: len(places[w]))[:3]:
-                own, spots = template.index(pivot), places[pivot]
-                slack = len(template) // 2 + 8
-                for i, at in enumerate(spots):
-                    start = max(spots[i - 1] + 1 if i else 0, at - own - slack)
-                    stop = min(spots[i + 1] if i + 1 < len(spots) else len(text), at + len(template) - own + slack)
-                    pairs = align(template, text[start:stop])
-                    if len(pairs) >= self.least * len(template):
-                        span = (start + pairs[0][1], start + pairs[-1][1])
-                        best[span] = max(best.get(span, 0), len(pairs))
-            hits += [(-n, k, span) for span, n in best.items()]
+            for start, stop in windows:
+                part = text[start:stop]
+                if (Counter(part) & bag).total() < need:
+                    continue
+                pairs = align(template, part)
+                if len(pairs) >= need:
+                    span = (start + pairs[0][1], start + pairs[-1][1])
+                    best[span] = max(best.get(span, 0), len(pairs))
+            own_places: list[tuple[int, int]] = []
+            for span in sorted(best, key=lambda x: (x[1] - x[0] - 2 * best[x], x)):
+                if all(span[1] < a or span[0] > b for a, b in own_places):
+                    own_places.append(span)
+                    hits.append((-best[span], k, span))
         taken: list[tuple[int, int]] = []
         out: dict[int, list] = {}
         for n, k, span in sorted(hits):

@@ -199,3 +199,26 @@ def test_archives_keep_equal_segments(spark):
         archives.read_back(spark, wrong, folder).collect()
     with pytest.raises(ValueError, match="WARC files written"):
         archives.read_back(spark, names.unionByName(spark.createDataFrame([("gone", 1)], "name string, records long")), folder)
+
+
+def test_licenses_against_all_windows():
+    r = random.Random(9)
+    for name in ("MIT", "BSD-3-Clause", "GPL-3.0-header"):
+        template = licenses.words(licenses.TEMPLATES[name])
+        scanner = licenses.Scanner({name: licenses.TEMPLATES[name]})
+        for missing in (0.1, 0.15, 0.18, 0.24):
+            # The words that the copy lacks occur once elsewhere, its own words often.
+            lacks = set(r.sample(range(len(template)), int(missing * len(template))))
+            copy = [w for k, w in enumerate(template) if k not in lacks]
+            body = [w for w in set(copy) for _ in range(4)] + [f"w{r.randrange(300)}" for _ in range(2500)]
+            r.shuffle(body)
+            rare = [template[k] for k in lacks]
+            text = [*rare, *body[:1200], *copy, *body[1200:]]
+            size = len(template) + 20
+            most = max(len(licenses.align(template, text[k : k + size])) for k in range(0, len(text), 3))
+            found = scanner.scan(" ".join(text))
+            assert bool(found) == (most >= 0.8 * len(template)) == (missing < 0.2)
+            assert not found or found[0][1] * len(template) >= most - 1 and found[0][4] == 1
+    mit = licenses.TEMPLATES["MIT"]
+    edited = mit.replace("hereby", "now").replace("charge", "cost").replace("obtaining", "getting")
+    assert [(x[0], x[4]) for x in licenses.Scanner().scan(mit + " filler" * 300 + " " + edited + " " + mit)] == [("MIT", 3)]
