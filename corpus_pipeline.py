@@ -6,7 +6,7 @@ Parquet and read again as the next stage's docs. All but the last return the col
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm import bpe, line_dedup, mixing, quality, wide_simhash
@@ -19,10 +19,22 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score(docs, model).where(F.col("tail_probability") >= quality.KEEP_AT).select(*docs.columns)
 
 
+def _lines(text: Column) -> Column:
+    """128-bit hashes of a text's distinct lines that aren't blank."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
+    return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go. A document that only had such lines goes with them: each lives on in an earlier document."""
-    cut = line_dedup.dedup(docs).where((F.col("n_dropped") == 0) | (F.length(F.trim("text")) > 0))
-    return cut.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Lines of recurring templates go. A document that only had such lines goes with them if each stands literally in a document that stays, and else stays whole: lines of one template may have different values."""
+    cut = line_dedup.dedup(docs, constants=True, whole="__whole").withColumn("__row", F.monotonically_increasing_id())
+    cut = written(cut, "line-cut")
+    stays, bare = cut.where("__whole IS NULL"), cut.where("__whole IS NOT NULL")
+    asked = written(bare.select("__row", F.explode(_lines(F.col("__whole"))).alias("line")), "line-asked")
+    found = stays.select(F.explode(_lines(F.col("text"))).alias("line")).join(asked.select("line").distinct(), "line", "left_semi").distinct()
+    lost = asked.select("line").distinct().join(found, "line", "left_anti")
+    back = bare.join(asked.join(lost, "line", "left_semi").select("__row").distinct(), "__row", "left_semi").withColumn("text", F.col("__whole"))
+    return stays.unionByName(back).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

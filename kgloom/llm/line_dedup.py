@@ -47,14 +47,21 @@ def template_key(line: Column, depth: int = DEPTH) -> Column:
     return F.xxhash64(count, F.substring_index(line, " ", depth), line)
 
 
-def _keys(text: Column) -> Column:
-    """Each line's template key, null for a blank line. A text's outer blanks are trimmed, which can't change its number of lines."""
-    return F.transform(generalised(text), lambda x: F.when(F.length(x) > 0, template_key(x)))
+def _says_enough(line: Column) -> Column:
+    """Whether at least half of a generalised line's tokens are constant."""
+    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    fields = (F.length(line) - F.length(F.replace(line, F.lit("<*>"), F.lit("")))) / 3
+    return fields * 2 <= tokens
 
 
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def _keys(text: Column, constants: bool = False) -> Column:
+    """Each line's template key, null for a blank line and, with `constants`, for one that is mostly variable fields. A text's outer blanks are trimmed, which can't change its number of lines."""
+    return F.transform(generalised(text), lambda x: F.when((F.length(x) > 0) & (_says_enough(x) if constants else F.lit(True)), template_key(x)))
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False) -> DataFrame:
     """(doc_id, dropped): for each document the template keys that it must drop."""
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(_keys(F.col("text")))).alias("key")).where("key IS NOT NULL")
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(_keys(F.col("text"), constants))).alias("key")).where("key IS NOT NULL")
     lines = written(lines, "line-keys")  # worked out once, read for the counts and for the answer
     known = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
     often = known.where((F.col("n") >= min_docs) & (~F.col("first").eqNullSafe(F.col("last")) | (F.col("first").isNotNull() & F.col("unnamed"))))
@@ -62,17 +69,20 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     return gone.groupBy("doc_id").agg(F.collect_set("key").alias("dropped"))
 
 
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """The input with `text` less the dropped lines, `n_lines` and `n_dropped`."""
-    gone = recurring(docs.select("doc_id", "text"), min_docs)
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False, whole: str | None = None) -> DataFrame:
+    """The input with `text` less the dropped lines, `n_lines` and `n_dropped`. With `constants`, lines that are mostly variable fields have no template. A column called `whole` has the full text of documents that only blanks are left of."""
+    gone = recurring(docs.select("doc_id", "text"), min_docs, constants)
     both = docs.drop("n_lines", "n_dropped", "_dropped").alias("d").join(gone.withColumnRenamed("dropped", "_dropped").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", "_dropped")
     lines = F.split(F.col("text"), "\n")
-    pairs = F.arrays_zip(lines.alias("line"), _keys(F.col("text")).alias("key"))
+    pairs = F.arrays_zip(lines.alias("line"), _keys(F.col("text"), constants).alias("key"))
     stay = F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("_dropped"), x["key"]), F.lit(False)))
     both = both.withColumn("_stay", F.when(F.col("_dropped").isNull(), lines).otherwise(F.transform(stay, lambda x: x["line"])))
     both = both.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
     both = both.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_stay")).cast("long"))
-    return both.withColumn("text", F.array_join("_stay", "\n")).drop("_stay", "_dropped")
+    left = F.array_join("_stay", "\n")
+    if whole:
+        both = both.withColumn(whole, F.when((F.col("n_dropped") > 0) & (F.length(F.trim(F.translate(left, "\n", " "))) == 0), F.col("text")))
+    return both.withColumn("text", left).drop("_stay", "_dropped")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
