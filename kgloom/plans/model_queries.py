@@ -76,7 +76,8 @@ def w3_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def w6_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("item")).agg(F.count("*").alias("n"))
-    return order.bootstrap(orders, "n", 666, "item").where("copies > 0").select("item", "copies")
+    # int(0.666 * n) draws, in whole numbers.
+    return order.bootstrap(orders, "n", orders.count() * 666 // 1000, "item").where("copies > 0").select("item", "copies")
 
 
 def _round(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from kgloom.functions import boosting, matrix
 from kgloom.operators import expand, mutate, order, rules
+from kgloom.plans import model_queries
 
 
 def rows(df, *names):
@@ -95,3 +96,11 @@ def test_refreshed_equals_full(spark):
     got = mutate.refreshed(old, expand.expand(old, nodes, 2), nodes, changed, new, 2)
     names = ("noi", "path", "value", "mult")
     assert rows(got, *names) == rows(expand.expand(new, nodes, 2), *names)
+
+
+def test_w6_draws_two_thirds_of_the_rows(spark, tmp_path):
+    for n in (30, 2000):
+        orders = [(k % n,) for k in range(3 * n)]
+        spark.createDataFrame(orders, "o_custkey long").write.parquet(f"{tmp_path}/{n}/orders.parquet")
+        got = model_queries.w6_bootstrap(spark, f"{tmp_path}/{n}").agg(F.sum("copies")).first()[0]
+        assert got == n * 666 // 1000
