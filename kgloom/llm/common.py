@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local mode)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = "file://" + tempfile.mkdtemp(prefix="kgloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -63,6 +65,25 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_KEYS = 2000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], weight: str, name: str) -> DataFrame:
+    """The left rows with `name`, a struct of the other columns of the right row with equal keys (null: there is none).
+
+    `right` has one row a key and in `weight` the number of left rows with it. Keys with over one in HOT_KEYS of these
+    rows, which are at most HOT_KEYS keys whatever the size, are broadcast; only the others meet by a shuffle, so no key
+    fills a task. Left rows that found a hot key are spread in that shuffle, where they match nothing. Keys aren't null."""
+    total = right.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    most = total // HOT_KEYS
+    value = F.struct(*[c for c in right.columns if c not in keys])
+    hot = right.where(F.col(weight) > most).select(*keys, value.alias("__hot"))
+    cold = right.where(F.col(weight) <= most).select(*keys, F.lit(0).cast("long").alias("__salt"), value.alias("__cold"))
+    salt = F.when(F.col("__hot").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.lit(1024)) + 1)
+    found = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", salt.cast("long")).join(cold, [*keys, "__salt"], "left")
+    return found.select(*left.columns, F.coalesce("__hot", "__cold").alias(name))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

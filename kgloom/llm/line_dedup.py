@@ -1,13 +1,20 @@
 """Line dedup over a log-template tree, in DataFrame functions only.
 
-A line's tokens are its words; a token that holds a digit, a web address or a mail address is a variable field. The tree
-has fixed depth: a line goes down by its token count, then by its leading tokens (a variable field takes the branch
-<*>), and ends in the leaf's template: the rest of its tokens with variable fields generalised to <*>. A template that
-occurs in at least `min_docs` documents is boilerplate: it is dropped wherever it recurs, but for the document with the
-smallest doc_id, which keeps its text.
-
-Only 64-bit keys of templates are shuffled by template, each once a document; counts are pre-aggregated, so a line that
-a third of all documents share is one row per task. Texts move once, by doc_id, to meet what they must drop.
+A line's tokens are its words; a token that holds a digit, a web address or a mail address is a variable field at once.
+The tree has fixed depth: a line goes down by its token count, by its first and its second token, and by the four equal
+runs that the rest of its tokens is cut into. At each of these levels below the count there is the branch <*> beside the
+token's own, for fields that vary: a line fits its literal template, those that take <*> at one level, and those that
+take it at both leading tokens or at two runs. So lines that agree but in one or two places, whatever stands there, meet
+in a template; one with <*> for a part must have at least `least_constant` constant tokens, and half of all.
+
+Each line takes the template that most documents have, then the one with most constants, then with <*> furthest up. A template that at least
+`min_docs` documents have taken is boilerplate: it is dropped wherever it recurs, but for the document with the smallest
+doc_id, which keeps its lines. As each line has one template, what is dropped has a line of its template that stays.
+
+Templates are told apart by their parts' 64-bit hashes, token count and place of <*> together, kept as 128 bits. Only
+hashes are shuffled by template, folded to one row a distinct line first; lines that fit none of the
+widest templates together with another line skip the search. Templates with over a two-thousandth of all rows are broadcast (at most 2,000 of them),
+so no template fills a task. Texts move once, to meet what they must drop.
 
 Defined results: a null text has no lines and stays null; an empty text is one blank line; blank lines (no tokens) have
 no template and always stay; a document whose every line is dropped has the text ''. Documents are rows: repeated rows
@@ -21,68 +28,129 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, text_or_empty, written
+from kgloom.llm.common import documents, join_hot, text_or_empty, written
 
 MIN_DOCS = 3
-DEPTH = 3
-# What is replaced in a whole text, in order, before it is split into lines.
-_STEPS = (
-    (r"[\x20\x09\x0B-\x0D]+", " "),
-    (r" ?\n ?", "\n"),
-    (r"(^|[ \n])[^ \n]*[0-9][^ \n]*", "$1<*>"),
-    (r"(^|[ \n])[^ \n]*(://|@)[^ \n]*", "$1<*>"),
-)
-
-
-def generalised(text: Column) -> Column:
-    """Each line with single spaces between tokens and <*> for variable fields."""
-    for pattern, by in _STEPS:
-        text = F.regexp_replace(text, pattern, by)
-    return F.split(F.trim(text), "\n")
-
-
-def template_key(line: Column, depth: int = DEPTH) -> Column:
-    """The hash of a generalised line's path: token count, leading tokens, template of the rest."""
-    count = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return F.xxhash64(count, F.substring_index(line, " ", depth), line)
-
-
-def _says_enough(line: Column) -> Column:
-    """Whether at least half of a generalised line's tokens are constant."""
-    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-    fields = (F.length(line) - F.length(F.replace(line, F.lit("<*>"), F.lit("")))) / 3
-    return fields * 2 <= tokens
-
-
-def _keys(text: Column, constants: bool = False) -> Column:
-    """Each line's template key, null for a blank line and, with `constants`, for one that is mostly variable fields. A text's outer blanks are trimmed, which can't change its number of lines."""
-    return F.transform(generalised(text), lambda x: F.when((F.length(x) > 0) & (_says_enough(x) if constants else F.lit(True)), template_key(x)))
-
-
-def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False) -> DataFrame:
-    """(doc_id, dropped): for each document the template keys that it must drop."""
-    lines = docs.where("text IS NOT NULL").select("doc_id", F.explode(F.array_distinct(_keys(F.col("text"), constants))).alias("key")).where("key IS NOT NULL")
-    lines = written(lines, "line-keys")  # worked out once, read for the counts and for the answer
-    known = lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    often = known.where((F.col("n") >= min_docs) & (~F.col("first").eqNullSafe(F.col("last")) | (F.col("first").isNotNull() & F.col("unnamed"))))
-    gone = lines.join(often.select("key", "first"), "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id").agg(F.collect_set("key").alias("dropped"))
-
-
-def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False, whole: str | None = None) -> DataFrame:
+LEAST_CONSTANT = 4
+_RUNS = 4
+#: The parts (first token, second token, four runs) that a template has as <*>.
+_MASKS = ((), (0,), (1,), (2,), (3,), (4,), (5,), (0, 1), (2, 3), (4, 5), (2, 4), (2, 5), (3, 4), (3, 5))
+_WIDE = _MASKS[7:]
+_ODD = r"[\x09\x0B-\x0D]"
+_FIELD = r"[0-9@]|://"
+
+
+def lines_of(text: Column) -> Column:
+    """Each line's text, as it stands."""
+    return F.split(text, "\n")
+
+
+def tokens(line: Column) -> Column:
+    """A line's tokens, <*> for variable fields."""
+    plain = F.when(line.rlike(_ODD), F.regexp_replace(line, _ODD, " ")).otherwise(line)
+    words = F.filter(F.split(plain, " "), lambda x: x != "")
+    return F.when(line.rlike(_FIELD), F.transform(words, lambda x: F.when(x.rlike(_FIELD), "<*>").otherwise(x))).otherwise(words)
+
+
+def parts(words: Column) -> Column:
+    """(n, constant, id, h, c) of a tokenised line: numbers of all and of constant tokens, a 64-bit name of the line, and each part's hash and number of constant tokens."""
+    n = F.size(words)
+    rest = n - 2
+    edge = lambda k: F.floor(rest * k / _RUNS).cast("int")
+    cut = [F.slice(words, 1, 1), F.slice(words, 2, 1)]
+    cut += [F.when(rest > 0, F.slice(words, edge(k) + 3, edge(k + 1) - edge(k))).otherwise(F.slice(words, 1, 0)) for k in range(_RUNS)]
+    fields = lambda x: F.size(x) - F.size(F.array_remove(x, "<*>"))
+    return F.struct(n.alias("n"), (n - fields(words)).alias("constant"), F.xxhash64(words).alias("id"), F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(cut)]).alias("h"), F.array(*[(F.size(x) - fields(x)).cast("int") for x in cut]).alias("c"))
+
+
+def _template(mask: tuple[int, ...]) -> Column:
+    """A line's template with these parts as <*>: 128 bits and its number of constant tokens."""
+    at = [F.lit(0).cast("long") if k in mask else F.col("h")[k] for k in range(_RUNS + 2)]
+    name = F.lit(sum(1 << k for k in mask))
+    left = F.col("constant") - sum((F.col("c")[k] for k in mask), F.lit(0))
+    return F.struct(F.xxhash64(F.lit(1), name, "n", *at).alias("a"), F.xxhash64(F.lit(2), name, "n", *at).alias("b"), left.alias("left"), F.lit(len(mask)).alias("masked"), name.alias("mask"))
+
+
+def _allowed(mask: tuple[int, ...], least_constant: int) -> Column:
+    left = F.col("constant") - sum((F.col("c")[k] for k in mask), F.lit(0))
+    return F.lit(True) if not mask else (left >= least_constant) & (left * 2 >= F.col("n"))
+
+
+def _recurs(min_docs: int) -> Column:
+    many = ~F.col("first").eqNullSafe(F.col("last")) | (F.col("first").isNotNull() & F.col("unnamed"))
+    return (F.col("docs") >= min_docs) & many
+
+
+def _found(docs: DataFrame, constants: bool) -> DataFrame:
+    """(doc_id, own, n, constant, id, h, c, a, b): each document's distinct lines that aren't blank; own is the text's hash, (a, b) the literal template."""
+    words = F.filter(F.transform(lines_of(F.col("text")), tokens), lambda x: F.size(x) > 0)
+    each = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.array_distinct(F.transform(words, parts))).alias("x"))
+    rows = each.select("doc_id", "own", "x.*")
+    if constants:
+        rows = rows.where("constant * 2 >= n")
+    return rows.select("*", _template(()).alias("t")).select("doc_id", "own", "n", "constant", "id", "h", "c", "t.a", "t.b")
+
+
+def templates(found: DataFrame, min_docs: int = MIN_DOCS, least_constant: int = LEAST_CONSTANT) -> DataFrame:
+    """(a, b, rows, first) for each distinct line whose template recurs: its number of rows and the doc_id that keeps the template."""
+    spec = ["a", "b", "n", "constant", "h", "c"]
+    lines = found.groupBy(*spec).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
+    lines = written(lines, "line-distinct")
+    # Lines that share any template share one of the widest: only those go on.
+    wide = lambda: F.explode(F.filter(F.array(*[F.when(_allowed((), 0), _template(m)) for m in _WIDE]), lambda x: x["left"] >= 0))
+    pairs = lines.select("a", "b", wide().alias("w")).select("a", "b", F.col("w.a").alias("wa"), F.col("w.b").alias("wb"))
+    shared = pairs.groupBy("wa", "wb").agg(F.count("*").alias("lines")).where("lines > 1")
+    able = written(join_hot(pairs, written(shared, "line-pairs"), ["wa", "wb"], "lines", "met").where("met IS NOT NULL").select("a", "b").distinct(), "line-able")
+    some = lines.join(able, ["a", "b"], "left_semi")
+    kinds = F.explode(F.filter(F.array(*[F.when(_allowed(m, least_constant), _template(m)) for m in _MASKS]), lambda x: x.isNotNull()))
+    fits = some.select("a", "b", "docs", "first", "last", "unnamed", kinds.alias("t"))
+    fits = written(fits.select("a", "b", "docs", "first", "last", "unnamed", F.col("t.a").alias("ta"), F.col("t.b").alias("tb"), F.col("t.left").alias("left"), F.col("t.masked").alias("masked"), F.col("t.mask").alias("mask")), "line-fits")
+    sizes = written(fits.groupBy("ta", "tb").agg(F.sum("docs").alias("all"), F.count("*").alias("lines")), "line-sizes")
+    best = F.struct(F.col("size.all").alias("all"), F.col("left"), (-F.col("masked")).alias("literal"), (-F.col("mask")).alias("before"), F.col("ta"), F.col("tb"))
+    taken = join_hot(fits, sizes, ["ta", "tb"], "lines", "size").groupBy("a", "b").agg(F.max(best).alias("best"))
+    taken = taken.select("a", "b", F.col("best.ta").alias("ta"), F.col("best.tb").alias("tb"))
+    chosen = lines.join(taken, ["a", "b"], "left").select("a", "b", F.coalesce("ta", "a").alias("ta"), F.coalesce("tb", "b").alias("tb"), "docs", "first", "last", "unnamed")
+    chosen = written(chosen, "line-chosen")
+    often = chosen.groupBy("ta", "tb").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("unnamed").alias("unnamed"), F.count("*").alias("lines")).where(_recurs(min_docs)).select("ta", "tb", "first", "lines")
+    held = join_hot(chosen.select("a", "b", "ta", "tb", "docs"), written(often, "line-often"), ["ta", "tb"], "lines", "kept").where("kept IS NOT NULL")
+    return held.select("a", "b", F.col("docs").alias("rows"), F.col("kept.first").alias("first"))
+
+
+def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False, least_constant: int = LEAST_CONSTANT) -> DataFrame:
+    """(doc_id, own, dropped): for each document the names of the lines that it must drop."""
+    found = written(_found(docs, constants), "line-keys")  # worked out once, read for the counts and for the answer
+    known = written(templates(found, min_docs, least_constant), "line-templates")
+    gone = join_hot(found.select("a", "b", "doc_id", "own", "id"), known, ["a", "b"], "rows", "known")
+    gone = gone.where("known IS NOT NULL").where(~F.col("doc_id").eqNullSafe(F.col("known.first")))
+    return gone.groupBy("doc_id", "own").agg(F.collect_set("id").alias("dropped"))
+
+
+def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False, whole: str | None = None, least_constant: int = LEAST_CONSTANT) -> DataFrame:
     """The input with `text` less the dropped lines, `n_lines` and `n_dropped`. With `constants`, lines that are mostly variable fields have no template. A column called `whole` has the full text of documents that only blanks are left of."""
-    gone = recurring(docs.select("doc_id", "text"), min_docs, constants)
-    both = docs.drop("n_lines", "n_dropped", "_dropped").alias("d").join(gone.withColumnRenamed("dropped", "_dropped").alias("g"), F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select("d.*", "_dropped")
-    lines = F.split(F.col("text"), "\n")
-    pairs = F.arrays_zip(lines.alias("line"), _keys(F.col("text"), constants).alias("key"))
-    stay = F.filter(pairs, lambda x: ~F.coalesce(F.array_contains(F.col("_dropped"), x["key"]), F.lit(False)))
-    both = both.withColumn("_stay", F.when(F.col("_dropped").isNull(), lines).otherwise(F.transform(stay, lambda x: x["line"])))
-    both = both.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    both = both.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_stay")).cast("long"))
-    left = F.array_join("_stay", "\n")
+    gone = recurring(docs.select("doc_id", "text"), min_docs, constants, least_constant)
+    rows = docs.drop("n_lines", "n_dropped")
+    # Rows travel as structs, so that no column of theirs can clash with ours.
+    left = rows.select(F.struct("*").alias("row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__own"))
+    same = F.col("l.__id").eqNullSafe(F.col("g.doc_id")) & (F.col("l.__own") == F.col("g.own"))
+    both = left.alias("l").join(gone.alias("g"), same, "left").select("row", "dropped")
+    # A document's dropped names are dealt into lists by their last bits, so that a line is sought in a short one.
+    lists = F.least(F.lit(256), F.size("dropped") / 16 + 1).cast("long")
+    dealt = F.when(F.size("dropped") <= 32, F.array("dropped")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), lists - 1), lambda k: F.filter("dropped", lambda x: F.pmod(x, lists) == k)))
+    both = both.withColumn("dealt", F.when(F.col("dropped").isNotNull(), dealt))
+    lines = lines_of(F.col("row.text"))
+    name = lambda x: F.xxhash64(tokens(x))
+    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
+    stays = lambda x: blank(x) | ~F.array_contains(F.element_at("dealt", (F.pmod(name(x), F.size("dealt").cast("long")) + 1).cast("int")), name(x))
+    both = both.withColumn("stay", F.when(F.col("dealt").isNull(), lines).otherwise(F.filter(lines, stays)))
+    text = F.col("row.text")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_dropped = F.when(text.isNull(), 0).otherwise(F.size(lines) - F.size("stay")).cast("long")
+    kept = F.when(F.col("dealt").isNull(), text).otherwise(F.array_join("stay", "\n"))
+    columns = [kept.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in rows.columns]
     if whole:
-        both = both.withColumn(whole, F.when((F.col("n_dropped") > 0) & (F.length(F.trim(F.translate(left, "\n", " "))) == 0), F.col("text")))
-    return both.withColumn("text", left).drop("_stay", "_dropped")
+        bare = (n_dropped > 0) & (F.length(F.trim(F.translate(kept, "\n", " "))) == 0)
+        columns.append(F.when(bare, text).alias(whole))
+    return both.select(*columns, n_lines.alias("n_lines"), n_dropped.alias("n_dropped"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,16 +158,30 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode(text_or_empty(), "UTF-8"), 256).alias("kept_sha256"))
 
 
+def _sql() -> str:
+    """The same in DuckDB's SQL, over the parts' words instead of hashes."""
+    run = lambda k: f"array_to_string(list_slice(w, 3 + floor((len(w) - 2) * {k} / 4)::INT, 2 + floor((len(w) - 2) * {k + 1} / 4)::INT), ' ')"
+    cuts = ["w[1]", "w[2]", *[f"CASE WHEN len(w) > 2 THEN {run(k)} ELSE '' END" for k in range(_RUNS)]]
+    fits = []
+    for mask in _MASKS:
+        own = ", ".join("'<*>'" if k in mask else f"coalesce(p[{k + 1}], '')" for k in range(_RUNS + 2))
+        left = " - ".join(["len(list_filter(w, lambda x: x <> '<*>'))", *[f"len(list_filter(string_split(coalesce(p[{k + 1}], ''), ' '), lambda x: x NOT IN ('', '<*>')))" for k in mask]])
+        fits.append(f"SELECT w, docs, first, last, [{own}] AS p, len(w) AS n, {sum(1 << k for k in mask)} AS mask, {len(mask)} AS masked, {left} AS kept FROM k")
+    return rf"""
+WITH x AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+y AS (SELECT doc_id, text, ls, list_transform(ls, lambda l: list_transform(list_filter(string_split(regexp_replace(l, '[\x09\x0B-\x0D]', ' ', 'g'), ' '), lambda t: t <> ''),
+      lambda t: CASE WHEN regexp_matches(t, '[0-9@]|://') THEN '<*>' ELSE t END)) AS ws FROM x),
+d AS (SELECT doc_id, unnest(list_distinct(ws)) AS w FROM y WHERE text IS NOT NULL),
+k0 AS (SELECT w, count(*) AS docs, min(doc_id) AS first, max(doc_id) AS last FROM d WHERE len(w) > 0 GROUP BY w),
+k AS (SELECT *, [{", ".join(cuts)}] AS p FROM k0),
+f AS ({" UNION ALL ".join(fits)}),
+g AS (SELECT *, sum(docs) OVER (PARTITION BY n, mask, p) AS everywhere FROM f WHERE masked = 0 OR (kept >= {LEAST_CONSTANT} AND kept * 2 >= n)),
+b AS (SELECT w, docs, first, last, n, mask, p FROM g QUALIFY row_number() OVER (PARTITION BY w ORDER BY everywhere DESC, kept DESC, masked, mask) = 1),
+c AS (SELECT w, min(first) OVER t AS first FROM b WINDOW t AS (PARTITION BY n, mask, p) QUALIFY sum(docs) OVER t >= {MIN_DOCS} AND min(first) OVER t <> max(last) OVER t),
+q AS (SELECT d.doc_id, list(d.w) AS gone FROM d JOIN c USING (w) WHERE d.doc_id <> c.first GROUP BY d.doc_id),
+s AS (SELECT y.doc_id, len(ls) AS n, CASE WHEN gone IS NULL THEN ls ELSE list_transform(list_filter(list_zip(ls, ws), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END AS stay FROM y LEFT JOIN q USING (doc_id))
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n - len(stay), 0)::BIGINT AS n_dropped, sha256(coalesce(array_to_string(stay, chr(10)), '')) AS kept_sha256 FROM s"""
+
+
 QUERIES = {"op7_line_dedup": op7_line_dedup}
-SQL = {
-    "op7_line_dedup": r"""
-WITH p AS (SELECT doc_id, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
-             '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '(^|[ \n])[^ \n]*[0-9][^ \n]*', '\1<*>', 'g'), '(^|[ \n])[^ \n]*(://|@)[^ \n]*', '\1<*>', 'g'), ' ') AS m FROM documents),
-d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls, string_split(m, chr(10)) AS ms FROM p),
-x AS (SELECT doc_id, unnest(list_distinct(ms)) AS m FROM d WHERE text IS NOT NULL),
-k AS (SELECT m, min(doc_id) AS first FROM x WHERE m <> '' GROUP BY m HAVING count(*) >= 3 AND min(doc_id) <> max(doc_id)),
-g AS (SELECT x.doc_id, list(x.m) AS gone FROM x JOIN k USING (m) WHERE x.doc_id <> k.first GROUP BY x.doc_id),
-s AS (SELECT d.doc_id, len(ls) AS n, CASE WHEN gone IS NULL THEN ls ELSE list_transform(list_filter(list_zip(ls, ms), lambda z: NOT list_contains(gone, z[2])), lambda z: z[1]) END AS stay FROM d LEFT JOIN g USING (doc_id))
-SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(n - len(stay), 0)::BIGINT AS n_dropped,
-       sha256(coalesce(array_to_string(stay, chr(10)), '')) AS kept_sha256 FROM s""",
-}
+SQL = {"op7_line_dedup": _sql()}

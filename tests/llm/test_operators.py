@@ -222,3 +222,68 @@ def test_licenses_against_all_windows():
     mit = licenses.TEMPLATES["MIT"]
     edited = mit.replace("hereby", "now").replace("charge", "cost").replace("obtaining", "getting")
     assert [(x[0], x[4]) for x in licenses.Scanner().scan(mit + " filler" * 300 + " " + edited + " " + mit)] == [("MIT", 3)]
+
+
+def test_line_dedup_finds_fields_by_what_varies(spark):
+    rows = [(k, f"user {n} logged in from home\nown {'abcd'[k]}") for k, n in enumerate(("alice", "bob", "carol", "dave"))]
+    rows += [(10 + k, f"Posted by {n} in News") for k, n in enumerate(("alice", "bob", "carol"))]
+    rows += [(20 + k, f"a b c d e f {n} g h i j k {m} l") for k, (n, m) in enumerate((("x", "y"), ("z", "w"), ("u", "v")))]
+    rows += [(33 + k, f"the house of {n}") for k, n in enumerate("XYZ")] + [(None, "user eve logged in from home")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    # Three constant tokens are too few for a template with <*>; two fields may stand in different runs.
+    want = dict(rows) | {1: "own b", 2: "own c", 3: "own d", 11: "", 12: "", 21: "", 22: "", None: ""}
+    assert got == want
+
+
+def _line_brute(rows):
+    """The texts that stay, by the definition: templates over words, no hashes."""
+    split = lambda line: ["<*>" if any(c in "0123456789@" for c in t) or "://" in t else t for t in "".join(" " if c in "\t\v\f\r" else c for c in line).split(" ") if t]
+    of, lines = {}, {}
+    for at, (doc, text) in enumerate(rows):
+        for w in {tuple(split(line)) for line in (text or "").split("\n")} - {()}:
+            lines.setdefault(w, []).append((at, doc))
+
+    def fits(w):
+        rest = max(len(w) - 2, 0)
+        cut = [w[:1], w[1:2], *[w[2 + rest * k // 4 : 2 + rest * (k + 1) // 4] for k in range(4)]]
+        for mask in line_dedup._MASKS:
+            left = sum(t != "<*>" for k, p in enumerate(cut) if k not in mask for t in p)
+            if not mask or (left >= 4 and 2 * left >= len(w)):
+                yield left, -len(mask), -sum(1 << k for k in mask), (len(w), mask, tuple(None if k in mask else p for k, p in enumerate(cut)))
+
+    docs = {}
+    for w, held in lines.items():
+        for *_, t in fits(w):
+            docs[t] = docs.get(t, 0) + len(held)
+    taken = {}
+    for w, held in lines.items():
+        of[w] = max((docs[t], a, b, c, t) for a, b, c, t in fits(w))[-1]
+        taken.setdefault(of[w], []).extend(held)
+    out = []
+    for doc, text in rows:
+        stay = []
+        for line in (text or "").split("\n"):
+            held = taken.get(of.get(tuple(split(line))), [])
+            ids = [d for _, d in held if d is not None]
+            often = len(held) >= 3 and ids and len({d for _, d in held}) > 1
+            if not often or doc == min(ids):
+                stay.append(line)
+        out.append((str(doc), None if text is None else "\n".join(stay)))
+    return sorted(out, key=str)
+
+
+def test_line_dedup_against_brute_force(spark):
+    r = random.Random(12)
+    words = "one two three four five six seven 8 nine@x <*> x://y".split()
+    frames = [[r.choice(words) for _ in range(r.choice((1, 2, 4, 6, 9, 13)))] for _ in range(25)]
+    rows = []
+    for k in range(90):
+        text = []
+        for _ in range(r.randrange(7)):
+            line = list(r.choice(frames))
+            for _ in range(r.randrange(3)):
+                line[r.randrange(len(line))] = r.choice(words)
+            text.append(r.choice((" ", "  ", "\t")).join(line))
+        rows.append((r.choice((k, k // 2, None)), r.choice(("\n", "\n\n")).join(text) if k % 11 else None))
+    got = sorted(((str(x.doc_id), x.text) for x in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == _line_brute(rows)
