@@ -3,10 +3,16 @@
 The words of all documents are counted; the most frequent ones (at most `lexicon_size`, which bounds what is broadcast)
 are compiled with their token ids into a minimal acyclic automaton: common suffixes are shared, each arc carries a
 number, and the sum along a word's path is the place of its ids in an output table. The compiled bytes are mapped into
-memory by each worker. Words that the automaton doesn't hold are merged exactly, in batches: lowest merge rank first,
-leftmost first. The lexicon never changes a result, only the work done for it.
+memory by each worker (in a local file of the worker's own, made anew from what was sent). Words that the automaton
+doesn't hold are merged exactly, in batches: lowest merge rank first, leftmost first. The lexicon never changes a result,
+only the work done for it.
+
+Workers hold a bounded part of the texts at a time: about a million characters. Longer texts are cut before a blank that
+follows another character, where a word begins whatever stands around it. What a worker has learnt of words is forgotten
+once it takes `_MEMO_BYTES`.
 
 Special tokens of the tokenizer file found in a text become their single id, as the tokenizers library does by default.
+Tokenizer files with parts that this module doesn't have (normalisers, other splits, options of added tokens) are refused.
 
 Defined results: a null text is encoded as the empty one (no ids, decoded ''); whole texts are encoded however long;
 repeated rows are encoded each; an empty table gives an empty result; the input's other columns are kept, and where one
@@ -15,6 +21,7 @@ is called `ids` or `decoded` it is replaced.
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import heapq
 import itertools
@@ -40,7 +47,7 @@ from kgloom.llm.common import documents, text_or_empty, written
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 _NEVER = np.int32(2**31 - 1)
 _LONG = 64  # longer words are merged one by one over a heap
-_MEMO = 600_000  # words whose ids a worker keeps; beyond it, it starts anew
+_MEMO_BYTES = 32 << 20  # what a worker keeps of words and their ids; beyond it, it starts anew
 
 
 def byte_letters() -> list[str]:
@@ -50,12 +57,38 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+def _refuse_unknown(whole: dict) -> None:
+    model, split = whole["model"], whole.get("pre_tokenizer") or {}
+    wrong = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    wrong += ["normalizer"] if whole.get("normalizer") else []
+    if model.get("type") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        wrong.append("pre_tokenizer")
+    wrong += [x["content"] for x in whole["added_tokens"] if x.get("single_word") or x.get("lstrip") or x.get("rstrip") or x.get("normalized")]
+    if wrong:
+        raise ValueError(f"not supported in a tokenizer file: {wrong}")
+
+
+class Packed:
+    """Byte strings side by side, and any choice of them joined."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.start = np.cumsum(self.size) - self.size
+        self.data = np.frombuffer(b"".join(strings), np.uint8)
+
+    def join(self, ids: np.ndarray) -> np.ndarray:
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        return self.data[np.repeat(self.start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 class Vocabulary:
     """The tables of a tokenizer file, in a form that is cheap to send: under 3 MB for 50,000 merges."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
+        _refuse_unknown(whole)
         vocab = whole["model"]["vocab"]
         letters = byte_letters()
         back = {letter: b for b, letter in enumerate(letters)}
@@ -282,6 +315,7 @@ class Encoder:
         self.beyond = re.compile("[^\\u0000-\\u024f]").search
         special = sorted(vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
+        self.blanks = any(" " in x for x in special)  # then no blank is a safe place to cut at
         self._forget()
 
     def _forget(self) -> None:
@@ -289,9 +323,18 @@ class Encoder:
         tokens = list(self.vocabulary.special.items())
         for content, _ in tokens:
             self.at["\0special" + content]  # noqa: B018  takes a place
+        self.known, self.bytes = len(tokens), 0
         self.store = np.array([x for _, x in tokens], np.int32)
+        self.filled = len(tokens)
         self.start, self.count = np.arange(len(tokens)), np.ones(len(tokens), np.int64)
 
+    def pieces(self, text: str) -> Iterator[str]:
+        """A text, cut into parts where words begin."""
+        while len(text) > _PIECE and (cut := self._cut(text, _PIECE)):
+            yield text[:cut]
+            text = text[cut:]
+        yield text
+
     def words(self, text: str) -> list[str]:
         split = self.split if self.beyond(text) else self.latin
         if self.special is None or not any(x in text for x in self.vocabulary.special):
@@ -302,7 +345,7 @@ class Encoder:
         return out
 
     def _learn(self) -> None:
-        new = [x.encode() for x in itertools.islice(self.at, len(self.count), None)]
+        new = [x.encode() for x in itertools.islice(self.at, self.known, None)]
         if not new:
             return
         ids = self.lexicon.find(new) if self.lexicon else [None] * len(new)
@@ -310,12 +353,17 @@ class Encoder:
         for k, x in zip(rest, self.vocabulary.merge([new[k] for k in rest]), strict=True):
             ids[k] = x
         count = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.start = np.concatenate([self.start, len(self.store) + np.cumsum(count) - count])
-        self.store, self.count = np.concatenate([self.store, *ids]), np.concatenate([self.count, count])
+        total = int(count.sum())
+        self.store, self.start, self.count = (_room(x, n) for x, n in ((self.store, self.filled + total), (self.start, self.known + len(ids)), (self.count, self.known + len(ids))))
+        self.store[self.filled : self.filled + total] = np.concatenate(ids)
+        self.start[self.known : self.known + len(ids)] = self.filled + np.cumsum(count) - count
+        self.count[self.known : self.known + len(ids)] = count
+        self.filled, self.known = self.filled + total, self.known + len(ids)
+        self.bytes += sum(map(len, new)) + 200 * len(new) + 8 * total  # about: words as strings in a dict, ids in grown arrays
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' ids in one array, and the offsets of each text."""
-        if len(self.at) > _MEMO:
+        if self.bytes > _MEMO_BYTES:
             self._forget()
         place = self.at.__getitem__
         places = []
@@ -330,6 +378,39 @@ class Encoder:
         bounds = np.concatenate([[0], ends])[np.cumsum([0, *map(len, places)])]
         return ids, bounds
 
+    def encode_rows(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, bool]]:
+        """A column of texts in bounded parts: (first row, row after the last, ids, offsets, whether the last row ends here); a row that doesn't goes on in the next part."""
+        row, part, size = 0, [], 0
+        for k in range(len(column)):
+            text = column[k].as_py() or ""
+            while size + len(text) > _PIECE and (cut := self._cut(text, max(_PIECE - size, 1))):
+                part.append(text[:cut])
+                yield row, k + 1, *self.encode(part), False
+                text, row, part, size = text[cut:], k, [], 0
+            part.append(text)
+            size += len(text)
+            if size >= _PIECE:
+                yield row, k + 1, *self.encode(part), True
+                row, part, size = k + 1, [], 0
+        if part:
+            yield row, len(column), *self.encode(part), True
+
+    def _cut(self, text: str, at: int) -> int:
+        """A place from `at` on where a word begins whatever stands around it; 0 if there is none."""
+        if self.blanks or at >= len(text):
+            return 0
+        found = _EDGE.search(text, at)
+        return found.start() + 1 if found else 0
+
+
+def _room(array: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for `size` entries, grown by doubling."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
 
 _ENCODERS: dict[bytes, Encoder] = {}
 
@@ -344,18 +425,7 @@ def _encoder(vocabulary: Vocabulary, compiled: bytes) -> Encoder:
 
 
 _PIECE = 1 << 20  # characters that are encoded at a time
-
-
-def _pieces(texts: list[str]) -> Iterator[list[str]]:
-    part, n = [], 0
-    for x in texts:
-        part.append(x)
-        n += len(x)
-        if n >= _PIECE:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+_EDGE = re.compile(r"\S(?= )")
 
 
 def word_counts(docs: DataFrame, vocabulary, flush_at: int = 300_000) -> DataFrame:
@@ -369,10 +439,11 @@ def word_counts(docs: DataFrame, vocabulary, flush_at: int = 300_000) -> DataFra
 
         for batch in batches:
             for text in batch.column("text"):
-                seen.update(encoder.words(text.as_py()))
-                if len(seen) > flush_at:
-                    yield out()
-                    seen.clear()
+                for piece in encoder.pieces(text.as_py()):
+                    seen.update(encoder.words(piece))
+                    if len(seen) > flush_at:
+                        yield out()
+                        seen.clear()
         yield out()
 
     counted = docs.select(text_or_empty().cast("string").alias("text")).mapInArrow(run, "word string, n long")
@@ -405,13 +476,15 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 16) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(table.value, compiled.value)
         for batch in batches:
-            at = 0
-            texts = ["" if x is None else x for x in batch.column("text").to_pylist()]
-            for part in _pieces(texts):
-                ids, bounds = encoder.encode(part)
+            held: list[np.ndarray] = []  # of a row that isn't finished
+            for first, stop, ids, bounds, whole in encoder.encode_rows(batch.column("text")):
+                ids = np.concatenate([*held, ids])
+                bounds = bounds + sum(map(len, held))
+                bounds[0], held = 0, []
+                if not whole:
+                    held, stop, bounds, ids = [ids[bounds[-2] :]], stop - 1, bounds[:-1], ids[: bounds[-2]]
                 column = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
-                rows = batch.slice(at, len(part))
-                at += len(part)
+                rows = batch.slice(first, stop - first)
                 yield pa.RecordBatch.from_arrays([*rows.columns, column], names=[*rows.schema.names, "ids"])
 
     kept = docs.drop("ids").withColumn("text", F.col("text").cast("string"))
@@ -423,15 +496,58 @@ def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
     table = coded.sparkSession.sparkContext.broadcast(Vocabulary(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = table.value.pieces.__getitem__
+        pieces = Packed(table.value.pieces)
         for batch in batches:
-            texts = [b"".join(map(pieces, x.values.to_pylist() if x.is_valid else ())).decode("utf-8", "replace") for x in batch.column("ids")]
+            texts = [pieces.join(x.values.to_numpy()).tobytes().decode("utf-8", "replace") if x.is_valid else "" for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
     coded = coded.drop("decoded")
     return coded.mapInArrow(run, T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
+class _Digests:
+    """SHA-256 of a text's ids, written with commas between, and of what they decode to; ids may come in parts."""
+
+    def __init__(self, pieces: Packed, numbers: Packed):
+        self.pieces, self.numbers = pieces, numbers
+        self.count, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+        self.decoder = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def add(self, ids: np.ndarray, last: bool) -> None:
+        written_ = self.numbers.join(ids).tobytes()
+        self.ids.update(written_[not self.count :] if len(ids) else b"")  # each number comes with a comma before it
+        self.text.update(self.decoder.decode(self.pieces.join(ids).tobytes(), last).encode())
+        self.count += len(ids)
+
+
+def round_trip(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 16) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): each text encoded, and its ids decoded again, in one pass of a worker; neither ids nor texts leave it."""
+    sc = docs.sparkSession.sparkContext
+    vocabulary = Vocabulary(tokenizer)
+    table = sc.broadcast(vocabulary)
+    compiled = sc.broadcast(build_lexicon(docs, vocabulary, lexicon_size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(table.value, compiled.value)
+        pieces, numbers = Packed(table.value.pieces), Packed([b",%d" % k for k in range(len(table.value.pieces))])
+        for batch in batches:
+            out, held = [], None
+            for _, _, ids, bounds, whole in encoder.encode_rows(batch.column("text")):
+                last = len(bounds) - 2
+                for k in range(last + 1):
+                    held = held or _Digests(pieces, numbers)
+                    ends = whole or k < last
+                    held.add(ids[bounds[k] : bounds[k + 1]], ends)
+                    if ends:
+                        out.append((held.count, held.ids.hexdigest(), held.text.hexdigest()))
+                        held = None
+            columns = [pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], *[T.StructField(n, t) for n, t in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()))]]))
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -439,11 +555,7 @@ def default_tokenizer() -> str:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokenizer = default_tokenizer()
-    coded = encode(documents(spark, sf_dir).select("doc_id", "text"), tokenizer)
-    both = decode(coded.select("doc_id", "ids"), tokenizer)
-    sha = lambda x: F.sha2(F.encode(x, "UTF-8"), 256)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"), sha(F.col("decoded")).alias("decoded_sha256"))
+    return round_trip(documents(spark, sf_dir).select("doc_id", "text"), default_tokenizer())
 
 
 QUERIES = {"op3_bpe": op3_bpe}

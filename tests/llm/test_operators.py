@@ -1,9 +1,11 @@
 """Small cases of each training-data operator against brute force: nulls, empty and repeated rows, ties, empty tables."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kgloom.llm import archives, bpe, exact_dedup, licenses, line_dedup, mixing, quality, simhash, suffix_dedup, topk
@@ -130,6 +132,48 @@ def test_bpe(spark):
     assert len(got) == len(rows) and bpe.encode(none(spark), bpe.default_tokenizer()).count() == 0
 
 
+def test_bpe_in_parts(spark, monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    whole = tokenizers.Tokenizer.from_file(bpe.default_tokenizer())
+    r = random.Random(1)
+    marks = ["a", "b", "é", "😀", " ", "  ", "\n", "\t", "1", "٣", "'s", "'ll", ".", "!!", "<|endoftext|>", "漢", " ", "the", " and", "ǿ"]
+    texts = [None, "", " " * 3000, "x" * 3000, *["".join(r.choice(marks) for _ in range(r.choice([3, 30, 300, 5000]))) for _ in range(200)]]
+    want = [whole.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(bpe, "_PIECE", 400)
+    monkeypatch.setattr(bpe, "_MEMO_BYTES", 20_000)
+    encoder, got = bpe.Encoder(bpe.Vocabulary(bpe.default_tokenizer())), [[] for _ in texts]
+    for first, stop, ids, bounds, _ in encoder.encode_rows(pa.array(texts)):
+        for k in range(stop - first):
+            got[first + k] += ids[bounds[k] : bounds[k + 1]].tolist()
+    assert got == want
+    monkeypatch.undo()
+    docs = spark.createDataFrame([(k, t, "x", "x") for k, t in enumerate(texts)], "doc_id long, text string, n_tokens string, ids string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    for x in bpe.round_trip(docs, bpe.default_tokenizer()).collect():
+        ids = want[x.doc_id]
+        assert tuple(x)[1:] == (len(ids), sha(",".join(map(str, ids))), sha(whole.decode(ids, skip_special_tokens=False)))
+    assert bpe.round_trip(docs.limit(0), bpe.default_tokenizer()).count() == 0
+
+
+def test_digests_join_parts_of_a_text():
+    vocabulary = bpe.Vocabulary(bpe.default_tokenizer())
+    ids = bpe.Encoder(vocabulary).encode(["né 😀 of it"])[0]
+    both = bpe._Digests(bpe.Packed(vocabulary.pieces), bpe.Packed([b",%d" % k for k in range(len(vocabulary.pieces))]))
+    for k, x in enumerate(ids):
+        both.add(np.array([x]), k == len(ids) - 1)
+    assert both.ids.hexdigest() == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert both.text.hexdigest() == hashlib.sha256("né 😀 of it".encode()).hexdigest()
+
+
+def test_other_tokenizer_files_are_refused():
+    with open(bpe.default_tokenizer(), encoding="utf-8") as file:
+        whole = json.load(file)
+    bpe._refuse_unknown(whole)
+    for change in ({"normalizer": {"type": "NFC"}}, {"model": whole["model"] | {"ignore_merges": True}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [whole["added_tokens"][0] | {"lstrip": True}]}):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe._refuse_unknown(whole | change)
+
+
 def test_lexicon_shares_suffixes():
     words = {w: np.array([k, k + 1]) for k, w in enumerate([b"nation", b"station", b"ration", b"rat", b"at"])}
     lexicon = bpe.Lexicon.mapped(bpe.Lexicon.compile(words))
