@@ -1,14 +1,21 @@
 """Exact dedup over a cuckoo-filter index of text digests.
 
-Every row's text is normalised (runs of white space become one space) and digested with SHA-256. A cuckoo filter
-holds short tags of the live digests; a tag hit is verified against the full digests stored for that bucket, so the
-filter's false positives never merge two texts; a filter that overflows is rebuilt at twice the size from the stored
-digests. Digests are indexed twice: first inside each input partition, which folds a hot text into one row per
-partition before anything is shuffled, then by digest.
-
-Defined results: a null text counts as empty; empty texts form one group; rows with equal doc_id all take part, a null
-doc_id never becomes keep_id unless the whole group has null ids; an empty table gives an empty result; other columns
-of the input are ignored by `groups` and kept by `dedup`.
+Every row's text is normalised (runs of white space become one space) and digested with SHA-256. A cuckoo filter holds
+short tags of the live digests in buckets of four. The stored content is bucketed likewise: a digest and its value lie
+under its tag and the pair of buckets that the tag may be in. A lookup asks the filter; on a tag hit it compares the full
+digests of that one bucket of content, so the filter's false positives never merge two texts, and without a hit nothing
+stored is read. A filter that overflows is rebuilt at twice the size from the stored digests.
+
+Digests are indexed twice: first inside each input partition, which folds a hot text into one row per partition before
+anything is shuffled (an index is given out and emptied when it holds `flush_at` digests), then by digest, over as many
+parts as hold about `part_rows` folded rows each, so an index is bounded whatever the table's size. Texts with over a
+two-thousandth of all rows are broadcast to the rows (at most 2,000 digests), so no text fills a task.
+
+Digests stand for texts: two texts are taken as equal if their SHA-256 is.
+
+Defined results: a null text counts as empty; empty texts form one group; one row of each group stays: that with the
+smallest doc_id, nulls last, and the first of these as the table is read where ids repeat or all are null; an empty table
+gives an empty result. `classes` ignores other columns of the input; `dedup` keeps them all, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,27 +26,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import SPACE, documents, text_or_empty, written
+from kgloom.llm.common import SPACE, documents, join_hot, text_or_empty, written
 
 _SLOTS, _KICKS = 4, 200
 _NO_ID = (1 << 63) - 1
 
 
 class CuckooIndex:
-    """Live digests with a value each.
-
-    `tags` is the cuckoo filter (buckets of four one- to two-byte tags); `stored` is the bucketed content that hits are
-    verified against, keyed by the digest and filed under the tag pair it occupies.
-    """
+    """Live digests with a value each: `tags` is the filter, `content` the buckets that its hits are verified against."""
 
     def __init__(self, buckets: int = 1024):
+        self.resizes = self.size = self.compared = 0
         self._make(1 << max(4, (buckets - 1).bit_length()))
-        self.stored: dict[bytes, list[int]] = {}
-        self.resizes = 0
 
     def _make(self, buckets: int) -> None:
         self.mask = buckets - 1
-        self.tags = [[] for _ in range(buckets)]
+        self.tags: list[list[int]] = [[] for _ in range(buckets)]
+        self.content: dict[tuple[int, int], list[list]] = {}
 
     def _places(self, digest: bytes) -> tuple[int, int, int]:
         tag = int.from_bytes(digest[:2], "little") or 1
@@ -64,65 +67,104 @@ class CuckooIndex:
                 return True
         return False
 
+    def _store(self, entry: list) -> None:
+        tag, at, other = self._places(entry[0])
+        self.content.setdefault((tag, min(at, other)), []).append(entry)
+
     def _grow(self) -> None:
-        buckets = 2 * (self.mask + 1)
+        """Twice the buckets, from the stored digests; their entries move, they aren't copied."""
+        entries, buckets = list(self.entries()), 2 * (self.mask + 1)
         while True:
             self._make(buckets)
             self.resizes += 1
-            if all(self._place(x) for x in self.stored):
-                return
+            if all(self._place(x[0]) for x in entries):
+                break
             buckets *= 2
+        for x in entries:
+            self._store(x)
+
+    def entries(self) -> Iterator[list]:
+        """Every live [digest, value]."""
+        for bucket in self.content.values():
+            yield from bucket
 
     def maybe(self, digest: bytes) -> bool:
         """The filter's answer alone: never false for a live digest."""
         tag, at, other = self._places(digest)
         return tag in self.tags[at] or tag in self.tags[other]
 
+    def _entry(self, digest: bytes) -> list | None:
+        tag, at, other = self._places(digest)
+        if tag not in self.tags[at] and tag not in self.tags[other]:
+            return None
+        for entry in self.content.get((tag, min(at, other)), ()):
+            self.compared += 1
+            if entry[0] == digest:
+                return entry
+        return None
+
     def find(self, digest: bytes) -> list[int] | None:
-        return self.stored.get(digest) if self.maybe(digest) else None
+        entry = self._entry(digest)
+        return None if entry is None else entry[1]
 
     def insert(self, digest: bytes, value: list[int]) -> None:
-        self.stored[digest] = value
+        """A live digest gets the new value."""
+        entry = self._entry(digest)
+        if entry is not None:
+            entry[1] = value
+            return
+        self.size += 1
+        self._store([digest, value])
         if not self._place(digest):
             self._grow()
 
     def delete(self, digest: bytes) -> bool:
         """False if the digest isn't live."""
-        if self.find(digest) is None:
+        entry = self._entry(digest)
+        if entry is None:
             return False
         tag, at, other = self._places(digest)
         self.tags[at if tag in self.tags[at] else other].remove(tag)
-        del self.stored[digest]
+        bucket = self.content[tag, min(at, other)]
+        bucket[:] = [x for x in bucket if x is not entry]
+        if not bucket:
+            del self.content[tag, min(at, other)]
+        self.size -= 1
         return True
 
     def __len__(self) -> int:
-        return len(self.stored)
+        return self.size
 
 
-_GROUP = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
+_KIND = "digest binary, keep_id long, keep_row long, group_size long"
+_GROUP = pa.schema([("digest", pa.binary()), ("keep_id", pa.int64()), ("keep_row", pa.int64()), ("group_size", pa.int64())])
 
 
 def _emit(index: CuckooIndex) -> pa.RecordBatch:
-    keep = [None if x[0] == _NO_ID else x[0] for x in index.stored.values()]
-    sizes = [x[1] for x in index.stored.values()]
-    return pa.RecordBatch.from_arrays([pa.array(list(index.stored), pa.binary()), pa.array(keep, pa.int64()), pa.array(sizes, pa.int64())], schema=_GROUP)
+    found = list(index.entries())
+    known = lambda k: pa.array([None if x[k] == _NO_ID else x[k] for _, x in found], pa.int64())
+    columns = [pa.array([d for d, _ in found], pa.binary()), known(0), known(1), pa.array([x[2] for _, x in found], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, schema=_GROUP)
+
+
+def _add(index: CuckooIndex, digest: bytes, doc: int | None, row: int, n: int) -> None:
+    doc = _NO_ID if doc is None else doc
+    held = index.find(digest)
+    if held is None:
+        index.insert(digest, [doc, row, n])
+    else:
+        held[0], held[1] = min((held[0], held[1]), (doc, row))
+        held[2] += n
 
 
 def _fold(flush_at: int | None):
-    """Folds (digest, keep_id, group_size) rows into one per digest; with flush_at, memory is bounded and a digest may come again later."""
+    """Folds (digest, keep_id, keep_row, group_size) rows into one per digest; with flush_at, a digest may come again later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = CuckooIndex()
         for batch in batches:
-            ids = batch.column("keep_id").to_pylist()
-            for digest, doc, n in zip(batch.column("digest").to_pylist(), ids, batch.column("group_size").to_pylist(), strict=True):
-                doc = _NO_ID if doc is None else doc
-                held = index.find(digest)
-                if held is None:
-                    index.insert(digest, [doc, n])
-                else:
-                    held[0] = min(held[0], doc)
-                    held[1] += n
+            for row in zip(*[batch.column(c).to_pylist() for c in _GROUP.names], strict=True):
+                _add(index, *row)
             if flush_at and len(index) >= flush_at:
                 yield _emit(index)
                 index = CuckooIndex()
@@ -136,53 +178,76 @@ def digested(docs: DataFrame) -> DataFrame:
     return docs.withColumn("digest", F.unhex(F.sha2(F.encode(F.regexp_replace(text_or_empty(), SPACE, " "), "UTF-8"), 256)))
 
 
-def groups(keys: DataFrame, flush_at: int = 500_000) -> DataFrame:
-    """(doc_id, digest) rows to one row per digest: keep_id, group_size."""
-    rows = keys.select("digest", F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    kind = "digest binary, keep_id long, group_size long"
-    partial = rows.mapInArrow(_fold(flush_at), kind)
-    return partial.repartition("digest").mapInArrow(_fold(None), kind)
+def groups(keys: DataFrame, flush_at: int = 500_000, part_rows: int = 200_000) -> DataFrame:
+    """(doc_id, row, digest) rows to one row per digest: keep_id, keep_row, group_size."""
+    rows = keys.select("digest", F.col("doc_id").cast("long").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
+    partial = written(rows.mapInArrow(_fold(flush_at), _KIND), "digest-parts")
+    parts = max(1, -(-partial.count() // part_rows))
+    return partial.repartition(parts, "digest").mapInArrow(_fold(None), _KIND)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Every input row's doc_id with keep_id, group_size, kept and text_sha256."""
-    keys = written(digested(docs).select("doc_id", "digest"), "digests")
-    found = keys.join(groups(keys), "digest")
-    first = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return found.select("doc_id", "keep_id", "group_size", first.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+def _classes(rows: DataFrame) -> DataFrame:
+    """(row, doc_id, text) rows, written, to (row, doc_id, keep_id, group_size, kept, text_sha256)."""
+    keys = written(digested(rows).select("row", "doc_id", "digest"), "digests")
+    known = written(groups(keys), "digest-groups")
+    found = join_hot(keys, known, ["digest"], "group_size", "group")
+    kept = F.col("row") == F.col("group.keep_row")
+    return found.select("row", "doc_id", "group.keep_id", "group.group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def apply_changes(live: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
-    """The live (digest, keep_id, group_size) index after inserting and deleting digests; deletions of unknown digests change nothing."""
-
-    def run(key, old, new, gone):
-        import pandas as pd
+def classes(docs: DataFrame) -> DataFrame:
+    """Every input row's doc_id with keep_id, group_size, kept and text_sha256."""
+    return _classes(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")).drop("row")
 
-        index = CuckooIndex()
-        for digest, doc, n in zip(old["digest"], old["keep_id"], old["group_size"], strict=True):
-            index.insert(digest, [doc, n])
-        for digest, doc, n in zip(new["digest"], new["keep_id"], new["group_size"], strict=True):
-            if (held := index.find(digest)) is None:
-                index.insert(digest, [doc, n])
-            else:
-                held[0], held[1] = min(held[0], doc), held[1] + n
-        for digest in gone:
-            index.delete(digest)
-        return pd.DataFrame({"digest": list(index.stored), "keep_id": [x[0] for x in index.stored.values()], "group_size": [x[1] for x in index.stored.values()]})
 
-    part = F.hex(F.substring("digest", 1, 2)).alias("part")
-    rows = live.select("digest", "keep_id", "group_size", part, F.lit(0).alias("what"))
-    rows = rows.unionByName(groups(inserted).select("digest", "keep_id", "group_size", part, F.lit(1).alias("what")))
-    rows = rows.unionByName(deleted.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(None).cast("long").alias("group_size"), part, F.lit(2).alias("what")).distinct())
+def dedup(docs: DataFrame) -> DataFrame:
+    """The rows that stay, with all their columns."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("whole")), "dedup-rows")
+    stay = _classes(rows.select("row", "whole.doc_id", "whole.text")).where("kept").select("row")
+    return rows.join(stay, "row", "left_semi").select("whole.*")
+
+
+def apply_changes(live: DataFrame, inserted: DataFrame, deleted: DataFrame, part_rows: int = 200_000) -> DataFrame:
+    """The (digest, keep_id, keep_row, group_size) rows of `groups` after `inserted` (doc_id, row, digest) rows came in and
+    `deleted` (doc_id, digest) rows went, insertions first.
+
+    A deletion makes its digest's group smaller by one; at 0 the digest leaves the index. A group that loses the row it
+    kept has null keep_id and keep_row until a smaller or equal one is inserted, as the index doesn't hold its other rows.
+    Deletions of digests that aren't live change nothing; those of null digests are ignored. Changes are folded by
+    digest before they move, so each part's index holds about part_rows live digests."""
+    kinds = ["digest", "keep_id", "keep_row", "group_size"]
+    rows = live.select(*kinds, F.lit(0).alias("what")).unionByName(groups(inserted).select(*kinds, F.lit(1).alias("what")))
+    rows = written(rows, "digest-live")
+    ids = deleted.where("digest IS NOT NULL").select("digest", F.col("doc_id").cast("long").alias("keep_id"))
+    none = F.lit(None).cast("long")
+    gone = ids.groupBy("digest").agg(F.count("*").alias("group_size")).select("digest", none.alias("keep_id"), none.alias("keep_row"), "group_size", F.lit(2).alias("what"))
+    # The deleted rows that may have been kept: at most two a digest, the live one's and the inserted ones'.
+    lost = rows.where("keep_id IS NOT NULL").select("digest", "keep_id").distinct().join(ids, ["digest", "keep_id"], "left_semi")
+    lost = lost.select("digest", "keep_id", none.alias("keep_row"), none.alias("group_size"), F.lit(3).alias("what"))
+    rows = written(rows.unionByName(gone).unionByName(lost), "digest-changes")
+    parts = max(1, -(-rows.count() // part_rows))
 
-    def each(pdf):
-        return run(None, pdf[pdf.what == 0], pdf[pdf.what == 1], pdf[pdf.what == 2]["digest"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = CuckooIndex()
+        for batch in batches:
+            for digest, doc, row, n, what in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
+                if what < 2:
+                    _add(index, digest, doc, _NO_ID if row is None else row, n)
+                elif (held := index.find(digest)) is None:
+                    continue
+                elif what == 2:
+                    held[2] -= n
+                    if held[2] <= 0:
+                        index.delete(digest)
+                elif held[0] == doc:
+                    held[0] = held[1] = _NO_ID
+        yield _emit(index)
 
-    return rows.groupBy("part").applyInPandas(each, "digest binary, keep_id long, group_size long")
+    return rows.repartition(parts, "digest").sortWithinPartitions("what").select(*kinds, "what").mapInArrow(run, _KIND)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(documents(spark, sf_dir))
+    return classes(documents(spark, sf_dir))
 
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}
@@ -190,6 +255,6 @@ SQL = {
     "op5_exact_dedup": r"""
 WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
+       row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id NULLS LAST) = 1 AS kept, text_sha256
 FROM n WINDOW w AS (PARTITION BY text_sha256)""",
 }
