@@ -1,7 +1,9 @@
 """Connected components of an edge list by alternating large-star and small-star rounds.
 
-Nodes are longs; the label of a component is its smallest node. Every round is a join on the node and is written to the
-shared folder, so neither lineage nor a component ever sits in one task or on the driver.
+Nodes are longs; the label of a component is its smallest node. Every round's links and every round's least neighbours
+are written to the shared folder, so no lineage grows. A node with over a two-thousandth of all links, as the root of a
+large component becomes, has its least neighbour broadcast to them (`join_hot`), so its links never meet in one task;
+counts and least neighbours are folded before they are shuffled. Nothing but a count and a checksum comes to the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import written
+from kgloom.llm.common import join_hot, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,11 +26,12 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(links)
     while before[0]:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        count = F.count("*").alias("n")
+        least = written(both.groupBy("u").agg(F.min("v").alias("m"), count).select("u", F.least("m", "u").alias("m"), "n"), "least")
+        large = join_hot(both.where("v > u"), least, ["u"], "n", "to").select(F.col("v").alias("u"), F.col("to.m").alias("v"))
+        large = written(large.where("u <> v").distinct(), "large-star")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m"), count), "least")
+        small = join_hot(large, least, ["u"], "n", "to").select(F.col("v").alias("u"), F.col("to.m").alias("v")).where("u <> v")
         links = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         after = _state(links)
         if after == before:

@@ -7,14 +7,18 @@ d differ in at most d slabs, so they share the cell that is spanned by some `sla
 cells of all such slab choices, are kept apart if the Manhattan distance exceeds d, and the rest is verified by the
 exact Hamming distance.
 
+With more fingerprints the axes are cut into more slabs, so that cells are spanned by more of them and unlike pairs that
+meet grow no faster than the rows; any number of slabs finds exactly the same links.
+
 Equal fingerprints are one node. Cells are cut into blocks of bounded size by a hash when they are crowded, and every
 pair of blocks is a task's work of its own; from a block pair only a spanning forest of its links is emitted, never all
-pairs. Components are then found by distributed star rounds.
+pairs. Only crowded cells are joined back, as a table that is written first. Components are then found by distributed
+star rounds. Fingerprints and components that a two-thousandth of all rows have are broadcast to them.
 
 Defined results: a null or blank text has fingerprint zero and links like any other; a text of fewer words than the
-shingle's width is one shingle; rows with equal doc_id are equal nodes of the same id; a null doc_id belongs to its
-fingerprint's component and never names one unless all its rows have null ids (then component_id is null); an empty
-table gives an empty result.
+shingle's width is one shingle; rows of equal or null doc_ids link by their fingerprints like any others; a component is
+named by its smallest doc_id that isn't null, and component_id is null where all its rows have null ids; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, written
+from kgloom.llm.common import documents, join_hot, written
 from kgloom.llm.components import components
 
 SEED = 42
@@ -107,6 +111,30 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> list[tuple[int,
     return edges
 
 
+def bridges(forest, fp: np.ndarray, node: np.ndarray, mine: np.ndarray) -> list[tuple[int, int]]:
+    """A forest's links; of rows from two blocks only those that join what the blocks' own forests, which their own tasks give, leave apart. So a group that fills many blocks gives about a link a row, not one a pair of blocks."""
+    two = mine != mine[0]
+    if not two.any():
+        return forest(fp, node)
+    root = list(range(len(fp)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for rows in (np.flatnonzero(two), np.flatnonzero(~two)):
+        for a, b in forest(fp[rows], rows):
+            root[find(a)] = find(b)
+    out = []
+    for a, b in forest(fp, np.arange(len(fp))):
+        if find(a) != find(b):
+            root[find(a)] = find(b)
+            out.append((int(node[a]), int(node[b])))
+    return out
+
+
 def _linker(distance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell; a cell may go on in the next batch."""
@@ -114,7 +142,7 @@ def _linker(distance: int):
         for batch in itertools.chain(batches, [None]):
             rows = None
             if batch is not None:
-                rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+                rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)])
             if held is not None and rows is not None:
                 rows = np.concatenate([held, rows])
             elif rows is None:
@@ -126,53 +154,74 @@ def _linker(distance: int):
             stop = np.concatenate([new, [len(rows)]])
             if batch is not None:
                 held, start, stop = rows[start[-1] :], start[:-1], stop[:-1]
-            fp, node = np.ascontiguousarray(rows[:, 3]).view(np.uint64), rows[:, 4]
+            fp, node, mine = np.ascontiguousarray(rows[:, 3]).view(np.uint64), rows[:, 4], rows[:, 5]
             two = start[stop - start == 2]
             near = two[np.bitwise_count(embed(fp[two]) ^ embed(fp[two + 1])) <= distance]
             near = near[np.bitwise_count(fp[near] ^ fp[near + 1]) <= distance]
             edges = list(zip(node[near].tolist(), node[near + 1].tolist(), strict=True))
             for a, b in zip(start.tolist(), stop.tolist(), strict=True):
                 if b - a > 2:
-                    edges += _forest(fp[a:b], node[a:b], distance)
+                    edges += bridges(lambda x, y: _forest(x, y, distance), fp[a:b], node[a:b], mine[a:b])
             found = np.array(edges, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     return run
 
 
+def slabs_for(rows: int, distance: int) -> int:
+    """How many slabs keep cells at about 64 unlike embeddings each; an axis of a cell tells about 2.6 values apart. At least two for each differing bit."""
+    slabs = 2 * distance
+    while slabs < 32 and rows > 64 * 2.6 ** (32 * (slabs - distance) / slabs):
+        slabs += 1
+    return slabs
+
+
+def met(cells: DataFrame, by: list[str], names: list[str], block: int) -> DataFrame:
+    """(by, pair, mine, names) rows, dealt by cell and pair of blocks and sorted so; `node` is one of the names, `mine` the row's block. Only cells with
+    more rows than a block, at most one in `block` of all rows, are joined back; that table is written first, so that the
+    planner sees its size before it broadcasts it or not."""
+    crowd = written(cells.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > block), "crowds")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("long")
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    # A block meets itself and each other block once, whichever side it comes from.
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(mine, j) * blocks + F.greatest(mine, j))
+    found = cells.join(crowd, by, "left").select(*by, F.explode(meets).alias("pair"), mine.alias("mine"), *names)
+    # Sorted by node too: a group that fills many cells has one star, whose links are the same in all of them.
+    return found.repartition(*by, "pair").sortWithinPartitions(*by, "pair", "node")
+
+
 def links(nodes: DataFrame, distance: int = 3, slabs: int | None = None, block: int = 4096) -> DataFrame:
     """Distinct (fp, node) rows to (u, v) links that join all nodes within the distance; redundant links are left out."""
-    masks = cell_masks(distance, slabs or 2 * distance)
+    masks = cell_masks(distance, slabs or slabs_for(nodes.count(), distance))
     cells = nodes.withColumn("seg", _embedded("fp"))
     choice = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("grid"), F.col("seg").bitwiseAND(F.lit(_signed(m))).alias("cell")) for k, m in enumerate(masks)]))
     cells = cells.select(choice.alias("c"), "fp", "node").select("c.grid", "c.cell", "fp", "node")
-    crowd = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    met = cells.join(crowd, ["grid", "cell"])
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("long")
-    mine = F.pmod(F.xxhash64("fp"), blocks)
-    # A block meets itself and each other block once, whichever side it comes from.
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(mine, j) * blocks + F.greatest(mine, j))
-    met = met.select("grid", "cell", F.explode(meets).alias("pair"), "fp", "node")
-    met = met.repartition("grid", "cell", "pair").sortWithinPartitions("grid", "cell", "pair")
-    return met.select("grid", "cell", "pair", "fp", "node").mapInArrow(_linker(distance), "u long, v long").distinct()
+    rows = met(cells, ["grid", "cell"], ["fp", "node"], block)
+    return rows.select("grid", "cell", "pair", "fp", "node", "mine").mapInArrow(_linker(distance), "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, seed: int = SEED) -> DataFrame:
     """Every row's (doc_id, fp, component_id)."""
     found = written(fingerprints(docs, width, seed), "fingerprints")
-    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    named = nodes.where("node IS NOT NULL")
-    joined = components(links(named, distance))
-    of = named.join(joined, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(of, "fp", "left").select("doc_id", "fp", "component_id")
+    # The fingerprint itself is the node, so that rows without an id link too.
+    nodes = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "nodes")
+    joined = components(links(nodes.select("fp", F.col("fp").alias("node")), distance))
+    of = nodes.join(joined, nodes["fp"] == joined["node"], "left").select("fp", F.coalesce("component", "fp").alias("component"), "least", "rows")
+    of = written(of, "node-components")
+    names = written(of.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("nodes")), "component-names")
+    named = join_hot(of, names, ["component"], "nodes", "name").select("fp", "rows", "name.component_id")
+    return join_hot(found, written(named, "node-names"), ["fp"], "rows", "name").select("doc_id", "fp", "name.component_id")
 
 
 def keep_first(docs: DataFrame, width: int = 5, distance: int = 3) -> DataFrame:
-    """The rows whose doc_id names their group; rows of a null doc_id stay unless their group has a named one. Repeated rows of one doc_id give one."""
-    groups = near_groups(docs, width, distance)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "component_id").distinct()
-    named = docs.join(stay.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", "left_semi")
-    return named.dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each group: of those with its smallest doc_id (nulls last) the first as the table is read."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("whole")), "simhash-rows")
+    # Rows stand for documents here; what groups them is the fingerprint.
+    groups = near_groups(rows.select(F.col("row").alias("doc_id"), "whole.text"), width, distance)
+    order = rows.select("row", F.col("whole.doc_id").cast("long").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
+    stay = groups.select(F.col("doc_id").alias("row"), "component_id").join(order, "row").groupBy("component_id").agg(first).select("first.row")
+    return rows.join(stay, "row", "left_semi").select("whole.*")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
