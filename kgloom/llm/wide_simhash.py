@@ -8,17 +8,20 @@ by word are too far apart (Manhattan distance, the lower bound), then verified b
 
 Fingerprints are of shingle sets, so that Jaccard similarity bounds the angle from above whatever the sets' sizes. The
 radius holds 99.95 % of pairs at exactly 0.8, and with 13 axes and 76 cells 0.004 % of them share no cell by the same
-model. Crowded cells are cut into blocks and every pair of blocks is compared. From half a million fingerprints on,
-`grid_for` adds an axis with each doubling and cells to keep that recall, so that unlike pairs met grow with the rows.
+model. Crowded cells are cut into blocks and every pair of blocks is compared. `grid_for` adds an axis to the cells for
+each doubling of the rows, so that unlike pairs met grow no faster than they, and as many cells as keep the recall where
+it was: the share of alike pairs that share no cell is `missed`, 1 in 10,000, at every size.
 
 Fingerprints only propose. A spanning forest of the pairs within the radius joins whatever may belong together; its links
-are verified by the exact Jaccard similarity of whole shingle sets. Where that takes a forest apart, every pair within the
-radius whose ends aren't joined yet is verified too, so no pair is lost because a forest left it out. Sets of few
+are verified by the exact Jaccard similarity of whole shingle sets. Where that takes a forest apart, the sets of all its
+rows meet, in blocks of a bounded number of shingles, and a forest of all alike pairs is found among them; so no pair is
+lost because a forest left it out, and no list of pairs is ever written. Sets of few
 shingles have too coarse fingerprints: those of up to `few` meet by exact prefixes (two sets of similarity s share one
 of the first n - ceil(s * n) + 1 of their sorted hashes) and are compared as sets there.
 
 Defined results: as in simhash, but groups are the components of the pairs with a Jaccard similarity of at least
-`similarity`; texts without words have the empty set, and are like each other only.
+`similarity`; texts without words have the empty set, and are like each other only. Rows are told apart by their place in
+a table that is written first, so rows with equal or null doc_ids are compared like any others.
 """
 
 from __future__ import annotations
@@ -34,8 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import written
+from kgloom.llm.common import join_hot, written
 from kgloom.llm.components import components
+from kgloom.llm.simhash import bridges, met
 
 SEED, WORDS, AXES, ROUNDS = 42, 4, 13, 4
 FEW = 80
@@ -93,33 +97,28 @@ def _lists(rows: list) -> pa.Array:
     return pa.array([None if x is None else x.view(np.int64) for x in rows], pa.list_(pa.int64()))
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-
-def wide_fingerprints(docs: DataFrame, width: int = 5, words: int = WORDS, few: int = FEW) -> DataFrame:
-    """(doc_id, key, fp, few) of every row: the shingle set's SHA-256 and fingerprint, and the set itself if it has no more than `few` shingles."""
+def wide_fingerprints(rows: DataFrame, width: int = 5, words: int = WORDS, few: int = FEW) -> DataFrame:
+    """(row, key, fp, few) of (row, text) rows: the shingle set's SHA-256 and fingerprint, and the set itself if it has no more than `few` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py() or b"", width) for x in batch.column("text").cast(pa.binary())]
             keys = pa.array([hashlib.sha256(x.tobytes()).digest() for x in sets], pa.binary())
             small = [x if len(x) <= few else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), keys, _lists([fingerprint_of(x, words) for x in sets]), _lists(small)], names=["doc_id", "key", "fp", "few"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), keys, _lists([fingerprint_of(x, words) for x in sets]), _lists(small)], names=["row", "key", "fp", "few"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key binary, fp array<long>, few array<long>")
+    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, key binary, fp array<long>, few array<long>")
 
 
-def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """(doc_id, key, shingles) of every row."""
+def shingle_sets(rows: DataFrame, width: int = 5) -> DataFrame:
+    """(row, shingles) of (row, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id"), batch.column("text").cast(pa.binary()), strict=True):
-                found = shingles(text.as_py() or b"", width)
-                yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()], pa.int64()), pa.array([hashlib.sha256(found.tobytes()).digest()], pa.binary()), _lists([found])], names=["doc_id", "key", "shingles"])
+            for row, text in zip(batch.column("row"), batch.column("text").cast(pa.binary()), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), _lists([shingles(text.as_py() or b"", width)])], names=["row", "shingles"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, key binary, shingles array<long>")
+    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, shingles array<long>")
 
 
 def cell_masks(words: int = WORDS, axes: int = AXES, rounds: int = ROUNDS, seed: int = SEED) -> np.ndarray:
@@ -154,11 +153,15 @@ def _forest(fp: np.ndarray, node: np.ndarray, distance: int) -> list[tuple[int,
     return edges
 
 
-def _cells_links(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, node: np.ndarray, distance: int) -> np.ndarray:
+def _cells_links(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, node: np.ndarray, mine: np.ndarray, distance: int) -> np.ndarray:
     edges: list[tuple[int, int]] = []
     size = stop - start
+    if not len(start):
+        return np.zeros((0, 2), np.int64)
+    own = mine[: stop[-1]]
+    large = (size > _SMALL) | (np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start))
     for s in range(2, _SMALL + 1):
-        of = start[size == s]
+        of = start[(size == s) & ~large]
         i, j = np.triu_indices(s, 1)
         step = max(1, (1 << 18) // len(i))
         for k in range(0, len(of), step):
@@ -171,31 +174,19 @@ def _cells_links(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, node: np.n
             edges += zip(node[a[one]].tolist(), node[b[one]].tolist(), strict=True)
             for c in np.unique(cell[~once[cell]]).tolist():
                 edges += _forest(fp[part[c] : part[c] + s], node[part[c] : part[c] + s], distance)
-    for a, b in zip(start[size > _SMALL].tolist(), stop[size > _SMALL].tolist(), strict=True):
-        edges += _forest(fp[a:b], node[a:b], distance)
+    for a, b in zip(start[large].tolist(), stop[large].tolist(), strict=True):
+        edges += bridges(lambda x, y: _forest(x, y, distance), fp[a:b], node[a:b], mine[a:b])
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def _every_link(start: np.ndarray, stop: np.ndarray, fp: np.ndarray, node: np.ndarray, label: np.ndarray, distance: int) -> np.ndarray:
-    """All pairs within the distance whose labels differ."""
-    edges = []
-    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-        for k in range(a, b - 1):
-            other = np.flatnonzero(label[k + 1 : b] != label[k]) + k + 1
-            near = other[np.bitwise_count(fp[other] ^ fp[k]).sum(axis=1, dtype=np.int32) <= distance]
-            edges.append(np.column_stack([np.full(len(near), node[k]), node[near]]))
-    found = np.concatenate(edges) if edges else np.zeros((0, 2), np.int64)
-    return np.unique(np.sort(found, axis=1), axis=0)
-
-
-def _linker(distance: int, words: int, every: bool = False):
+def _linker(distance: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell and pair of blocks; one may go on in the next batch."""
         held = None
         for batch in itertools.chain(batches, [None]):
             rows = held
             if batch is not None:
-                rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(3 + words + every)])
+                rows = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4 + words)])
                 rows = rows if held is None else np.concatenate([held, rows])
             if rows is None or not len(rows):
                 continue
@@ -203,37 +194,23 @@ def _linker(distance: int, words: int, every: bool = False):
             start, stop = np.concatenate([[0], edge]), np.concatenate([edge, [len(rows)]])
             if batch is not None:
                 held, start, stop = rows[start[-1] :], start[:-1], stop[:-1]
-            fp = np.ascontiguousarray(rows[:, 3 : 3 + words]).view(np.uint64)
-            found = _every_link(start, stop, fp, rows[:, 2], rows[:, -1], distance) if every else _cells_links(start, stop, fp, rows[:, 2], distance)
+            fp = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
+            found = _cells_links(start, stop, fp, rows[:, 3], rows[:, 2], distance)
             yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["u", "v"])
 
     return run
 
 
-def _met(cells: DataFrame, names: list[str], block: int) -> DataFrame:
-    """(cell, node, names) rows dealt by cell and pair of blocks, and sorted so. Only cells with more rows than a block, at
-    most one in `block` of all rows, are joined back to them; that table is written first, so that the planner sees its
-    size before it broadcasts it or not."""
-    crowd = written(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > block), "wide-crowds")
-    met = cells.join(crowd, "cell", "left")
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / F.lit(block)).cast("long")
-    mine = F.pmod(F.xxhash64("node"), blocks)
-    # A block meets itself and each other block once, whichever side it comes from.
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(mine, j) * blocks + F.greatest(mine, j))
-    met = met.select("cell", F.explode(meets).alias("pair"), "node", *names)
-    # Sorted by node too: a group that fills many cells has one star, whose links are the same in all of them.
-    return met.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "node")
-
-
-def wide_links(nodes: DataFrame, distance: int, words: int = WORDS, axes: int = AXES, rounds: int = ROUNDS, block: int = 4096, every: bool = False) -> DataFrame:
-    """Distinct (fp, node) rows to (u, v) links that join all nodes found near; redundant links are left out. With `every`, rows have a label too, and all near pairs of different labels are given. Fingerprints move once a cell."""
+def wide_links(nodes: DataFrame, distance: int, words: int = WORDS, axes: int = AXES, rounds: int = ROUNDS, block: int = 4096) -> DataFrame:
+    """Distinct (fp, node) rows to (u, v) links that join all nodes found near; redundant links are left out. Fingerprints move once a cell."""
     masks = cell_masks(words, axes, rounds).view(np.int64)
-    names = [f"f{k}" for k in range(words)] + ["label"] * every
+    names = [f"f{k}" for k in range(words)]
     fps = [F.col("fp")[k].alias(f"f{k}") for k in range(words)]
-    cells = nodes.select("node", *fps, *["label"] * every, F.explode(F.sequence(F.lit(1), F.lit(len(masks)))).alias("g"))
+    cells = nodes.select("node", *fps, F.explode(F.sequence(F.lit(1), F.lit(len(masks)))).alias("g"))
     of = [F.col(f"f{k}").bitwiseAND(F.element_at(F.lit(masks[:, k].tolist()), F.col("g"))) for k in range(words)]
     cells = cells.select(F.xxhash64("g", *of).alias("cell"), "node", *names)
-    return _met(cells, names, block).mapInArrow(_linker(distance, words, every), "u long, v long").distinct()
+    rows = met(cells, ["cell"], ["node", *names], block).select("cell", "pair", "mine", "node", *names)
+    return rows.mapInArrow(_linker(distance, words), "u long, v long").distinct()
 
 
 def _alike(common, a, b, similarity: float):
@@ -241,35 +218,47 @@ def _alike(common, a, b, similarity: float):
     return common * (1 + similarity) >= similarity * (a + b) - 1e-9
 
 
-def _set_forest(sets: list[np.ndarray], node: list[int], similarity: float) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the alike sets."""
-    size = np.array([len(x) for x in sets])
-    owner, values = np.repeat(np.arange(len(sets)), size), np.concatenate(sets)
+def _join_sets(sets: list[np.ndarray], rows: np.ndarray, part: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Joins the parts of alike sets among these rows, in `part`, and gives a link for each join."""
+    size = np.array([len(sets[k]) for k in rows])
+    owner, values = np.repeat(np.arange(len(rows)), size), np.concatenate([sets[k] for k in rows])
     order = np.argsort(values, kind="stable")
     owner, values = owner[order], values[order]
-    open_, edges = np.ones(len(sets), bool), []
-    for first in range(len(sets)):
-        if not open_[first]:
-            continue
-        open_[first], reach = False, [first]
-        while reach and open_.any():
-            at = reach.pop()
-            lo, hi = np.searchsorted(values, sets[at]), np.searchsorted(values, sets[at], "right")
-            common = np.bincount(np.concatenate([owner[a:b] for a, b in zip(lo, hi, strict=True)]), minlength=len(sets))
-            near = np.flatnonzero(open_ & (common > 0) & _alike(common, size, size[at], similarity))
-            open_[near] = False
-            edges += [(node[at], node[k]) for k in near.tolist()]
-            reach += near.tolist()
+    edges = []
+    for at, row in enumerate(rows.tolist()):
+        other = part[rows] != part[row]
+        if not other.any():
+            break
+        lo, hi = np.searchsorted(values, sets[row]), np.searchsorted(values, sets[row], "right")
+        n = hi - lo
+        places = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        common = np.bincount(owner[places], minlength=len(rows))
+        for k in rows[other & (common > 0) & _alike(common, size, size[at], similarity)].tolist():
+            if part[k] != part[row]:
+                part[part == part[k]] = part[row]
+                edges.append((row, k))
     return edges
 
 
+def _set_forest(sets: list[np.ndarray], node: np.ndarray, label: np.ndarray, mine: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of a forest that joins all alike sets, beside what equal labels join already and, for rows from two blocks, what the blocks' own tasks give."""
+    _, part = np.unique(label, return_inverse=True)
+    two = mine != mine[0]
+    for rows in (np.flatnonzero(two), np.flatnonzero(~two)) if two.any() else ():
+        _join_sets(sets, rows, part, similarity)
+    return [(int(node[a]), int(node[b])) for a, b in _join_sets(sets, np.arange(len(sets)), part, similarity)]
+
+
 def _set_linker(similarity: float):
+    """(cell, pair, mine, node, label, set) rows, sorted by cell and pair, to links."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((key, n, x) for batch in batches for key, n, x in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True), batch.column(2).to_pylist(), batch.column(3), strict=True))
+        rows = ((key, at, x) for batch in batches for *key, at, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), zip(*[batch.column(k).to_pylist() for k in (2, 3, 4)], strict=True), batch.column(5), strict=True))
         for _, group in itertools.groupby(rows, lambda r: r[0]):
             found = list(group)
             if len(found) > 1:
-                edges = np.array(_set_forest([x.values.to_numpy() for *_, x in found], [n for _, n, _ in found], similarity), np.int64).reshape(-1, 2)
+                mine, node, label = (np.array(x) for x in zip(*[r[1] for r in found], strict=True))
+                edges = np.array(_set_forest([x.values.to_numpy() for *_, x in found], node, label, mine, similarity), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
     return run
@@ -280,16 +269,28 @@ def few_links(nodes: DataFrame, similarity: float, block: int = 4096) -> DataFra
     n = F.size("few")
     prefix = F.slice(F.array_sort("few"), F.lit(1), (n - F.ceil(n * F.lit(similarity) - F.lit(1e-9)) + 1).cast("int"))
     cells = nodes.where("few IS NOT NULL AND size(few) > 0").select(F.explode(prefix).alias("cell"), "node", "few")
-    return _met(cells, ["few"], block).mapInArrow(_set_linker(similarity), "u long, v long").distinct()
+    rows = met(cells, ["cell"], ["node", "few"], block).select("cell", "pair", "mine", "node", F.col("node").alias("label"), "few")
+    return rows.mapInArrow(_set_linker(similarity), "u long, v long").distinct()
 
 
-def verified(links: DataFrame, nodes: DataFrame, docs: DataFrame, similarity: float, width: int = 5) -> DataFrame:
-    """The links whose ends' whole shingle sets have this Jaccard similarity. Only texts that have a link are cut into shingles again."""
-    ends = links.select(F.col("u").alias("doc_id")).unionByName(links.select(F.col("v").alias("doc_id"))).distinct()
-    keys = nodes.select(F.col("node").alias("doc_id"), "key")
-    sets = shingle_sets(docs.join(ends, "doc_id", "left_semi"), width).join(keys, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    sets = written(sets.select("doc_id", "shingles"), "wide-sets")
-    one, two = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
+def apart_links(rest: DataFrame, rows: DataFrame, similarity: float, width: int = 5, block: int = 1 << 20) -> DataFrame:
+    """(node, loose, label) rows to (u, v) links that join all alike sets of equal `loose`, beside what equal labels join. Pairs of blocks of about `block` shingles meet."""
+    sets = shingle_sets(rows.join(rest.select(F.col("node").alias("row")), "row", "left_semi"), width)
+    held = written(sets.join(rest, sets["row"] == rest["node"]).select("loose", "node", "label", "shingles"), "wide-apart-sets")
+    sizes = written(held.groupBy("loose").agg(F.sum(F.size("shingles")).alias("n"), F.count("*").alias("rows")), "wide-apart-sizes")
+    blocks = F.ceil(F.col("sizes.n") / F.lit(block)).cast("long")
+    mine = F.pmod(F.xxhash64("node"), blocks)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.least(mine, j) * blocks + F.greatest(mine, j))
+    dealt = join_hot(held, sizes, ["loose"], "rows", "sizes").select(F.col("loose").alias("cell"), F.explode(meets).alias("pair"), mine.alias("mine"), "node", "label", "shingles")
+    dealt = dealt.repartition("cell", "pair").sortWithinPartitions("cell", "pair", "node")
+    return dealt.mapInArrow(_set_linker(similarity), "u long, v long").distinct()
+
+
+def verified(links: DataFrame, rows: DataFrame, similarity: float, width: int = 5) -> DataFrame:
+    """The links whose ends' whole shingle sets have this Jaccard similarity. Only texts that have a link are cut into shingles again. Ends are rows' numbers."""
+    ends = links.select(F.col("u").alias("row")).unionByName(links.select(F.col("v").alias("row"))).distinct()
+    sets = written(shingle_sets(rows.join(ends, "row", "left_semi"), width), "wide-sets")
+    one, two = (sets.select(F.col("row").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
     common = F.size(F.array_intersect("su", "sv"))
     return links.join(one, "u").join(two, "v").where(_alike(common, F.size("su"), F.size("sv"), similarity)).select("u", "v").distinct()
 
@@ -307,36 +308,46 @@ def _labelled(nodes: DataFrame, links: DataFrame, name: str) -> DataFrame:
     return nodes.join(components(links), "node", "left").withColumn(name, F.coalesce("component", "node")).drop("component")
 
 
-def alike_links(docs: DataFrame, nodes: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS) -> DataFrame:
-    """(key, fp, few, node) rows to verified links that join all nodes found alike."""
-    axes, rounds = grid_for(nodes.count(), similarity, words)
+def alike_links(rows: DataFrame, nodes: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS, expect: int | None = None) -> DataFrame:
+    """(fp, few, node) rows to verified links that join all nodes found alike; nodes are numbers of `rows`. `expect` takes the place of their count where the grid is chosen."""
+    axes, rounds = grid_for(expect or nodes.count(), similarity, words)
     within = radius(similarity, 64 * words)
     forest = written(wide_links(nodes.select("fp", "node"), within, words, axes, rounds), "wide-forest")
-    sure = written(verified(forest, nodes, docs, similarity, width).unionByName(few_links(nodes, similarity)), "wide-sure")
+    sure = written(verified(forest, rows, similarity, width).unionByName(few_links(nodes, similarity)), "wide-sure")
     # What the forest joined and the sets took apart again may hold alike pairs that the forest left out.
-    both = _labelled(_labelled(nodes.select("fp", "key", "node"), forest, "loose"), sure, "label")
+    both = _labelled(_labelled(nodes.select("node"), forest, "loose"), sure, "label")
     both = written(both, "wide-labels")
     apart = both.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("loose")
     rest = written(both.join(apart, "loose", "left_semi"), "wide-apart")
-    more = written(wide_links(rest.select("fp", "node", "label"), within, words, axes, rounds, every=True).join(forest, ["u", "v"], "left_anti"), "wide-more")
-    return sure.unionByName(verified(more, nodes, docs, similarity, width))
+    return sure.unionByName(apart_links(rest, rows, similarity, width))
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("whole")), "wide-rows")
+
+
+def _groups(rows: DataFrame, similarity: float, width: int, words: int, expect: int | None) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, component) of every row, and (component, id, row, rows) of every component: its smallest doc_id, nulls last, the first row of it, and its number of rows."""
+    texts = rows.select("row", F.col("whole.doc_id").cast("long").alias("doc_id"), F.col("whole.text").alias("text"))
+    found = written(wide_fingerprints(texts, width, words), "wide-fingerprints")
+    nodes = written(found.groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("few").alias("few")), "wide-nodes")
+    joined = components(alike_links(texts, nodes.select("node", "fp", "few"), similarity, width, words, expect))
+    of = written(nodes.join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "rows"), "wide-components")
+    each = join_hot(found.select("row", "key"), of, ["key"], "rows", "of").select("row", "of.component").join(texts.select("row", "doc_id"), "row")
+    each = written(each, "wide-members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    names = each.groupBy("component").agg(first, F.count("*").alias("rows")).select("component", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"), "rows")
+    return each, written(names, "wide-names")
 
 
-def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS) -> DataFrame:
+def similar_groups(docs: DataFrame, similarity: float = 0.8, width: int = 5, words: int = WORDS, expect: int | None = None) -> DataFrame:
     """Every row's (doc_id, component_id)."""
-    found = written(wide_fingerprints(docs, width, words), "wide-fingerprints")
-    nodes = written(found.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("fp").alias("fp"), F.first("few").alias("few")), "wide-nodes")
-    named = nodes.where("node IS NOT NULL")
-    joined = components(alike_links(docs, named, similarity, width, words))
-    of = nodes.join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component_id"))
-    return found.join(of, "key", "left").select("doc_id", "component_id")
+    each, names = _groups(_numbered(docs), similarity, width, words, expect)
+    return join_hot(each, names.select("component", F.col("id").alias("component_id"), "rows"), ["component"], "rows", "name").select("doc_id", "name.component_id")
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """The rows whose doc_id names their group. Repeated rows of one doc_id give one. Rows of a null doc_id are compared by whole text only: one of each text stays, unless a row with a doc_id has that text."""
-    stay = similar_groups(docs, similarity, width).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id IS NULL").withColumn("__sha", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    texts = docs.where("doc_id IS NOT NULL").select(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("__sha"))
-    alone = unnamed.join(texts, "__sha", "left_anti").dropDuplicates(["__sha"])
-    return named.select(*docs.columns).unionByName(alone.select(*docs.columns))
+    """One row of each group, with all its columns: of those with its smallest doc_id (nulls last) the first as the table is read."""
+    rows = _numbered(docs)
+    _, names = _groups(rows, similarity, width, WORDS, None)
+    return rows.join(names.select("row"), "row", "left_semi").select("whole.*")
