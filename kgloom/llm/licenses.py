@@ -11,9 +11,16 @@ template has more such words than a copy may lack (else all its words are taken)
 windows that hold too few of the template's words are not aligned. Of places of one template that overlap, the one with
 more aligned words and fewer others stays.
 
+Windows are of two kinds: narrow ones, as long as a template and a half, and, for templates of at least `LONG` words,
+wide ones that reach to the neighbouring places of their word, however far, so a license that foreign text cuts in two
+is found too. An alignment falls into blocks where the text goes on for over half a template between aligned words; a
+block of fewer than `BLOCK` words says nothing by itself and doesn't count (words of a short notice that lie about in a
+long text are no license).
+
 Defined results: a null or blank text has no license; texts are scanned whole; several licenses may be found in one
 document, each once with its best place and its number of places; of templates whose places overlap the one with more
-aligned words wins, then the first in the list; repeated rows are scanned each; an empty table gives an empty result.
+aligned words wins, then the first in the list; repeated rows are scanned each, rows without an id too; other columns are
+ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,9 +45,15 @@ TEMPLATES = {
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "CC-BY-4.0-notice": "Licensed under CC BY 4.0",
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0",
@@ -48,6 +61,7 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved",
 }
 MIN_COVERAGE = 0.8
+LONG, BLOCK = 40, 8
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -98,6 +112,16 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
+def _dense(pairs: list[tuple[int, int]], gap: int) -> list[tuple[int, int]]:
+    """The alignment without blocks of fewer than BLOCK words, if it has several."""
+    blocks: list[list[tuple[int, int]]] = []
+    for pair in pairs:
+        if not blocks or pair[1] - blocks[-1][-1][1] > gap:
+            blocks.append([])
+        blocks[-1].append(pair)
+    return pairs if len(blocks) < 2 else [p for b in blocks if len(b) >= BLOCK for p in b]
+
+
 class Scanner:
     """Templates, ready to be held against texts."""
 
@@ -145,12 +169,15 @@ class Scanner:
                         stop = min(spots[i + 1] if i + 1 < len(spots) else len(text), at + len(template) - own + slack)
                         if held[stop] - held[start] >= need:
                             windows.add((start, stop))
+                if len(template) >= LONG and bag[pivot] == 1:
+                    edges = [-1, *spots, len(text)]
+                    windows.update((a + 1, b) for a, b in zip(edges, edges[2:], strict=False) if held[b] - held[a + 1] >= need)
             best: dict[tuple[int, int], int] = {}
             for start, stop in windows:
                 part = text[start:stop]
                 if (Counter(part) & bag).total() < need:
                     continue
-                pairs = align(template, part)
+                pairs = _dense(align(template, part), slack)
                 if len(pairs) >= need:
                     span = (start + pairs[0][1], start + pairs[-1][1])
                     best[span] = max(best.get(span, 0), len(pairs))
