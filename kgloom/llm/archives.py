@@ -10,9 +10,10 @@ The query turns pages into ARC segments of bounded size, converts each in the wo
 gzip member a record to WARC files in the cluster's shared folder, and reads the files back with Spark.
 
 Defined results: a null html is the empty payload; a null url is written as 'urn:page'; characters that an ARC header
-line can't hold are percent-encoded; of equal payloads of at least `min_bytes` bytes the one with the smallest page_id
-is the response; rows that share this page_id are all
-responses; rows with null page_id come last; an empty table gives no archive and an empty result.
+line can't hold are percent-encoded; of equal payloads of at least `min_bytes` bytes the one with the smallest page_id is
+the response; where rows share this page_id, that with the smallest url is, and the others revisit it; rows with null
+page_id come last; record identifiers differ even where page_ids don't; other columns of the pages are ignored, whatever
+their names; an empty table gives no archive and an empty result.
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, new_folder, written
+from kgloom.llm.common import documents, join_hot, new_folder, written
 
 # The header fields of each ARC version, in order.
 ARC_FIELDS = {
@@ -47,7 +48,8 @@ def digest(data: bytes) -> str:
 
 
 def _line_safe(text: str) -> str:
-    return re.sub(r"[\s%]|[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text) or "-"
+    """A URL as a header line can hold it: blanks, control and other than ASCII characters are percent-encoded; what is encoded already stays."""
+    return re.sub(r"\s|[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), text) or "-"
 
 
 def write_arc(records: list[tuple[str, str, str, bytes]], version: int = 1, name: str = "pages.arc", date: str = "20000101000000") -> bytes:
@@ -144,12 +146,24 @@ def read_warc(data: bytes) -> Iterator[Warc]:
     data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            raise ValueError("header without end")
         lines = data[at:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
+        headers: dict[str, str] = {}
+        for line in lines[1:]:
+            if line[:1] in (" ", "\t") and headers:  # a folded line goes on
+                headers[next(reversed(headers))] += " " + line.strip()
+                continue
+            key, colon, value = line.partition(":")
+            if not colon:
+                raise ValueError(f"not a header line: {line[:40]}")
+            headers[key.strip()] = value.strip()
         n = int(headers.pop("Content-Length"))
+        if end + 4 + n > len(data):
+            raise ValueError("record longer than the file")
         block = data[end + 4 : end + 4 + n]
         yield Warc(headers.pop("WARC-Type"), headers, block)
         at = end + 4 + n + 4
@@ -165,6 +179,15 @@ def _http(block: bytes) -> dict[str, str]:
     return {k.lower(): v for k, v in (x.split(": ", 1) for x in lines if ": " in x)}
 
 
+def _fetch(folder: str, name: str) -> bytes:
+    """A file of the shared folder."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(folder)
+    with store.open_input_stream(f"{path}/{name}") as file:
+        return file.read()
+
+
 def _store(folder: str, name: str, data: bytes) -> None:
     """Writes a file of the shared folder, whole or not at all; a retried task writes the same bytes again."""
     from pyarrow import fs
@@ -177,24 +200,31 @@ def _store(folder: str, name: str, data: bytes) -> None:
     store.move(part, f"{path}/{name}")
 
 
-def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
-    """Writes the pages as ARC segments, converts these to WARC files in the folder; gives the files' names and numbers of records."""
+def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0, version: int = 1) -> DataFrame:
+    """Writes the pages as ARC segments of this version, converts these to WARC files in the folder; gives the files' names and numbers of records."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("urn:page")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    sizes = F.octet_length("html")
-    keys = written(rows.select("page_id", "sha", sizes.alias("n")), "payloads")
+    keys = written(rows.select("page_id", "sha", F.octet_length("html").alias("n")), "payloads")
     # Only payloads that come more than once; the smallest id is the response.
-    twice = keys.where(F.col("n") >= min_bytes).groupBy("sha").agg(F.count("*").alias("times"), F.min("page_id").alias("first")).where("times > 1")
-    # One narrow row a repeated payload is hashed, so that payloads move once and are never sorted.
-    rows = rows.join(twice.select("sha", F.lit(True).alias("again"), "first").hint("shuffle_hash"), "sha", "left")
-    rows = rows.withColumn("lead", F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("first")))
+    same = keys.where(F.col("n") >= min_bytes).groupBy("sha", "page_id").agg(F.count("*").alias("rows"))
+    first = F.min(F.struct(F.col("page_id").isNull(), "page_id", "rows")).alias("first")
+    twice = same.groupBy("sha").agg(F.sum("rows").alias("times"), first).where("times > 1")
+    twice = written(twice.select("sha", "times", F.col("first.page_id").alias("first"), F.col("first.rows").alias("sharing")), "repeated-payloads")
+    rows = join_hot(rows, twice, ["sha"], "times", "again")
+    leads = F.col("again").isNull() | F.col("page_id").eqNullSafe(F.col("again.first"))
+    rows = rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), "sha", leads.alias("lead"), F.col("again.first").alias("first"), F.coalesce("again.sharing", F.lit(1)).alias("sharing"), F.col("again").isNotNull().alias("again"))
+    if twice.where("sharing > 1").take(1):
+        # Rows that share the id of a response: one of them is it. Only these rows are ranked.
+        tied = rows.where("lead AND sharing > 1").withColumn("lead", F.row_number().over(Window.partitionBy("sha").orderBy("url")) == 1)
+        rows = rows.where("NOT (lead AND sharing > 1)").unionByName(tied)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Segments of equal bytes differ by partition and number; a retried task gives them the same ones again.
         mark = itertools.count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             part, size = [], 0
-            for row in batch.select(["page_id", "url", "html", "lead", "first"]).to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 part.append(row)
                 size += len(row["html"])
                 if size >= _SEGMENT:
@@ -205,13 +235,16 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
 
     def segment(part: list[dict], mark: int) -> pa.RecordBatch:
         documents_ = [http_document(r["page_id"], r["html"]) for r in part]
-        arc = write_arc([(r["url"], "20000101000000", "text/html", d) for r, d in zip(part, documents_, strict=True)])
-        follows = iter(part)
+        arc = write_arc([(r["url"], "20000101000000", "text/html", d) for r, d in zip(part, documents_, strict=True)], version)
+        follows, numbers = iter(part), itertools.count()
 
         def name_of(sha: str, head: bytes) -> tuple[str | None, str | None]:
-            row = next(follows)
-            page = lambda x: f"<urn:page:{'' if x is None else x}>"
-            return (page(row["page_id"]), None) if row["lead"] else (None, page(row["first"]))
+            row, at = next(follows), next(numbers)
+            page = lambda x, more: f"<urn:page:{'' if x is None else x}:{more}>"
+            # Only responses of repeated payloads are referred to, one for each; all others are named by their place.
+            if row["lead"] and row["again"]:
+                return page(row["page_id"], sha), None
+            return page(row["page_id"], f"{mark:x}-{at}"), None if row["lead"] else page(row["first"], sha)
 
         out = bytearray()
         for record in convert(arc, name_of):
@@ -220,42 +253,38 @@ def write_pages(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
         _store(folder, name, bytes(out))
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(part)], pa.int64())], names=["name", "records"])
 
-    return rows.select("page_id", "url", F.col("html").cast("binary").alias("html"), "lead", "first").mapInArrow(run, "name string, records long")
+    return rows.select("page_id", "url", "html", "lead", "first", "again").mapInArrow(run, "name string, records long")
+
+
+_PAGE = re.compile(r"<urn:page:(-?\d*):\w+>")
 
 
 def read_back(spark: SparkSession, names: DataFrame, folder: str) -> DataFrame:
-    """The WARC files' records: page_id, payload_bytes, payload_digest, record_type, refers_to. A digest that doesn't fit its payload raises, and so does a file that is missing or has another number of records than was written."""
+    """The named WARC files' records, read by the workers: page_id, payload_bytes, payload_digest, record_type, refers_to. A digest that doesn't fit its payload raises, and so does a file that is missing or has another number of records than was written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for content, records in zip(batch.column("content"), batch.column("records").to_pylist(), strict=True):
-                before = len(out[0])
-                for record in read_warc(content.as_py()):
+            for name, records in zip(batch.column("name").to_pylist(), batch.column("records").to_pylist(), strict=True):
+                out: list[list] = [[], [], [], [], []]
+                for record in read_warc(_fetch(folder, name)):
                     if record.kind not in ("response", "revisit"):
                         continue
                     http, sha = _http(record.block), record.headers["WARC-Payload-Digest"].removeprefix("sha1:")
                     payload = record.block[record.block.index(b"\r\n\r\n") + 4 :]
                     if record.kind == "response" and digest(payload) != sha:
                         raise ValueError(f"payload of {record.headers['WARC-Record-ID']} doesn't fit its digest")
-                    to = re.fullmatch(r"<urn:page:(-?\d*)>", record.headers.get("WARC-Refers-To", ""))
+                    to = _PAGE.fullmatch(record.headers.get("WARC-Refers-To", ""))
                     row = (int(http["x-page-id"]) if http["x-page-id"] else None, int(http["content-length"]), sha, record.kind, int(to[1]) if to and to[1] else None)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
-                if len(out[0]) - before != records:
-                    raise ValueError(f"{len(out[0]) - before} records read of {records} written")
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    if not names.take(1):
-        return spark.createDataFrame([], schema)
-    # Only files that a finished task has named: what a lost task left is not read.
-    files = spark.read.format("binaryFile").load(f"{folder}/*.warc.gz").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    wanted, found = names.agg(F.count("name")).first()[0], names.join(files.select("name"), "name").agg(F.count_distinct("name")).first()[0]
-    if wanted != found:
-        raise ValueError(f"{wanted} WARC files written, {found} found")
-    return files.join(names.select("name", "records"), "name").select("content", "records").mapInArrow(run, schema)
+                if len(out[0]) != records:
+                    raise ValueError(f"{len(out[0])} records read of {records} written")
+                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
+
+    # Only files that a finished task has named are read: what a lost task left isn't.
+    parts = names.count() // 4 + 1
+    return names.select("name", "records").repartition(parts, "name").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,4 +294,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_warc": op4_warc}
-SQL: dict[str, str] = {}
+_LETTERS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(sha1(p), {5 * k + 1}, 5))::INT >> {15 - 5 * j}) % 32 + 1, 1)" for k in range(8) for j in range(4))
+SQL = {
+    "op4_warc": f"""
+WITH x AS (SELECT page_id, coalesce(html, '') AS p FROM pages),
+d AS (SELECT page_id, strlen(p)::BIGINT AS payload_bytes, {_LETTERS} AS payload_digest FROM x),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS n FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n > 1 THEN first END AS refers_to FROM f""",
+}
