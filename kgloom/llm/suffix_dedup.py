@@ -11,17 +11,20 @@ To do so over all documents without a row per byte:
    anchors at the same place, so only anchors (one byte in about 18) are compared. Documents are packed into chunks;
    chunks send the hashes of their anchors, packed, to the part that the hash belongs to, once a chunk; parts answer
    with a bit for each: does any other document have it. This is the initial bucketing by q-grams.
-2. Contexts. For anchors that recur, chunks send the hash of the anchor's context (all bytes that windows around it can
-   cover). Parts answer for each: its bytes are a repeat (an earlier document has the whole context), or no other
-   context of its bucket shares half a window with it, or it is the first of its context and may share windows.
-3. Refinement. Only those last ones, one for each distinct context of a bucket, are sent as bytes. Each part refines its
-   buckets by bucket pointers to depth `length` and gives, for each window, the smallest document.
+2. Contexts. For anchors that recur, chunks send two 64-bit hashes of the anchor's context (all bytes that windows around
+   it can cover) to the part of the context, and those of its two half windows to the parts of these. Parts answer: an
+   earlier document has the whole context, or another context has this half. Any window has one half or the other.
+3. Refinement. Contexts that are the first of their kind and share a half are sent as bytes to the part of the half. Each
+   part refines its buckets by bucket pointers to depth `length` and gives, for each window, the smallest document.
 4. Chunks put the windows together, remove what they cover, and give the rest.
 
-A group of copies, however large, is one context to each chunk; nothing is collected by group. Chunks are written once,
-bucketed by chunk, so that answers meet them without moving texts.
+A group of copies, however large, is one context to each chunk, and an anchor with many different surroundings goes to as
+many parts as these have halves; nothing is collected by group. There is a part for each `part_bytes` of text, whatever the
+cluster's settings. Chunks are written once, bucketed by chunk, so that answers meet them without moving texts; the table
+is dropped when the result is written.
 
-Hashes of anchors have 48 bits: a clash only makes a needless candidate. Contexts are told apart by 64 bits within an anchor.
+Hashes of anchors have 48 bits and those of halves 32 within an anchor: a clash only makes a needless candidate. Contexts
+are told apart by 128 bits beside the anchor's 48, mixed independently; clashes of these are not looked for.
 
 Defined results: a null text is empty; rows with equal doc_id are no repeats of each other; a null doc_id is larger than
 any other, and null ids are equal; texts shorter than `length` lose nothing; an empty table gives an empty result.
@@ -56,15 +59,24 @@ def _mix(h: np.ndarray, x: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def hash_spans(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; data has 8 bytes of padding. Spans of at most 8 * rounds bytes."""
+def _turn(x: np.ndarray, k: int) -> np.ndarray:
+    return (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+
+
+def _mix2(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return _turn(h ^ (_turn(x * _M2, 31) * _M1), 27) * _M1 + np.uint64(0x52DCE729)
+
+
+def hash_spans(data: bytes, starts: np.ndarray, sizes: np.ndarray, mix=_mix) -> np.ndarray:
+    """A 64-bit hash of each span; data has 8 bytes of padding."""
     words = np.ndarray((len(data) - 8,), "<u8", data, 0, (1,))
     h = (sizes.astype(np.uint64) + np.uint64(1)) * _M1
     for k in range(0, int(sizes.max(initial=0)), 8):
         left = np.clip(sizes - k, 0, 8)
         x = words[np.minimum(starts + k, len(words) - 1)]
         keep = np.where(left >= 8, ~np.uint64(0), (np.uint64(1) << (8 * np.minimum(left, 7)).astype(np.uint64)) - np.uint64(1))
-        h = np.where(left > 0, _mix(h, x & keep), h)
+        h = np.where(left > 0, mix(h, x & keep), h)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(32))
 
 
@@ -188,20 +200,32 @@ def _cut(parts: np.ndarray, n: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(parts[order], np.arange(1, n)))
 
 
-def _answers(row: dict, cuts: list[np.ndarray], n: int, kind: str) -> np.ndarray:
-    """What the parts have said of a chunk, in the order of what it asked."""
-    out = np.zeros(n, kind)
-    for part, data in zip(row["parts"] or (), row["answers"] or (), strict=True):
-        out[cuts[part]] = np.frombuffer(data, kind)
+def _route(keys: np.ndarray, n: int) -> list[np.ndarray]:
+    """Which keys go to each part."""
+    h = (keys ^ (keys >> np.uint64(32))) * _M1
+    return _cut((h >> np.uint64(20)) % np.uint64(n), n)
+
+
+def _put_back(parts, answers, routes: list[list[np.ndarray]], kind: str) -> list[np.ndarray]:
+    """What the parts have said of the keys that a chunk had sent by these routes, a list after the other."""
+    out = [np.zeros(sum(map(len, r)), kind) for r in routes]
+    for part, data in zip(parts or (), answers or (), strict=True):
+        said, at = np.frombuffer(data, kind), 0
+        for values, route in zip(out, routes, strict=True):
+            n = len(route[part])
+            values[route[part]] = said[at : at + n]
+            at += n
     return out
 
 
-def _pairs(a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A row of each distinct (a, h) pair, in the pairs' order, and each row's pair."""
-    order = np.lexsort((h, a))
-    new = np.ones(len(a), bool)
-    new[1:] = (a[order][1:] != a[order][:-1]) | (h[order][1:] != h[order][:-1])
-    of = np.empty(len(a), np.int64)
+def _same(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of each distinct combination of values, in the combinations' order, and each row's combination."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[order][1:] != x[order][:-1]
+    of = np.empty(len(order), np.int64)
     of[order] = np.cumsum(new) - 1
     return order[new], of
 
@@ -210,35 +234,55 @@ def _blob(*arrays: np.ndarray) -> bytes:
     return b"".join(x.tobytes() for x in arrays)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, parts: int | None = None) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): each document's removed [start, stop) byte spans and the bytes that stay."""
+def _unpack(messages, kinds: str) -> tuple[list[np.ndarray], list[list[int]]]:
+    """Columns of messages that hold, for each list, its number of rows and its columns; and these numbers by message."""
+    lists = kinds.split()
+    columns: list[list[list[np.ndarray]]] = [[[] for _ in x.split(",")] for x in lists]
+    counts = []
+    for x in messages:
+        n, at = np.frombuffer(x, "<i8", len(lists)).tolist(), 8 * len(lists)
+        counts.append(n)
+        for k, kind in enumerate(lists):
+            for j, one in enumerate(kind.split(",")):
+                columns[k][j].append(np.frombuffer(x, one, n[k], at))
+                at += n[k] * np.dtype(one).itemsize
+    return [np.concatenate(c) for k in columns for c in k], counts
+
+
+def _kept(docs: DataFrame, length: int, gram: int, parts: int | None, part_bytes: int) -> tuple[DataFrame, str]:
+    """(doc_id, n_bytes, spans, kept) of every document, and the name of the table that it is worked out from."""
     if not 8 < gram <= length:
         raise ValueError("gram must be over 8 and at most length")
     spark = docs.sparkSession
-    n_parts = parts or max(16, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    whole = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
+    n_parts = parts or max(16, -(-whole // part_bytes))
     table = f"kgloom_chunks_{uuid.uuid4().hex}"
     pack(docs).write.bucketBy(n_parts, "chunk").option("compression", "zstd").saveAsTable(table)
     packed = spark.table(table)
-    ask, answer = "chunk long, part int, data binary", "chunk long, part int, data binary"
+    message = "chunk long, part int, data binary"
+    side = length - gram
+    half = -(-side // 2)
 
     def sent(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["chunk", "part", "data"])
 
-    def by_chunk(frame: DataFrame) -> DataFrame:
+    def asked(frame: DataFrame, work) -> DataFrame:
+        return frame.mapInArrow(work, message).repartition(n_parts, "part").groupBy("part")
+
+    def answered(group: pd.DataFrame, said: np.ndarray, counts: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "part": group["part"].to_numpy(), "data": [x.tobytes() for x in np.split(said, np.cumsum(counts)[:-1])]})
+
+    def by_chunk(frame: DataFrame, n: int) -> DataFrame:
         lists = frame.groupBy("chunk").agg(F.collect_list(F.struct("part", "data")).alias("x"))
-        return lists.select("chunk", F.col("x.part").alias("parts"), F.col("x.data").alias("answers"))
+        return written(lists.select("chunk", F.col("x.part").alias(f"parts{n}"), F.col("x.data").alias(f"answers{n}")), "answers")
 
     # 1. Which anchors does another document have?
     def first(batches):
         for row, c in _chunks(batches, length, gram):
-            cuts = _cut(c.keys % np.uint64(n_parts), n_parts)
-            yield sent([(row["chunk"], p, _blob(c.keys[at], c.shared[at].view(np.uint8), c.low[at])) for p, at in enumerate(cuts) if len(at)])
+            yield sent([(row["chunk"], p, _blob(np.array([len(at)]), c.keys[at], c.shared[at].view(np.uint8), c.low[at])) for p, at in enumerate(_route(c.keys, n_parts)) if len(at)])
 
     def recur(group: pd.DataFrame) -> pd.DataFrame:
-        counts = [len(x) // 17 for x in group["data"]]
-        keys = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(group["data"], counts, strict=True)])
-        shared = np.concatenate([np.frombuffer(x, "u1", n, 8 * n) for x, n in zip(group["data"], counts, strict=True)])
-        low = np.concatenate([np.frombuffer(x, "<i8", n, 9 * n) for x, n in zip(group["data"], counts, strict=True)])
+        (keys, shared, low), counts = _unpack(group["data"], "<u8,u1,<i8")
         _, inverse = np.unique(keys, return_inverse=True)
         n = int(inverse.max(initial=-1)) + 1
         least, most, any_shared = np.full(n, _LAST), np.full(n, -_LAST - 1), np.zeros(n, np.uint8)
@@ -246,100 +290,104 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
         np.maximum.at(most, inverse, low)
         np.maximum.at(any_shared, inverse, shared)
         hit = ((least != most) | (any_shared > 0))[inverse].astype(np.uint8)
-        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "part": group["part"].to_numpy(), "data": [x.tobytes() for x in np.split(hit, np.cumsum(counts)[:-1])]})
-
-    asked = packed.select("chunk", "ids", "sizes", "data").mapInArrow(first, ask)
-    hits = written(by_chunk(asked.groupBy("part").applyInPandas(recur, answer)), "repeats")
-
-    # 2. Which contexts does an earlier document have?
-    def flagged(row: dict, c: Chunk) -> np.ndarray:
-        hit = _answers(row, _cut(c.keys % np.uint64(n_parts), n_parts), len(c.keys), "u1")
-        return np.flatnonzero(hit[c.key])
-
-    def distinct(c: Chunk, rows: np.ndarray):
-        """The chunk's distinct contexts: anchor hash, context hash, smallest document, a row that has it there, and each row's context."""
-        start, left, size = c.contexts(rows, length, gram)
-        h = hash_spans(c.data + bytes(16), start, size) + left.astype(np.uint64) * _M1
-        some, of = _pairs(c.hash[rows], h)
-        doc = c.ids[c.doc[rows]]
-        order = np.lexsort((doc, of))
-        lead = order[np.searchsorted(of[order], np.arange(len(some)))]
-        return c.hash[rows][lead], h[lead], doc[lead], rows[lead], of
-
-    half = -(-(length - gram) // 2)
-
-    def halves(c: Chunk, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the anchor with half a window's rest to its left and to its right, 0 where the document ends before: any window has one or the other."""
-        at, doc = c.place[lead], c.doc[lead]
-        size, data = np.full(len(at), gram + half), c.data + bytes(16 + half + gram)
-        before, after = at - c.starts[doc] >= half, c.ends[doc] - at >= gram + half
-        left = hash_spans(data, np.maximum(at - half, 0), size).astype("<u4") | np.uint32(1)
-        right = hash_spans(data, at, size).astype("<u4") | np.uint32(1)
-        return np.where(before, left, np.uint32(0)), np.where(after, right, np.uint32(0))
+        return answered(group, hit, [n for (n,) in counts])
+
+    columns = ["chunk", "ids", "sizes", "data"]
+    joined = packed.select(*columns)
+    hits = by_chunk(asked(joined, first).applyInPandas(recur, message), 1)
+
+    # 2. Which contexts does an earlier document have, which halves another context?
+    class Contexts:
+        """A chunk's distinct contexts of anchors that recur: anchor, hashes, smallest document, a row that has it there, each row's context."""
+
+        def __init__(self, row: dict, c: Chunk):
+            (hit,) = _put_back(row["parts1"], row["answers1"], [_route(c.keys, n_parts)], "u1")
+            self.chunk, self.rows = c, np.flatnonzero(hit[c.key])
+            start, left, size = c.contexts(self.rows, length, gram)
+            data = c.data + bytes(16 + half + gram)
+            one = hash_spans(data, start, size) + left.astype(np.uint64) * _M1
+            two = hash_spans(data, start, size, _mix2) ^ left.astype(np.uint64)
+            some, self.of = _same(c.hash[self.rows], one, two)
+            doc = c.ids[c.doc[self.rows]]
+            order = np.lexsort((doc, self.of))
+            lead = order[np.searchsorted(self.of[order], np.arange(len(some)))]
+            self.doc, self.lead = doc[lead], self.rows[lead]
+            anchor = c.hash[self.lead]
+            self.name, self.check = _mix(anchor * _M1, one[lead]), two[lead]
+            at, own = c.place[self.lead], c.doc[self.lead]
+            width = np.full(len(at), gram + half)
+            # Halves that the document's ends cut off hold no window.
+            self.sides = []
+            for start_, whole_ in ((np.maximum(at - half, 0), at - c.starts[own] >= half), (at, c.ends[own] - at >= gram + half)):
+                tail = hash_spans(data, start_, width) & np.uint64(0xFFFFFFFF)
+                rows = np.flatnonzero(whole_)
+                self.sides.append((rows, _mix(_mix(anchor * _M2, tail), np.full(len(at), len(self.sides) + 1, np.uint64))[rows]))
+            self.routes = [_route(self.name, n_parts), *[_route(keys, n_parts) for _, keys in self.sides]]
+
+        def hear(self, row: dict) -> None:
+            """What the parts said: `earlier`, and the rows of each side that another context has the half of."""
+            earlier, *others = _put_back(row["parts2"], row["answers2"], self.routes, "u1")
+            self.earlier = earlier > 0
+            self.open = [(rows[(said > 0) & ~self.earlier[rows]], keys[(said > 0) & ~self.earlier[rows]]) for (rows, keys), said in zip(self.sides, others, strict=True)]
+            self.open_routes = [_route(keys, n_parts) for _, keys in self.open]
 
     def second(batches):
         for row, c in _chunks(batches, length, gram):
-            a, h, doc, lead, _ = distinct(c, flagged(row, c))
-            left, right = halves(c, lead)
-            cuts = _cut(a % np.uint64(n_parts), n_parts)
-            yield sent([(row["chunk"], p, _blob(a[at], h[at], doc[at], left[at], right[at])) for p, at in enumerate(cuts) if len(at)])
+            x = Contexts(row, c)
+            out = []
+            for p, (at, *ends) in enumerate(zip(*x.routes, strict=True)):
+                if len(at) or any(map(len, ends)):
+                    halves = [y for e, (rows, keys) in zip(ends, x.sides, strict=True) for y in (keys[e], x.check[rows[e]])]
+                    out.append((row["chunk"], p, _blob(np.array([len(at), *map(len, ends)]), x.name[at], x.check[at], x.doc[at], *halves)))
+            if out:
+                yield sent(out)
 
     def earliest(group: pd.DataFrame) -> pd.DataFrame:
-        """For each context: has an earlier document it all (1), or is it the first and may share a window with another one (2)?"""
-        counts = [len(x) // 32 for x in group["data"]]
-        layout = (("<u8", 0), ("<u8", 8), ("<i8", 16), ("<u4", 24), ("<u4", 28))
-        a, h, doc, left, right = (np.concatenate([np.frombuffer(x, k, n, i * n) for x, n in zip(group["data"], counts, strict=True)]) for k, i in layout)
-        lead, of = _pairs(a, h)
+        (name, check, doc, *halves), counts = _unpack(group["data"], "<u8,<u8,<i8 <u8,<u8 <u8,<u8")
+        lead, of = _same(name, check)
         low = np.full(len(lead), _LAST)
         np.minimum.at(low, of, doc)
-        others = np.zeros(len(lead), bool)
-        for side_ in (left[lead], right[lead]):
-            # A clash of these hashes only sends a context that is then told apart by its bytes.
-            _, bucket, size = np.unique(_mix(a[lead] * _M1, side_.astype(np.uint64)), return_inverse=True, return_counts=True)
-            others |= (size[bucket] > 1) & (side_ > 0)
-        state = np.where(low[of] < doc, 1, np.where(others[of], 2, 0)).astype(np.uint8)
-        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "part": group["part"].to_numpy(), "data": [x.tobytes() for x in np.split(state, np.cumsum(counts)[:-1])]})
-
-    joined = packed.join(hits, "chunk", "left")
-    asked = joined.select("chunk", "ids", "sizes", "data", "parts", "answers").mapInArrow(second, ask)
-    states = written(by_chunk(asked.groupBy("part").applyInPandas(earliest, answer)), "contexts").select("chunk", F.col("parts").alias("parts2"), F.col("answers").alias("answers2"))
-
-    def known(row: dict, c: Chunk):
-        rows = flagged(row, c)
-        a, h, doc, lead, of = distinct(c, rows)
-        state = _answers({"parts": row["parts2"], "answers": row["answers2"]}, _cut(a % np.uint64(n_parts), n_parts), len(a), "u1")
-        return rows, a, h, doc, lead, of, state
-
-    # 3. Contexts that are the first of their kind, as bytes, refined within their buckets.
-    side = length - gram
-
+        said = [low[of] < doc]
+        for keys, contexts in zip(halves[::2], halves[1::2], strict=True):
+            some, _ = _same(keys, contexts)
+            key, times = np.unique(keys[some], return_counts=True)
+            said.append(times[np.searchsorted(key, keys)] > 1)
+        # Back into the messages' order: each has a part of every list.
+        numbers = np.array(counts)
+        ends = np.cumsum(numbers, axis=0)
+        flat = [np.concatenate([x[e - n : e] for x, e, n in zip(said, end, row, strict=True)]) for end, row in zip(ends.tolist(), counts, strict=True)]
+        return answered(group, np.concatenate(flat).astype(np.uint8), numbers.sum(axis=1).tolist())
+
+    joined = joined.join(hits, "chunk", "left")
+    states = by_chunk(asked(joined, second).applyInPandas(earliest, message), 2)
+
+    def known(row: dict, c: Chunk) -> Contexts:
+        x = Contexts(row, c)
+        x.hear(row)
+        return x
+
+    # 3. Contexts that are the first of their kind and share a half, as bytes, refined together with those that share it.
     def third(batches):
         for row, c in _chunks(batches, length, gram):
-            _, a, _, doc, lead, _, state = known(row, c)
-            open_ = np.flatnonzero(state == 2)
-            start, left, size = c.contexts(lead[open_], length, gram)
-            cuts, out = _cut(a[open_] % np.uint64(n_parts), n_parts), []
-            for p, at in enumerate(cuts):
+            x, out = known(row, c), []
+            for p, ends in enumerate(zip(*x.open_routes, strict=True)):
+                at = np.concatenate([rows[e] for e, (rows, _) in zip(ends, x.open, strict=True)])
                 if len(at):
-                    texts = b"".join(c.data[s : s + n] for s, n in zip(start[at].tolist(), size[at].tolist(), strict=True))
-                    out.append((row["chunk"], p, _blob(np.array([len(at)], "<i8"), a[open_][at], doc[open_][at], left[at], size[at]) + texts))
+                    start, left, size = c.contexts(x.lead[at], length, gram)
+                    texts = b"".join(c.data[s : s + n] for s, n in zip(start.tolist(), size.tolist(), strict=True))
+                    out.append((row["chunk"], p, _blob(np.array([len(at)]), x.doc[at], left, size) + texts))
             if out:
                 yield sent(out)
 
     def windows(group: pd.DataFrame) -> pd.DataFrame:
         """For each context a 64-bit mask: which windows, by their bytes left of the anchor, start in an earlier document."""
-        heads, texts = [], []
-        for x in group["data"]:
-            n = int(np.frombuffer(x, "<i8", 1)[0])
-            heads.append([np.frombuffer(x, k, n, 8 + 8 * i * n) for i, k in enumerate(("<u8", "<i8", "<i8", "<i8"))])
-            texts.append(bytes(x[8 + 32 * n :]))
-        a, doc, left, size = (np.concatenate([h[k] for h in heads]) for k in range(4))
-        data = b"".join(texts) + bytes(length)
+        (doc, left, size), counts = _unpack(group["data"], "<i8,<i8,<i8")
+        data = b"".join(bytes(x[8 + 24 * n :]) for x, (n,) in zip(group["data"], counts, strict=True)) + bytes(length)
         base = np.cumsum(size) - size
         count = np.maximum(size - length + 1, 0)  # the windows of each context, all around the anchor
-        of = np.repeat(np.arange(len(a)), count)
+        of = np.repeat(np.arange(len(doc)), count)
         starts = base[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-        mask = np.zeros(len(a), np.uint64)
+        mask = np.zeros(len(doc), np.uint64)
         if len(starts):
             bucket = refine(data, starts, length)
             shift = base[of] + left[of] - starts
@@ -347,32 +395,29 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
             np.minimum.at(low, bucket, doc[of])
             again = low[bucket] < doc[of]
             np.bitwise_or.at(mask, of[again], np.uint64(1) << shift[again].astype(np.uint64))
-        cuts = np.cumsum([len(h[0]) for h in heads])[:-1]
-        return pd.DataFrame({"chunk": group["chunk"].to_numpy(), "part": group["part"].to_numpy(), "data": [x.tobytes() for x in np.split(mask, cuts)]})
+        return answered(group, mask, [n for (n,) in counts])
 
     joined = joined.join(states, "chunk", "left")
-    columns = ["chunk", "ids", "sizes", "data", "parts", "answers", "parts2", "answers2"]
-    asked = joined.select(*columns).mapInArrow(third, ask)
-    masks = written(by_chunk(asked.groupBy("part").applyInPandas(windows, answer)), "windows").select("chunk", F.col("parts").alias("parts3"), F.col("answers").alias("answers3"))
+    masks = by_chunk(asked(joined, third).applyInPandas(windows, message), 3)
 
     # 4. Windows become spans.
     def last(batches):
         for row, c in _chunks(batches, length, gram):
-            rows, a, _, doc, lead, of, state = known(row, c)
-            open_ = np.flatnonzero(state == 2)
-            got = _answers({"parts": row["parts3"], "answers": row["answers3"]}, _cut(a[open_] % np.uint64(n_parts), n_parts), len(open_), "<u8")
-            start, left, size = c.contexts(rows, length, gram)
+            x = known(row, c)
+            start, left, size = c.contexts(x.rows, length, gram)
             edge = np.zeros(len(c.data) + 1, np.int32)
             # The whole context, where an earlier document has it: known of the chunk's first such document, so later ones have it too.
-            mine = c.ids[c.doc[rows]]
-            whole = ((state[of] == 1) | (mine > doc[of])) & (size >= length)
-            np.add.at(edge, start[whole], 1)
-            np.add.at(edge, start[whole] + size[whole], -1)
-            mask = np.zeros(len(a), np.uint64)
-            mask[open_] = got
-            part = np.flatnonzero(~whole & (mask[of] != 0) & (mine == doc[of]))
+            mine = c.ids[c.doc[x.rows]]
+            all_ = (x.earlier[x.of] | (mine > x.doc[x.of])) & (size >= length)
+            np.add.at(edge, start[all_], 1)
+            np.add.at(edge, start[all_] + size[all_], -1)
+            mask = np.zeros(len(x.doc), np.uint64)
+            # A part's answers stand for the left halves' contexts, then for the right ones'.
+            for (rows, _), got in zip(x.open, _put_back(row["parts3"], row["answers3"], x.open_routes, "<u8"), strict=True):
+                np.bitwise_or.at(mask, rows, got)
+            some = np.flatnonzero(~all_ & (mask[x.of] != 0) & (mine == x.doc[x.of]))
             for shift in range(side + 1):
-                on = part[(mask[of[part]] >> np.uint64(shift)) & np.uint64(1) > 0]
+                on = some[(mask[x.of[some]] >> np.uint64(shift)) & np.uint64(1) > 0]
                 begin = start[on] + left[on] - shift
                 np.add.at(edge, begin, 1)
                 np.add.at(edge, begin + length, -1)
@@ -383,19 +428,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
                 turns = np.flatnonzero(np.diff(np.concatenate([[0], own.view(np.int8), [0]])))
                 spans.append(turns.reshape(-1, 2).tolist())
                 kept.append(np.frombuffer(c.data, np.uint8)[s:e][~own].tobytes() if len(turns) else c.data[s:e])
-            ids = [None if x == _LAST else x for x in c.ids.tolist()]
+            ids = [None if x_ == _LAST else x_ for x_ in c.ids.tolist()]
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
-            columns = [pa.array(x, k) for x, k in zip((ids, c.sizes.tolist(), spans, kept), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "spans", "kept"])
+            found = [pa.array(y, k) for y, k in zip((ids, c.sizes.tolist(), spans, kept), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(found, names=["doc_id", "n_bytes", "spans", "kept"])
 
     joined = joined.join(masks, "chunk", "left")
-    return joined.select(*columns, "parts3", "answers3").mapInArrow(last, "doc_id long, n_bytes long, spans array<array<long>>, kept binary")
+    return joined.mapInArrow(last, "doc_id long, n_bytes long, spans array<array<long>>, kept binary"), table
+
+
+def _settled(docs: DataFrame, columns, length: int, gram: int, parts: int | None, part_bytes: int) -> DataFrame:
+    """The result's columns, written; the chunk table goes."""
+    found, table = _kept(docs, length, gram, parts, part_bytes)
+    try:
+        return written(found.select(*columns), "suffix-result")
+    finally:
+        docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, parts: int | None = None, part_bytes: int = 32 << 20) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept): each document's removed [start, stop) byte spans and the bytes that stay."""
+    return _settled(docs, ["doc_id", "n_bytes", "spans", "kept"], length, gram, parts, part_bytes)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = remove_repeats(documents(spark, sf_dir))
     removed = F.col("n_bytes") - F.octet_length("kept")
-    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = ["doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
+    return _settled(documents(spark, sf_dir), digests, LENGTH, GRAM, None, 32 << 20)
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
