@@ -6,7 +6,7 @@ each document expects target/size copies. Expected copies are prefix-summed in a
 source is added, and a document is emitted once per integer boundary that its interval crosses. The order runs by size
 class, so that the words taken come close to the target, then pseudo-randomly.
 
-The prefix sum is two-level: a source is dealt into blocks (size class and four bits of a hash); counts of blocks are
+The prefix sum is two-level: a source is dealt into blocks (size class and leading hash digits, more of them for more rows); counts of blocks are
 summed first, ranks are then taken inside blocks only. A source with a third of all rows so never meets in one task.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a source without words
@@ -15,6 +15,8 @@ gets target 0 and takes nothing; equal doc_ids are separate rows; an empty table
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -48,16 +50,20 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float =
     return rows.select("source", "source_size", "weight", target.alias("target"))
 
 
-def _digest(column) -> F.Column:
-    return F.md5(F.encode(F.coalesce(column.cast("string"), F.lit("null")), "UTF-8"))
+def _digest(column, seed: str = "") -> F.Column:
+    text = F.coalesce(column.cast("string"), F.lit("null"))
+    return F.md5(F.encode(F.concat(F.lit(seed), text) if seed else text, "UTF-8"))
 
 
-def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "", block: int = 1_000_000) -> DataFrame:
     """Every row of (row columns, source, size) with source_size, target and `copies`, the times that the mix takes it.
 
-    `docs` has doc_id, source and size; other columns are kept."""
-    docs = docs.withColumn("_hash", _digest(F.col("doc_id"))).withColumn("_class", F.floor(F.sqrt(F.col("size").cast("double"))).cast("long"))
-    docs = docs.withColumn("_deal", F.substring("_hash", 1, 1))
+    `docs` has doc_id, source and size; other columns are kept. Another seed orders the documents of a size class in
+    another way and draws other offsets. The digits of the hash that rows are dealt by grow with the table, so that a
+    block holds about `block` rows at most; they follow the order, so the result doesn't depend on them."""
+    digits = max(1, math.ceil(math.log(max(docs.count(), 1) / block, 16)) + 1)
+    docs = docs.withColumn("_hash", _digest(F.col("doc_id"), seed)).withColumn("_class", F.floor(F.sqrt(F.col("size").cast("double"))).cast("long"))
+    docs = docs.withColumn("_deal", F.substring("_hash", 1, digits))
     blocks = docs.groupBy("source", "_class", "_deal").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     goals = targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
     before = Window.partitionBy("source").orderBy("_class", "_deal").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,16 +74,16 @@ def plan(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0)
     same = F.col("r.source").eqNullSafe(F.col("k.source")) & (F.col("r._class") == F.col("k._class")) & (F.col("r._deal") == F.col("k._deal"))
     found = rows.alias("r").join(blocks.alias("k"), same).select("r.*", "before", "source_size", "target")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = F.conv(F.substring(_digest(F.concat(F.lit("offset "), F.col("source"))), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
+    offset = F.conv(F.substring(_digest(F.concat(F.lit("offset "), F.col("source")), seed), 1, 5), 16, 10).cast("double") / F.lit(float(1 << 20))
     place = F.col("before") + F.col("_rank")
     copies = F.floor(each * place + offset) - F.floor(each * (place - 1) + offset)
     return found.withColumn("copies", copies.cast("long")).drop("_hash", "_class", "_deal", "_rank", "before")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, seed: str = "") -> DataFrame:
     """The mixed documents: each row of the input as often as the plan takes it."""
     keys = written(sized(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("_text")), "sizes")
-    taken = plan(keys, weights, share, cap).where("copies > 0")
+    taken = plan(keys, weights, share, cap, seed).where("copies > 0")
     # Rows that share a doc_id differ in text or are equal and interchangeable; they are numbered on both sides.
     nth = Window.partitionBy("doc_id", "_source", "_text").orderBy(F.lit(1))
     taken = taken.select("doc_id", F.col("source").alias("_source"), "_text", "copies")
