@@ -23,11 +23,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.llm.common import documents
+from kgloom.llm.common import documents, written
 
 GRADES = 3
 _BITS = 18
@@ -136,20 +136,30 @@ def graded(labels: DataFrame) -> DataFrame:
     return known.select("doc_id", grade.alias("grade")).groupBy("doc_id").agg(F.min("grade").alias("grade"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000) -> Ordinal:
-    """Fits on at most max_rows labelled rows; only their features, not their texts, come to the driver."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, max_values: int = 40_000_000, **how) -> Ordinal:
+    """Fits on at most max_rows labelled rows, those with the smallest hash of their doc_id; only their features, not their
+    texts, come to the driver, and of these at most max_values (160 MB): later rows are left out beyond. Of rows that
+    share a doc_id the smallest text is taken, so refits agree. `how` goes to `fit`."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # At most max_rows rows of two numbers.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [features(x.as_py()).tobytes() for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grade"), pa.array(found, pa.binary())], names=["doc_id", "grade", "found"])
 
-    got = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "grade").mapInArrow(run, "doc_id long, grade int, found binary").collect()
+    known = written(rows.select("doc_id", "text", "grade").mapInArrow(run, "doc_id long, grade int, found binary"), "quality-features")
+    # A row a document of the sample: its running number of values, in the order of the hash.
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = known.select("doc_id", (F.octet_length("found") / 4).cast("long").alias("n")).withColumn("upto", F.sum("n").over(order))
+    last = sizes.where(F.col("upto") <= max_values).agg(F.max(F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")).alias("last")).first().last
+    if last is None:
+        return fit([], np.zeros(0, np.int64), **how)
+    got = known.where((F.xxhash64("doc_id") < last.h) | ((F.xxhash64("doc_id") == last.h) & (F.col("doc_id") <= last.doc_id))).collect()
     got.sort(key=lambda r: r.doc_id)
-    return fit([np.frombuffer(r.found, np.int32) for r in got], np.array([r.grade for r in got], np.int64))
+    return fit([np.frombuffer(r.found, np.int32) for r in got], np.array([r.grade for r in got], np.int64), **how)
 
 
 def score(docs: DataFrame, model: Ordinal) -> DataFrame:
