@@ -33,7 +33,7 @@ def names(model):
 
 ALL = sorted(map(str, (0, 1, 1, 2, 3, 4, 5, None, None, 6, 7)))
 RUNS = {
-    "exact": lambda d: exact_dedup.dedup(d),
+    "exact": lambda d: exact_dedup.classes(d),
     "line": lambda d: line_dedup.dedup(d),
     "suffix": lambda d: suffix_dedup.remove_repeats(d),
     "simhash": lambda d: simhash.near_groups(d),

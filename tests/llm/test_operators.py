@@ -1,5 +1,6 @@
 """Small cases of each training-data operator against brute force: nulls, empty and repeated rows, ties, empty tables."""
 
+import base64
 import hashlib
 import json
 import random
@@ -7,6 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from kgloom.llm import archives, bpe, exact_dedup, licenses, line_dedup, mixing, quality, simhash, suffix_dedup, topk
 from kgloom.llm.components import components
@@ -40,15 +42,50 @@ def test_cuckoo_index():
     assert len(index) == 1500 and all((index.find(d) is None) == (k % 2 == 0) for k, d in enumerate(digests))
 
 
+def test_cuckoo_hits_are_verified_in_their_bucket():
+    index = exact_dedup.CuckooIndex(16)
+    twin = lambda k: b"\x07\x00" + bytes(8) + bytes([k]) * 22  # noqa: E731  the same tag and buckets
+    for k in range(5):
+        index.insert(twin(k), [k, 0, 1])
+        index.insert(twin(k), [k, 0, 2])  # a live digest takes no second tag
+    assert len(index) == 5 and sum(map(len, index.tags)) == 5
+    assert index.maybe(twin(9)) and index.find(twin(9)) is None and index.find(twin(3)) == [3, 0, 2]
+    before = index.compared
+    assert index.find(hashlib.sha256(b"x").digest()) is None and index.compared == before  # no hit, nothing is read
+    for k in range(5):
+        assert index.delete(twin(k))
+    assert not index.maybe(twin(0)) and not index.content
+
+
+def test_exact_dedup_keeps_one_row_of_each_text(spark):
+    rows = [(1, "a b", "x"), (1, "a  b", "y"), (None, "c", "x"), (None, "c", "y"), (5, "c", "z"), (None, "d", "x"), (None, "d", "y"), (7, None, "x"), (6, "", "y"), (8, "e", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keep_id string")
+    got = exact_dedup.dedup(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), (r.text or "").split()) for r in got.collect()) == [("1", ["a", "b"]), ("5", ["c"]), ("6", []), ("8", ["e"]), ("None", ["d"])]
+
+
+def test_index_changes(spark):
+    digest = lambda t: hashlib.sha256(t.encode()).digest()
+    keys = lambda rows: spark.createDataFrame([(d, k, digest(t)) for k, (d, t) in enumerate(rows)], "doc_id long, row long, digest binary")
+    live = exact_dedup.groups(keys([(1, "a"), (2, "a"), (3, "b"), (4, "c"), (None, "d")]))
+    gone = spark.createDataFrame([(1, digest("a")), (3, digest("b")), (9, digest("z")), (1, None)], "doc_id long, digest binary")
+    found = exact_dedup.apply_changes(live, keys([(0, "c"), (6, "e"), (6, "e")]), gone, part_rows=2)
+    got = {bytes(r.digest): (r.keep_id, r.group_size) for r in found.collect()}
+    assert got == {digest("a"): (None, 1), digest("c"): (0, 2), digest("d"): (None, 1), digest("e"): (6, 2)}
+    nothing = spark.createDataFrame([], "doc_id long, row long, digest binary")
+    assert exact_dedup.apply_changes(live.limit(0), nothing, gone.limit(0)).count() == 0
+
+
 def test_exact_dedup(spark):
     rows, docs = some_docs(spark)
-    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.dedup(docs).collect())
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.classes(docs).collect())
     norm = lambda t: " ".join(("x" + (t or "") + "x").split())
     groups = {}
     for d, t, *_ in rows:
         groups.setdefault(norm(t), []).append(d)
-    assert got == sorted((d, min(g), len(g), d == min(g)) for g in groups.values() for d in g)
-    assert exact_dedup.dedup(none(spark)).count() == 0
+    assert got == sorted((d, min(g), len(g), k == 0) for g in groups.values() for k, d in enumerate(sorted(g)))
+    assert exact_dedup.classes(none(spark)).count() == 0 == exact_dedup.dedup(none(spark)).count()
 
 
 def test_simhash(spark):
@@ -65,6 +102,52 @@ def test_simhash(spark):
     assert simhash.near_groups(none(spark)).count() == 0
 
 
+def test_fingerprints_by_the_definition():
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for text in ("", " \t", "One", "one TWO", "a b c", "the cat The CAT the cat sat É é", "x " * 500, "\x85a b\x0bc\x0cd\u2003e f"):
+        words, word = [], ""
+        for c in text.translate(lower) + " ":
+            if c in " \t\n\x0b\x0c\r":
+                words, word = words + [word] * bool(word), ""
+            else:
+                word += c
+        shingles = [" ".join(words[k : k + 3]) for k in range(max(len(words) - 2, 1))] if words else []
+        hashes = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text.encode()) == want
+
+
+def test_rows_without_an_id_link_others(spark, monkeypatch):
+    rows = [(1, 0b0), (None, 0b111), (2, 0b111111), (3, 0b111 << 40), (None, 0b111111 << 50), (None, 0b1111111 << 50)]
+    schema = "doc_id long, fp long"
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    got = [(r.doc_id, r.component_id) for r in simhash.near_groups(spark.createDataFrame(rows, schema)).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1), (None, 1), (2, 1), (3, 1), (None, None), (None, None)], key=str)
+
+
+def test_any_number_of_slabs_gives_the_same_groups(spark):
+    r = random.Random(4)
+    base = [r.getrandbits(63) for _ in range(6)]
+    fps = sorted({b ^ sum(1 << k for k in r.sample(range(63), r.randrange(5))) for b in base for _ in range(20)})
+    nodes = spark.createDataFrame([(f, k) for k, f in enumerate(fps)], "fp long, node long")
+    groups = [sorted((x.node, x.component) for x in components(simhash.links(nodes, slabs=slabs, block=block)).collect()) for slabs, block in ((6, 4096), (8, 4096), (6, 7))]
+    assert groups[0] == groups[1] == groups[2]
+    assert [simhash.slabs_for(n, 3) for n in (0, 10**6, 10**10, 10**13)] == sorted(simhash.slabs_for(n, 3) for n in (0, 10**6, 10**10, 10**13))
+
+
+def test_simhash_keeps_one_row_of_each_group(spark):
+    text = " ".join(f"w{k}" for k in range(50))
+    rows = [(3, text, 1), (3, text, 2), (None, text, 3), (None, "alone here", 4), (None, "alone here", 5), (2, None, 6), (2, "something else", 7), (9, "", 8)]
+    got = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string, fp int")).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["2", "2", "3", "None"]
+
+
+def test_components_of_a_star_and_a_path(spark):
+    edges = [(0, k) for k in range(1, 3000)] + [(k, k + 1) for k in range(5000, 5040)] + [(7, 7), (9000, 9001), (9001, 9000)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5041), 5000) | dict.fromkeys((9000, 9001), 9000)
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
 def test_links_in_blocks(spark):
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(12)]
@@ -197,6 +280,24 @@ def test_topk(spark):
     assert set(got) == {0, 100, 200}
 
 
+def test_topk_against_brute_force_in_many_shapes(spark):
+    r = random.Random(8)
+    for width, spread, block, k in ((1, 2.0, 16, 3), (5, 1.0, 32, 10), (3, 0.01, 64, 10), (4, 60_000.0, 32, 4)):
+        rows = [(r.choice((n, n // 2)), [r.uniform(-spread, spread) for _ in range(r.choice((width, max(1, width - 1))))]) for n in range(420)]
+        vectors = topk.written(topk.whole_numbers(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+        v = [(x.vec_id, np.array([*x.v] + [0] * (width - len(x.v)), object)) for x in vectors.collect()]
+        asked = spark.createDataFrame([(7, [1] * width), (8, [-3] * width), (10**6, [0] * width)], "vec_id long, v array<long>")
+        got = {}
+        for x in topk.search(vectors, asked, k=k, block=block, portion=2).collect():
+            got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
+        for q, weight in ((7, 1), (8, -3), (10**6, 0)):
+            want = sorted((-int(sum(x * weight for x in c)), i) for i, c in v if i != q)[:k]
+            assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(want)]
+    big = spark.createDataFrame([(1, [1e17])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="scaled component"):
+        topk.whole_numbers(big).collect()
+
+
 def test_line_dedup(spark):
     rows = [(1, "page 1 of 9\nown a"), (2, "page 2 of 9\nown b"), (3, "page  3 of 8\n\nown c"), (4, "page 4 of 7"), (5, None), (6, "")]
     got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -210,6 +311,26 @@ def test_licenses():
     assert licenses.Scanner().scan(None) == [] == licenses.Scanner().scan("of the software")
 
 
+def test_license_scan_of_frames(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    rows = [(1, mit, "x"), (1, mit, "x"), (None, "x " + mit, "x"), (2, None, "x"), (3, "", "x"), (4, "All rights reserved. " + mit, "x")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string"))
+    assert got.columns == ["doc_id", "license", "coverage", "first_word", "last_word", "places"]
+    assert sorted((str(r.doc_id), r.license) for r in got.collect()) == [("1", "MIT"), ("1", "MIT"), ("4", "MIT"), ("4", "all-rights-reserved"), ("None", "MIT")]
+    assert licenses.scan(none(spark)).count() == 0
+
+
+def test_quality_refits_agree(spark):
+    rows = [(k % 40, f"w{k % 7} fine text " + ("awful " if k % 3 == 0 else "")) for k in range(120)]
+    labels = spark.createDataFrame([(k, int(k % 3 != 1), int(k % 3 == 0)) for k in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = quality.train(docs, labels), quality.train(docs.repartition(7), labels)
+    assert (one.weights == two.weights).all() and (one.cuts == two.cuts).all()
+    few = quality.train(docs, labels, max_values=60)
+    assert (few.cuts != one.cuts).any()
+    assert quality.score(docs.limit(0), quality.train(docs, labels, max_values=0)).count() == 0
+
+
 def test_quality(spark):
     rows = [(k, f"w{k % 7} fine text " + ("awful " if k % 3 == 0 else "") + ("zz$$$ yy%%% " if k % 3 == 1 else "")) for k in range(150)]
     docs = spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string")
@@ -232,16 +353,63 @@ def test_archives(spark):
     assert got == {1: ("response", None, 1), 2: ("revisit", 1, 1), 3: ("revisit", 0, 0), 0: ("response", None, 0), None: ("revisit", 1, 1)}
 
 
+def _records(names, folder):
+    return [x for r in names.collect() for x in archives.read_warc(archives._fetch(folder, r.name))]
+
+
+@pytest.mark.parametrize("version", [1, 2])
+def test_archives_against_brute_force(spark, version):
+    r = random.Random(version)
+    urls = ["http://x/a%20b", "http://x/a b", "http://x/é?q=%41", None, "", "http://x/" + "y" * 3000]
+    rows = [(r.choice((k, k // 3, None)), r.choice(urls), r.choice(("", None, "é" * 40, "HTTP/1.0 not a header", f"own {k}", "x\r\n\r\ny")), "x", "x") for k in range(120)]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string, sha string, lead string")
+    folder = archives.new_folder(spark, "test")
+    names = archives.written(archives.write_pages(docs, folder, version=version))
+    got = sorted(map(str, (tuple(x) for x in archives.read_back(spark, names, folder).collect())))
+    groups = {}
+    for page, _, html, *_ in rows:
+        groups.setdefault((html or "").encode(), []).append(page)
+    want = []
+    for payload, pages in groups.items():
+        pages.sort(key=lambda x: (x is None, x))
+        sha = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        want += [(p, len(payload), sha, "revisit" if k else "response", pages[0] if k else None) for k, p in enumerate(pages)]
+    assert got == sorted(map(str, want))
+    records = _records(names, folder)
+    ids = [x.headers["WARC-Record-ID"] for x in records]
+    assert len(set(ids)) == len(ids)
+    by_id = {x.headers["WARC-Record-ID"]: x for x in records}
+    assert all(by_id[x.headers["WARC-Refers-To"]].headers["WARC-Payload-Digest"] == x.headers["WARC-Payload-Digest"] for x in records if x.kind == "revisit")
+    safe = {"http://x/a%20b", "http://x/%C3%A9?q=%41", "urn:page", "-", "http://x/" + "y" * 3000}
+    assert {x.headers["WARC-Target-URI"] for x in records if x.kind != "warcinfo"} == safe
+
+
+def test_archives_refuse_broken_input():
+    arc = archives.write_arc([("u", "20010203", "text/html", b"hello")])
+    for broken in (arc[:-4], b"x" * 30, arc.replace(b"1 0 kgloom", b"7 0 kgloom"), b"u 0.0.0.0 2001 text/html 3\nabc\n"):
+        with pytest.raises(ValueError):
+            list(archives.read_arc(broken))
+    (record,) = list(archives.convert(arc))[1:]
+    assert record.kind == "resource" and record.headers["WARC-Date"] == "2001-02-03T00:00:00Z"
+    data = record.bytes()
+    (again,) = archives.read_warc(data.replace(b"WARC-IP-Address: 0.0.0.0", b"WARC-IP-Address:0.0.0.0\r\n  and more"))
+    assert again.headers["WARC-IP-Address"] == "0.0.0.0 and more" and again.block == b"hello"
+    for broken in (data[:-9], data.replace(b"WARC-Date: ", b"WARC-Date "[:-1]), b"HTTP/1.0 x\r\n\r\n", data[:20]):
+        with pytest.raises(ValueError):
+            list(archives.read_warc(broken.replace(b"WARC-Date2001-02-03T00:00:00Z", b"nothing here")))
+
+
 def test_archives_keep_equal_segments(spark):
     rows = [(None, None, "x" * (9 << 20))] * 3 + [(7, "u", "y" * (9 << 20))] * 3 + [(8, "u", "z")]
     folder = archives.new_folder(spark, "test")
     names = archives.written(archives.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder))
-    got = sorted(str(r.page_id) for r in archives.read_back(spark, names, folder).collect())
-    assert got == ["7", "7", "7", "8", "None", "None", "None"]
+    got = sorted((str(r.page_id), r.record_type, r.refers_to) for r in archives.read_back(spark, names, folder).collect())
+    tied = [("7", "response", None), ("7", "revisit", 7), ("7", "revisit", 7)]
+    assert got == [*tied, ("8", "response", None), *[("None", kind, None) for kind in ("response", "revisit", "revisit")]]
     wrong = names.withColumn("records", names.records + 1)
     with pytest.raises(Exception, match="records read"):
         archives.read_back(spark, wrong, folder).collect()
-    with pytest.raises(ValueError, match="WARC files written"):
+    with pytest.raises(Exception, match="gone"):
         archives.read_back(spark, names.unionByName(spark.createDataFrame([("gone", 1)], "name string, records long")), folder)
 
 
@@ -264,6 +432,13 @@ def test_licenses_against_all_windows():
             assert bool(found) == (most >= 0.8 * len(template)) == (missing < 0.2)
             assert not found or found[0][1] * len(template) >= most - 1 and found[0][4] == 1
     mit = licenses.TEMPLATES["MIT"]
+    apart = lambda n: " ".join([*mit.split()[:80], *["foreign"] * n, *mit.split()[80:]])
+    for text, places in ((apart(400), 1), (apart(5000) + " filler" * 900 + " " + apart(700), 2)):
+        assert [(x[0], x[4]) for x in licenses.Scanner().scan(text)] == [("MIT", places)]
+    rare = " ".join(f"{w} x" for w in ("hereby", "charge", "sublicense", "noninfringement"))
+    moved = mit.replace("hereby", "now").replace("sublicense", "sell").replace("NONINFRINGEMENT", "MORE")
+    assert [x[0] for x in licenses.Scanner().scan(rare + " filler" * 3000 + " " + moved)] == ["MIT"]
+    assert licenses.Scanner().scan("licensed " + "so " * 300 + "under cc " + "so " * 300 + "by 4 0") == []
     edited = mit.replace("hereby", "now").replace("charge", "cost").replace("obtaining", "getting")
     assert [(x[0], x[4]) for x in licenses.Scanner().scan(mit + " filler" * 300 + " " + edited + " " + mit)] == [("MIT", 3)]
 

@@ -5,7 +5,7 @@ def test_line_stage_keeps_what_stands_nowhere_else(spark):
     orders = [(k, f"Order {4711 + 7 * k} shipped from bay {k}") for k in range(6)]
     tables = [(10 + k, f"{k} {k * 31} {k * 77}\n{k + 1} 5 6") for k in range(5)]
     copies = [(20 + k, "All rights reserved by us") for k in range(4)]
-    mixed = [(30 + k, f"Read on in our archive\nbody {'abcde'[k]} of its own") for k in range(5)]
+    mixed = [(30 + k, f"Read on in our archive\n{'quick brown foxes jump|some other words here|nothing like the rest|a body by itself|last of five bodies'.split('|')[k]}") for k in range(5)]
     docs = spark.createDataFrame([(d, t, "s", len(t or "")) for d, t in [*orders, *tables, *copies, *mixed, (40, ""), (41, None)]], "doc_id long, text string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
     want = dict(orders) | dict(tables) | dict(copies[:1]) | dict(mixed) | {40: "", 41: None}
