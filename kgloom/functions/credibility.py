@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,3 +38,18 @@ def fold_summary(df: DataFrame) -> DataFrame:
     """(mean_accuracy, var_accuracy, errors) over the folds of (fold, detail) rows; the variance is the population's."""
     folds = df.groupBy("fold").agg(F.avg("detail").alias("acc"), F.sum(1 - F.col("detail")).alias("err"))
     return folds.agg(F.avg("acc").alias("mean_accuracy"), F.var_pop("acc").alias("var_accuracy"), F.sum("err").alias("errors"))
+
+
+def credibility_by_value(df: DataFrame) -> DataFrame:
+    """(cr) with a bin for each distinct difficulty: 1 less the sum of (1 - difficulty) * share of errors in the bin * share of rows. Rows without a difficulty are in no bin but count."""
+    total = df.agg(F.count("*").alias("all_n"))
+    parts = df.where("difficult IS NOT NULL").groupBy("difficult").agg((1 - F.avg("detail")).alias("err"), F.count("*").alias("n"))
+    term = (1 - F.col("difficult")) * F.col("err") * F.col("n") / F.col("all_n")
+    return parts.join(F.broadcast(total)).agg((1 - F.coalesce(F.sum(term), F.lit(0.0))).alias("cr"))  # one row
+
+
+def running_errors(df: DataFrame) -> DataFrame:
+    """(fold, errors, error_loss): totals over this and the folds before it, of errors, and of the mean loss of each fold's errors."""
+    own = df.groupBy("fold").agg(F.sum(1 - F.col("detail")).alias("err"), F.coalesce(F.avg(F.when(F.col("detail") == 0, F.col("loss"))), F.lit(0.0)).alias("mean"))
+    upto = Window.orderBy("fold").rowsBetween(Window.unboundedPreceding, 0)  # a row a fold
+    return own.select("fold", F.sum("err").over(upto).alias("errors"), F.sum("mean").over(upto).alias("error_loss"))

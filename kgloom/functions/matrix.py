@@ -31,6 +31,33 @@ def vocabulary(features: DataFrame, column: str = "feature") -> DataFrame:
     return positions(names, column).select(column, (F.col("pos") - 1).alias("index"))
 
 
+class LabelCodes:
+    """Labels to numbers from 0, in the order of the sorted distinct labels of what they were fitted on."""
+
+    def __init__(self, labels: DataFrame, column: str = "label"):
+        self.column, self.codes = column, vocabulary(labels, column)
+
+    def transform(self, df: DataFrame, code: str = "code") -> DataFrame:
+        """The rows with their label's code; a label that wasn't there at fitting raises, a null one has none."""
+        known = self.codes.select(F.col(self.column).alias("__label"), F.col("index").alias("__code"))
+        found = df.join(known, F.col(self.column) == F.col("__label"), "left")
+        unseen = F.col("__code").isNull() & F.col(self.column).isNotNull()
+        value = F.when(unseen, F.raise_error(F.concat(F.lit("unseen label: "), F.col(self.column).cast("string"))).cast("long")).otherwise(F.col("__code"))
+        return found.select(*[F.col(f"`{c}`") for c in df.columns], value.alias(code))
+
+
+def sparse_rows(cells: DataFrame, names: DataFrame) -> DataFrame:
+    """(noi, indices, values) of a matrix's rows: one row a node, sorted by index, zeros left out; features without an index go."""
+    held = cells.join(names, "feature").where("val <> 0").groupBy("noi", "index").agg(F.max(F.col("val").cast("double")).alias("val"))
+    rows = held.groupBy("noi").agg(F.sort_array(F.collect_list(F.struct("index", "val"))).alias("x"))
+    return rows.select("noi", F.col("x.index").alias("indices"), F.col("x.val").alias("values"))
+
+
+def mean_cosine(one: DataFrame, two: DataFrame) -> DataFrame:
+    """(cosine): the mean over all nodes of the rows' cosines."""
+    return cosines(one, two).agg(F.avg("cosine").alias("cosine"))
+
+
 def coordinates(features: DataFrame, names: DataFrame) -> DataFrame:
     """(noi, index, val): the true cells of a binary matrix; features without an index go."""
     return features.join(names, "feature").select("noi", "index", F.lit(1).cast("long").alias("val")).distinct()

@@ -2,43 +2,87 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.shared import written
 
-def edges(triples: DataFrame, skip: list[str] | None = None, inverse: bool = True) -> DataFrame:
-    """(src, p, dst, is_lit): both directions under one label; objects that are no literals part at blanks; skipped predicates or objects go."""
+
+def edges(triples: DataFrame, skip: list[str] | None = None, inverse: bool = True, marked: bool = False) -> DataFrame:
+    """(src, p, dst, is_lit): both directions under one label (with `marked`, ^p against the direction); objects that are no literals part at blanks; skipped predicates or objects go."""
     ahead = triples.select(F.col("s").alias("src"), "p", F.col("o").alias("dst"), "is_lit")
     if inverse:
-        ahead = ahead.unionByName(triples.where("NOT is_lit").select(F.col("o").alias("src"), "p", F.col("s").alias("dst"), "is_lit"))
+        back = F.concat(F.lit("^"), "p").alias("p") if marked else F.col("p")
+        ahead = ahead.unionByName(triples.where("NOT is_lit").select(F.col("o").alias("src"), back, F.col("s").alias("dst"), "is_lit"))
     token = F.explode(F.when(F.col("is_lit"), F.array("dst")).otherwise(F.split("dst", " ")))
     ahead = ahead.select("src", "p", token.alias("dst"), "is_lit")
     return ahead.where(~F.col("p").isin(skip) & ~F.col("dst").isin(skip)) if skip else ahead
 
 
-def expand(triples: DataFrame, nodes: DataFrame, depth: int, skip: list[str] | None = None, inverse: bool = True) -> DataFrame:
+def _blank() -> Column:
+    return F.startswith(F.col("value"), F.lit("bnode"))
+
+
+def _joined(path: str = "path") -> Column:
+    return F.when(F.col(path) == "", F.col("p")).otherwise(F.concat_ws(".", path, "p"))
+
+
+def ambiguous_labels(links: DataFrame) -> bool:
+    """Whether two sequences of predicates may be written as one path: some predicate starts with another one and a dot."""
+    names = links.select("p").distinct()
+    dots = F.expr("transform(filter(sequence(1, length(p)), i -> substring(p, i, 1) = '.'), i -> substring(p, 1, i - 1))")
+    return bool(names.select(F.explode(dots).alias("p")).join(names, "p", "left_semi").take(1))
+
+
+def expand(triples: DataFrame, nodes: DataFrame, depth: int, skip: list[str] | None = None, inverse: bool = True, marked: bool = False) -> DataFrame:
     """(noi, path, value, is_lit, mult): all walks of up to `depth` steps, counted instead of listed.
 
-    Multiplicities are summed after each step, so the frontier holds a row for each (node, path, end) however many walks
-    lead there. Literals are emitted and end; blank nodes (bnode...) go on but aren't emitted."""
-    links = edges(triples, skip, inverse)
-    front = nodes.select("noi", F.lit("").alias("path"), F.col("noi").alias("node"), F.lit(1).cast("long").alias("mult"))
+    Equal edges are counted once, before any step. A step gives each (node, path, end) one row however many walks lead
+    there: where a node of interest has one node in front on a path, its ends are distinct as they are and nothing is
+    shuffled to sum them; only rows of paths with several nodes in front are summed. Each step is written and read
+    again, so that no step is worked out twice. Literals are emitted and end; blank nodes (bnode...) go on but aren't
+    emitted. Depth 0 has no rows."""
+    raw = edges(triples, skip, inverse, marked)
+    links = written(raw.groupBy("src", "p", "dst", "is_lit").agg(F.count("*").alias("m")), "edges")
+    front = nodes.select("noi").distinct().select("noi", F.lit("").alias("path"), F.col("noi").alias("node"), F.lit(1).cast("long").alias("mult"), F.lit(1).cast("long").alias("n"))
+    merges = depth > 1 and ambiguous_labels(links)
     found = None
-    for _ in range(depth):
-        label = F.when(F.col("path") == "", F.col("p")).otherwise(F.concat_ws(".", "path", "p"))
-        step = front.join(links, F.col("node") == F.col("src")).groupBy("noi", label.alias("path"), F.col("dst").alias("value"), "is_lit").agg(F.sum("mult").alias("mult"))
-        shown = step.where(F.col("is_lit") | ~F.col("value").startswith("bnode"))
+    for step in range(1, depth + 1):
+        met = front.join(links, F.col("node") == F.col("src")).select("noi", _joined().alias("path"), F.col("dst").alias("value"), "is_lit", (F.col("mult") * F.col("m")).alias("mult"), "n")
+        keys = ["noi", "path", "value", "is_lit"]
+        if merges:
+            ends = met.groupBy(*keys).agg(F.sum("mult").alias("mult"))
+        elif step == 1:
+            ends = met.select(*keys, "mult")
+        else:
+            ends = met.where("n = 1").select(*keys, "mult").unionByName(met.where("n > 1").groupBy(*keys).agg(F.sum("mult").alias("mult")))
+        if step < depth:
+            ends = written(ends, "step")
+        shown = ends.where(F.col("is_lit") | ~_blank())
         found = shown if found is None else found.unionByName(shown)
-        end = F.when(F.col("value").startswith("bnode"), F.concat(F.lit("_:"), F.col("value"))).otherwise(F.col("value"))
-        front = step.where("NOT is_lit").select("noi", "path", end.alias("node"), "mult")
+        if step < depth:
+            node = F.when(_blank(), F.concat(F.lit("_:"), F.col("value"))).otherwise(F.col("value"))
+            ahead = ends.where("NOT is_lit").select("noi", "path", node.alias("node"), "mult")
+            sizes = ahead.groupBy("noi", "path").agg(F.count("*").alias("n"))
+            front = written(ahead.join(sizes, ["noi", "path"]), "front")
+    if found is None:
+        found = nodes.limit(0).select("noi", F.lit("").alias("path"), F.lit("").alias("value"), F.lit(False).alias("is_lit"), F.lit(0).cast("long").alias("mult"))
     return found
 
 
 def affected(triples: DataFrame, starts: DataFrame, radius: int) -> DataFrame:
-    """(node): all nodes, literals too, within the radius of the (node) starts in the undirected graph."""
-    both = triples.select(F.col("s").alias("a"), F.col("o").alias("b")).unionByName(triples.select(F.col("o").alias("a"), F.col("s").alias("b")))
-    seen = front = starts.select("node").distinct()
+    """(node, is_lit): all nodes, literals too, within the radius of the (node) starts in the undirected graph. A literal and a node of equal text are two."""
+    ahead = triples.select(F.col("s").alias("a"), F.lit(False).alias("a_lit"), F.col("o").alias("b"), F.col("is_lit").alias("b_lit"))
+    both = ahead.unionByName(ahead.select(F.col("b").alias("a"), F.col("b_lit").alias("a_lit"), F.col("a").alias("b"), F.col("a_lit").alias("b_lit")))
+    seen = front = starts.select("node", F.lit(False).alias("is_lit")).distinct()
     for _ in range(radius):
-        front = front.join(both, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
+        front = front.join(both, (F.col("node") == F.col("a")) & (F.col("is_lit") == F.col("a_lit"))).select(F.col("b").alias("node"), F.col("b_lit").alias("is_lit")).distinct()
+        front = written(front.join(seen, ["node", "is_lit"], "left_anti"), "near")
         seen = seen.unionByName(front)
     return seen
+
+
+def nested(nbh: DataFrame) -> DataFrame:
+    """(noi, paths): a map from path to its values, each as often as walks lead to it; for neighbourhoods that fit a row."""
+    values = F.flatten(F.transform(F.collect_list(F.struct("value", "mult")), lambda x: F.array_repeat(x["value"], x["mult"].cast("int"))))
+    return nbh.groupBy("noi", "path").agg(F.sort_array(values).alias("values")).groupBy("noi").agg(F.map_from_entries(F.collect_list(F.struct("path", "values"))).alias("paths"))

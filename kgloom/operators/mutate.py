@@ -22,7 +22,25 @@ def delete_entities(triples: DataFrame, entities: DataFrame) -> DataFrame:
 
 def add(triples: DataFrame, more: DataFrame) -> DataFrame:
     """A graph is a set: repeated triples count once."""
-    return triples.unionByName(more).distinct()
+    return triples.unionByName(more, allowMissingColumns=True).distinct()
+
+
+def delete_entity(triples: DataFrame, entity: str) -> tuple[DataFrame, DataFrame]:
+    """(what is left, what went) of a graph that loses an entity with all its triples."""
+    gone = entity_triples(triples, entity).distinct()
+    return delete_entities(triples, triples.sparkSession.createDataFrame([(entity,)], "node string")), gone
+
+
+def typed(triples: DataFrame) -> DataFrame:
+    """(s, p, o, object_type) rows, object_type being URI or Literal, as (s, p, o, is_lit)."""
+    return triples.select("s", "p", "o", (F.col("object_type") == "Literal").alias("is_lit"))
+
+
+def affected_nodes(triples: DataFrame, entity: str, nodes: DataFrame, depth: int) -> DataFrame:
+    """(noi): the nodes of interest within `depth` of an entity."""
+    start = triples.sparkSession.createDataFrame([(entity,)], "node string")
+    near = expand.affected(triples, start, depth).where("NOT is_lit")
+    return nodes.join(near, F.col("noi") == F.col("node"), "left_semi")
 
 
 def upsert(nbh: DataFrame, fresh: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -33,6 +51,6 @@ def upsert(nbh: DataFrame, fresh: DataFrame, nodes: DataFrame) -> DataFrame:
 def refreshed(old: DataFrame, nbh: DataFrame, nodes: DataFrame, changed: DataFrame, new: DataFrame, depth: int, skip: list[str] | None = None) -> DataFrame:
     """The neighbourhoods after a change of the graph from `old` to `new` that touched the (node) entities `changed`: only
     nodes within `depth` of them, before or after, are worked out again; the others keep their rows of nbh."""
-    near = expand.affected(old, changed, depth).unionByName(expand.affected(new, changed, depth)).distinct()
+    near = expand.affected(old, changed, depth).unionByName(expand.affected(new, changed, depth)).where("NOT is_lit").select("node").distinct()
     again = nodes.join(near, F.col("noi") == F.col("node"), "left_semi").select("noi")
     return upsert(nbh, expand.expand(new, again, depth, skip), again)

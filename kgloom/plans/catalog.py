@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-QUERY_MODULES: tuple[str, ...] = ("graph_queries", "rule_queries", "model_queries")
+QUERY_MODULES: tuple[str, ...] = ("graph_queries", "rule_queries", "model_queries", "feature_queries", "mining_queries", "learning_queries")
 
 
 def _modules() -> list:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgloom import sinks
 from kgloom.functions import features
 from kgloom.operators import expand as graph
+from kgloom.shared import new_folder
+from kgloom.sources import rdf, seeds
+from kgloom.sources.endpoints import GraphTable
 from kgloom.sources.tables import business_graph
 
 
@@ -44,7 +48,54 @@ def g7_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.affected(business_graph(spark, sf_dir), starts, 2)
 
 
-QUERIES = {f.__name__: f for f in (g1_expand_depth1, g1_expand_depth2, a1_counts, a4_levels, f1_binary, g7_affected)}
+def g1_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverse edges under names of their own."""
+    found = graph.expand(business_graph(spark, sf_dir), _customers(spark, sf_dir), 2, ["segment"], marked=True)
+    return found.groupBy("path").agg(F.count("*").alias("n_rows"), F.sum("mult").alias("n_walks"))
+
+
+def g3_blank_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as blank nodes: gone through, not shown."""
+    t = business_graph(spark, sf_dir).where("p IN ('inNation', 'inRegion')")
+    through = lambda c, back: F.when(F.startswith(F.col(c), F.lit("nation/")), F.concat(F.lit(back), F.col(c))).otherwise(F.col(c)).alias(c)
+    ahead = t.select(through("s", "_:bnode"), "p", through("o", "bnode"), "is_lit").where("p = 'inNation' OR p = 'inRegion'")
+    return graph.expand(ahead, _customers(spark, sf_dir), 2, inverse=False).groupBy("noi", "path", "value").agg(F.sum("mult").alias("mult"))
+
+
+def s12_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of one nation who ordered with a priority, by a pattern over the graph."""
+    t = business_graph(spark, sf_dir)
+    return seeds.from_pattern(t, [("?s", "inNation", "nation/3"), ("?order", "orderedBy", "?s"), ("?order", "priority", "1-URGENT")])
+
+
+def s5_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GraphTable(business_graph(spark, sf_dir)).forward(_bracketed(spark, sf_dir))
+
+
+def s6_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return GraphTable(business_graph(spark, sf_dir)).inverse(_bracketed(spark, sf_dir))
+
+
+def _bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _customers(spark, sf_dir).select(F.concat(F.lit("<"), "noi", F.lit(">")).alias("noi"))
+
+
+def s2_ntriples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph written as N-Triples and read again."""
+    path = new_folder(spark, "nt")
+    t = business_graph(spark, sf_dir)
+    iri = lambda c: F.concat(F.lit("http://x/"), F.col(c)).alias(c)
+    rdf.write_ntriples(t.select(iri("s"), iri("p"), F.when(F.col("is_lit"), F.col("o")).otherwise(iri("o")).alias("o"), "is_lit", F.when(F.col("is_lit"), F.lit("en")).alias("o_lang"), F.lit(None).cast("string").alias("o_dt")), path)
+    return rdf.ntriples(spark, path).select("s", "p", "o", "is_lit", "o_lang")
+
+
+def k8_positive_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = (F.col("c_mktsegment") == "BUILDING").cast("int").alias("label")
+    labels = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("noi"), label)
+    return sinks.positive_relations(_nbh(spark, sf_dir, 1), labels)
+
+
+QUERIES = {f.__name__: f for f in (g1_expand_depth1, g1_expand_depth2, a1_counts, a4_levels, f1_binary, g7_affected, g1_marked, g3_blank_nodes, s12_seeds, s5_forward, s6_inverse, s2_ntriples, k8_positive_relations)}
 
 _GRAPH = """
 t AS (SELECT 'region/' || r_regionkey AS s, 'name' AS p, r_name AS o, true AS is_lit FROM region
@@ -73,6 +124,13 @@ SQL = {
  s AS (SELECT DISTINCT path, value AS level, x AS l FROM x), m AS (SELECT noi, path, min(x) AS low, max(x) AS high FROM x GROUP BY noi, path)
  SELECT noi, path || '<=' || level AS feature, low <= l AS val FROM m JOIN s USING (path) UNION ALL SELECT noi, path || '>=' || level, high >= l FROM m JOIN s USING (path)""",
     "f1_binary": f"WITH {_GRAPH}, f AS (SELECT noi, path AS feature FROM n1 UNION SELECT noi, path || '§' || value FROM n1) SELECT feature, count(*) AS support FROM f GROUP BY feature",
-    "g7_affected": f"""WITH {_GRAPH}, u AS (SELECT s AS a, o AS b FROM t UNION SELECT o, s FROM t),
- r0 AS (SELECT 'nation/3' AS node), r1 AS (SELECT node FROM r0 UNION SELECT b FROM u JOIN r0 ON a = node) SELECT node FROM r1 UNION SELECT b FROM u JOIN r1 ON a = node""",
+    "g7_affected": f"""WITH {_GRAPH}, u AS (SELECT s AS a, false AS a_lit, o AS b, is_lit AS b_lit FROM t UNION SELECT o, is_lit, s, false FROM t),
+ r0 AS (SELECT 'nation/3' AS node, false AS is_lit), r1 AS (SELECT * FROM r0 UNION SELECT b, b_lit FROM u JOIN r0 ON a = node AND a_lit = is_lit) SELECT * FROM r1 UNION SELECT b, b_lit FROM u JOIN r1 ON a = node AND a_lit = is_lit""",
+    "g1_marked": f"""WITH {_GRAPH.replace("SELECT o, p, NULL, s FROM t", "SELECT o, '^' || p, NULL, s FROM t")} SELECT path, count(*) AS n_rows, sum(mult)::BIGINT AS n_walks FROM n GROUP BY path""",
+    "g3_blank_nodes": "SELECT 'customer/' || c_custkey AS noi, 'inNation.inRegion' AS path, 'region/' || n_regionkey AS value, 1::BIGINT AS mult FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "s12_seeds": "SELECT DISTINCT 'customer/' || c_custkey AS noi FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_nationkey = 3 AND o_orderpriority = '1-URGENT'",
+    "s5_forward": f"WITH {_GRAPH} SELECT '<' || s || '>' AS noi, p, o, is_lit FROM t WHERE s LIKE 'customer/%'",
+    "s6_inverse": f"WITH {_GRAPH} SELECT '<' || o || '>' AS noi, p, s AS o, false AS is_lit FROM t WHERE o LIKE 'customer/%' AND NOT is_lit",
+    "s2_ntriples": f"WITH {_GRAPH} SELECT DISTINCT 'http://x/' || s AS s, 'http://x/' || p AS p, CASE WHEN is_lit THEN o ELSE 'http://x/' || o END AS o, is_lit, CASE WHEN is_lit THEN 'en' END AS o_lang FROM t",
+    "k8_positive_relations": f"WITH {_GRAPH} SELECT path, count(DISTINCT noi) AS n_nodes FROM n1 JOIN customer ON noi = 'customer/' || c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY path",
 }

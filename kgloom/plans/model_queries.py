@@ -177,7 +177,7 @@ SQL = {
     "a12_confusion": f"WITH {_HITS} SELECT count(*) FILTER (label AND predicted = 1) AS tp, count(*) FILTER (NOT label AND predicted = 1) AS fp, count(*) FILTER (NOT label AND predicted = 0) AS tn, count(*) FILTER (label AND predicted = 0) AS fn FROM d",
     "w3_folds": f"""WITH {_N}, s AS (SELECT item, (row_number() OVER (ORDER BY n, item) - 1) // 10 AS blk FROM d0), i AS (SELECT item, row_number() OVER (ORDER BY blk, item * 7919 % 10007, item) - 1 AS id FROM s) SELECT item, id, id % 10 AS fold FROM i""",
     "w6_bootstrap": f"""WITH {_N}, c AS (SELECT item, n, sum(n) OVER (ORDER BY item) AS upto, sum(n) OVER () AS total FROM d0),
- k AS (SELECT item, ((2 * upto * 666 + total) // (2 * total) - (2 * (upto - n) * 666 + total) // (2 * total))::BIGINT AS copies FROM c) SELECT * FROM k WHERE copies > 0""",
+ k AS (SELECT item, ((2 * upto * m + total) // (2 * total) - (2 * (upto - n) * m + total) // (2 * total))::BIGINT AS copies FROM c, (SELECT count(*) * 666 // 1000 AS m FROM d0)) SELECT * FROM k WHERE copies > 0""",
     "b5_reweight": f"""WITH {_D}, x AS (SELECT item, 1 / count(*) OVER () AS w, difficult AS loss, detail * 2 - 1 AS i FROM d), r AS (SELECT sum(w * i * loss) AS r FROM x), a AS (SELECT 0.5 * ln((1 + r) / (1 - r)) + ln(2) AS a FROM r),
  y AS (SELECT item, a, w * exp(-a * i * loss) AS v FROM x, a) SELECT item, round(a, 6) AS alpha, round(v / sum(v) OVER (), 8) AS weight FROM y""",
     "a22_vote": """WITH v AS (SELECT c_custkey AS item, c_custkey % (k + 1) AS c, k FROM customer, range(1, 6) t(k)), s AS (SELECT item, c, sum(k)::BIGINT AS score FROM v GROUP BY ALL)

@@ -58,7 +58,7 @@ def r6_chain_object(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a10_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     one = rules.singles(pairs, 10)
-    both = rules.conjunctions(pairs, 10)
+    both = rules.both_ways(rules.conjunctions(pairs, 10))
     both = both.join(one.select(F.col("rel").alias("rel1"), F.col("support").alias("x")), "rel1").join(one.select(F.col("rel").alias("rel2"), F.col("support").alias("y")), "rel2")
     return both.select("rel1", "rel2", "support", *[F.round(m, 6).alias(n) for m, n in zip(rules.metrics(F.col("support"), F.col("x"), F.col("y")), ("confidence", "lift", "leverage", "conviction"), strict=True)])
 
@@ -124,8 +124,8 @@ SQL = {
     "r5_inverses": f"WITH {_P} SELECT x.rel AS rel1, y.rel AS rel2, count(*) AS support FROM g x JOIN g y ON x.a = y.b AND x.b = y.a WHERE x.rel <= y.rel GROUP BY ALL",
     "r6_chain_subject": f"WITH {_P}" + _CHAIN.format("a", "b"),
     "r6_chain_object": f"WITH {_P}" + _CHAIN.format("b", "a"),
-    "a10_metrics": f"""WITH {_P} SELECT rel1, rel2, two.support, round(two.support / x.support, 6) AS confidence, round(two.support / x.support / y.support, 6) AS lift,
- round((two.support - x.support * y.support)::DOUBLE, 6) AS leverage, CASE WHEN two.support < x.support THEN round((1 - y.support) / (1 - two.support / x.support), 6) END AS conviction FROM two JOIN one x ON x.rel = rel1 JOIN one y ON y.rel = rel2""",
+    "a10_metrics": f"""WITH {_P}, ways AS (SELECT rel1, rel2, support FROM two UNION ALL SELECT rel2, rel1, support FROM two) SELECT rel1, rel2, two.support, round(two.support / x.support, 6) AS confidence, round(two.support / x.support / y.support, 6) AS lift,
+ round((two.support - x.support * y.support)::DOUBLE, 6) AS leverage, CASE WHEN two.support < x.support THEN round((1 - y.support) / (1 - two.support / x.support), 6) END AS conviction FROM ways AS two JOIN one x ON x.rel = rel1 JOIN one y ON y.rel = rel2""",
     "r14_screen": f"""WITH {_GRAPH}, f AS (SELECT noi, path AS feature FROM n1 UNION SELECT noi, path || '§' || value FROM n1), r(rule, feature) AS (VALUES {_RULE_ROWS}),
  y AS (SELECT 'customer/' || c_custkey AS noi, (c_mktsegment = 'BUILDING')::BIGINT AS label FROM customer), w AS (SELECT rule, count(*) AS n FROM r GROUP BY rule), v AS (SELECT noi, rule FROM f JOIN r USING (feature) JOIN w USING (rule) GROUP BY noi, rule, w.n HAVING count(*) = w.n),
  h AS (SELECT rule, coalesce(sum(label), 0)::BIGINT AS tp, coalesce(sum(1 - label), 0)::BIGINT AS fp FROM (SELECT DISTINCT rule FROM r) LEFT JOIN v USING (rule) LEFT JOIN y USING (noi) GROUP BY rule),

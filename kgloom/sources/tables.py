@@ -1,4 +1,4 @@
-"""Triples from ordinary tables and from N-Triples files."""
+"""Triples from ordinary tables."""
 
 from __future__ import annotations
 
@@ -34,12 +34,3 @@ def business_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
-
-
-def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """(s, p, o, is_lit) of an N-Triples file; a graph is a set, so repeated triples count once."""
-    line = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\"\S*)\s*\.\s*(?:#.*)?$"
-    rows = spark.read.text(path).select(*[F.regexp_extract("value", line, k).alias(c) for k, c in ((1, "s"), (2, "p"), (3, "o"))]).where("s <> ''")
-    bare = lambda c: F.when(F.col(c).startswith("<"), F.expr(f"substring({c}, 2, length({c}) - 2)")).otherwise(F.col(c))
-    is_lit = F.col("o").startswith('"')
-    return rows.select(bare("s").alias("s"), "p", F.when(is_lit, F.regexp_extract("o", r'^"((?:[^"\\]|\\.)*)"', 1)).otherwise(bare("o")).alias("o"), is_lit.alias("is_lit")).distinct()
