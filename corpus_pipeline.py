@@ -31,7 +31,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cut = written(cut, "line-cut")
     stays, bare = cut.where("__whole IS NULL"), cut.where("__whole IS NOT NULL")
     asked = written(bare.select("__row", F.explode(_lines(F.col("__whole"))).alias("line")), "line-asked")
-    found = stays.select(F.explode(_lines(F.col("text"))).alias("line")).join(asked.select("line").distinct(), "line", "left_semi").distinct()
+    # Lines are folded before they meet, so one that many documents have is a row a task.
+    found = stays.select(F.explode(_lines(F.col("text"))).alias("line")).distinct().join(asked.select("line").distinct(), "line", "left_semi")
     lost = asked.select("line").distinct().join(found, "line", "left_anti")
     back = bare.join(asked.join(lost, "line", "left_semi").select("__row").distinct(), "__row", "left_semi").withColumn("text", F.col("__whole"))
     return stays.unionByName(back).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
@@ -55,7 +56,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("simhash", near_stage), ("mixing", mix_stage), ("bpe", bpe_stage)]
 
-#: No SQL can express a trained classifier or XXH64 fingerprints; the tests hold each stage against brute force.
+#: No SQL can express a trained classifier or BPE; tests/llm/test_pipeline.py holds each stage against brute force or its own operator's plan, and the run against its stages.
 ORACLE_SQL = None
 
 
