@@ -6,6 +6,7 @@ Relations are whole property paths, `a` is a node of interest and `b` a value. I
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -54,6 +55,11 @@ def dots(rel: Column) -> Column:
     return F.length(rel) - F.length(F.replace(rel, F.lit("."), F.lit(""))) + 1
 
 
+def arrangements(n: int, r: int) -> int:
+    """How many ordered choices of r out of n there are: the size of a space of candidates."""
+    return math.perm(n, r)
+
+
 def itemsets(pairs: DataFrame, support: int, longest: int = 5, complexity: int = 2, length: Callable[[Column], Column] = colons) -> DataFrame:
     """(kind, x, y, support) of the patterns with at least `support` pairs of (a, b); y is null for single items.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom import sinks
-from kgloom.functions import features
+from kgloom.functions import centrality, features
 from kgloom.operators import expand as graph
 from kgloom.shared import new_folder
 from kgloom.sources import rdf, seeds
@@ -95,7 +95,17 @@ def k8_positive_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.positive_relations(_nbh(spark, sf_dir, 1), labels)
 
 
-QUERIES = {f.__name__: f for f in (g1_expand_depth1, g1_expand_depth2, a1_counts, a4_levels, f1_binary, g7_affected, g1_marked, g3_blank_nodes, s12_seeds, s5_forward, s6_inverse, s2_ntriples, k8_positive_relations)}
+def c1_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centrality.degrees(business_graph(spark, sf_dir))
+
+
+def c2_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three rounds over nations, regions and suppliers."""
+    t = business_graph(spark, sf_dir).where("p = 'inRegion' OR (p = 'inNation' AND s LIKE 'supplier/%')")
+    return centrality.pagerank(t, 3).select("node", F.round("rank", 9).alias("rank"))
+
+
+QUERIES = {f.__name__: f for f in (c1_degrees, c2_pagerank, g1_expand_depth1, g1_expand_depth2, a1_counts, a4_levels, f1_binary, g7_affected, g1_marked, g3_blank_nodes, s12_seeds, s5_forward, s6_inverse, s2_ntriples, k8_positive_relations)}
 
 _GRAPH = """
 t AS (SELECT 'region/' || r_regionkey AS s, 'name' AS p, r_name AS o, true AS is_lit FROM region
@@ -116,7 +126,13 @@ n AS (SELECT * FROM n1 UNION ALL SELECT * FROM n2)"""
 _COUNTS = """SELECT noi, 'count.' || path || '.' || value AS path, sum(mult)::BIGINT::VARCHAR AS value FROM {0} GROUP BY noi, {0}.path, {0}.value HAVING sum(mult) > 1
  UNION ALL SELECT noi, 'count.' || path, sum(mult)::BIGINT::VARCHAR FROM {0} GROUP BY noi, {0}.path HAVING sum(mult) > 1"""
 
+_STEP = """, r{0} AS (SELECT node, 0.15 / c + 0.85 * (coalesce((SELECT sum(rank) FROM r{1} WHERE node NOT IN (SELECT a FROM l)), 0) / c + coalesce((SELECT sum(r.rank / k.n) FROM l JOIN r{1} r ON r.node = l.a JOIN k USING (a) WHERE l.b = v.node), 0)) AS rank
+ FROM v, (SELECT count(*)::DOUBLE AS c FROM v))"""
+
 SQL = {
+    "c1_degrees": f"WITH {_GRAPH}, x AS (SELECT s AS node, 1 AS o, 0 AS i FROM t UNION ALL SELECT o, 0, 1 FROM t WHERE NOT is_lit) SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM x GROUP BY node",
+    "c2_pagerank": f"""WITH {_GRAPH}, l AS (SELECT DISTINCT s AS a, o AS b FROM t WHERE p = 'inRegion' OR (p = 'inNation' AND s LIKE 'supplier/%')), k AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+ v AS (SELECT a AS node FROM l UNION SELECT b FROM l), r0 AS (SELECT node, 1 / (SELECT count(*) FROM v)::DOUBLE AS rank FROM v){_STEP.format(1, 0)}{_STEP.format(2, 1)}{_STEP.format(3, 2)} SELECT node, round(rank, 9) AS rank FROM r3""",
     "g1_expand_depth1": f"WITH {_GRAPH} SELECT noi, path, value, mult FROM n1",
     "g1_expand_depth2": f"WITH {_GRAPH} SELECT path, count(*) AS n_rows, sum(mult)::BIGINT AS n_walks FROM n GROUP BY path",
     "a1_counts": f"WITH {_GRAPH} {_COUNTS.format('n')}",
