@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,18 +52,88 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
-def drop_folder(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of new_folder early."""
-    _FOLDERS.pop(path, None)
-    _delete(spark, path)
-
-
 def written(df: DataFrame, kind: str = "table") -> DataFrame:
     """The frame, written as Parquet in the shared folder and read again: lineage ends there and lost executors cost no recomputation."""
     spark = df.sparkSession
     path = new_folder(spark, kind)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.kgloom_path = path
+    return found
+
+
+def forget(table: DataFrame) -> None:
+    """Deletes a table of `written` early: one that nothing is read from any more."""
+    path = getattr(table, "kgloom_path", None)
+    if path and _FOLDERS.pop(path, None):
+        _delete(table.sparkSession, path)
+
+
+def tables() -> set[str]:
+    """The folders that are there."""
+    return set(_FOLDERS)
+
+
+def _roots(df: DataFrame) -> list[str]:
+    """The folders and files that a frame reads."""
+    leaves, found = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for k in range(leaves.size()):
+        leaf = leaves.apply(k)
+        if leaf.getClass().getSimpleName() == "LogicalRelation" and "location" in dir(leaf.relation()):
+            paths = leaf.relation().location().rootPaths()
+            found += [paths.apply(i).toString() for i in range(paths.size())]
+    return found
+
+
+def release(paths: set[str], docs: DataFrame) -> None:
+    """Deletes those of the folders that `docs` doesn't read."""
+    plain = lambda x: x.removeprefix("file:").lstrip("/")
+    used = [plain(x) for x in _roots(docs)]
+    for path in sorted(paths):
+        if not any(x.startswith(plain(path)) for x in used) and _FOLDERS.pop(path, None):
+            _delete(docs.sparkSession, path)
+
+
+#: monotonically_increasing_id has the partition's number above this bit.
+_PART = 33
+
+
+def beside(ids: DataFrame, kind: str) -> str:
+    """(row) numbers from monotonically_increasing_id, written by partition, for `chosen` to read."""
+    folder = new_folder(ids.sparkSession, kind)
+    parts = ids.select("row", F.shiftright("row", _PART).alias("part"))
+    parts.repartition("part").write.partitionBy("part").parquet(folder)
+    return folder
+
+
+def chosen(folder: str):
+    """A function for workers: which of some row numbers `beside` has written. It reads the numbers of one partition at a time, so texts needn't be shuffled to meet them."""
+    held: dict[int, np.ndarray] = {}
+
+    def load(part: int) -> np.ndarray:
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        files = store.get_file_info(fs.FileSelector(f"{path}/part={part}", allow_not_found=True))
+        found = [np.empty(0, np.int64)]
+        for file in files:
+            if file.path.endswith(".parquet"):
+                with store.open_input_file(file.path) as source:
+                    found.append(pq.ParquetFile(source).read(columns=["row"]).column("row").to_numpy())
+        return np.sort(np.concatenate(found))
+
+    def among(rows: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(rows), bool)
+        for part in np.unique(rows >> _PART).tolist():
+            if part not in held:
+                held.clear()
+                held[part] = load(part)
+            own = np.flatnonzero(rows >> _PART == part)
+            out[own] = np.isin(rows[own], held[part])
+        return out
+
+    return among
 
 
 HOT_KEYS = 2000

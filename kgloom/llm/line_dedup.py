@@ -12,8 +12,8 @@ Each line takes the template that most documents have, then the one with most co
 doc_id, which keeps its lines. As each line has one template, what is dropped has a line of its template that stays.
 
 Templates are told apart by their parts' 64-bit hashes, token count and place of <*> together, kept as 128 bits. Only
-hashes are shuffled by template, folded to one row a distinct line first; lines that fit none of the
-widest templates together with another line skip the search. Templates with over a two-thousandth of all rows are broadcast (at most 2,000 of them),
+hashes are shuffled by template, folded to one row a distinct line first; lines that share no leading tokens with a run,
+nor all runs, with another line fit no template with one and skip the search. Templates with over a two-thousandth of all rows are broadcast (at most 2,000 of them),
 so no template fills a task. Texts move once, to meet what they must drop.
 
 Defined results: a null text has no lines and stays null; an empty text is one blank line; blank lines (no tokens) have
@@ -25,18 +25,23 @@ called n_lines or n_dropped are replaced.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, join_hot, text_or_empty, written
+from kgloom.llm.common import documents, forget, join_hot, text_or_empty, written
 
 MIN_DOCS = 3
 LEAST_CONSTANT = 4
 _RUNS = 4
+_PARTS = _RUNS + 2
 #: The parts (first token, second token, four runs) that a template has as <*>.
 _MASKS = ((), (0,), (1,), (2,), (3,), (4,), (5,), (0, 1), (2, 3), (4, 5), (2, 4), (2, 5), (3, 4), (3, 5))
-_WIDE = _MASKS[7:]
-_ODD = r"[\x09\x0B-\x0D]"
+#: Parts of which each template leaves all of some row constant: lines that meet in a template share one of these.
+_SHARED = ((0, 1, 2), (0, 1, 3), (0, 1, 4), (2, 3, 4, 5))
+_BITS = 21  # of a part's number of variable tokens
+_UNTIDY = r"[\x09\x0B-\x0D]|  | \n|\n "
 _FIELD = r"[0-9@]|://"
 
 
@@ -45,35 +50,41 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def tokens(line: Column) -> Column:
-    """A line's tokens, <*> for variable fields."""
-    plain = F.when(line.rlike(_ODD), F.regexp_replace(line, _ODD, " ")).otherwise(line)
-    words = F.filter(F.split(plain, " "), lambda x: x != "")
-    return F.when(line.rlike(_FIELD), F.transform(words, lambda x: F.when(x.rlike(_FIELD), "<*>").otherwise(x))).otherwise(words)
+def general_lines(text: Column) -> Column:
+    """Each line with single blanks between its tokens and <*> for variable fields."""
+    tidy = F.regexp_replace(F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " "), r" ?\n ?", "\n")
+    lines = F.split(F.trim(F.when(text.rlike(_UNTIDY), tidy).otherwise(text)), "\n")
+    return F.transform(lines, lambda x: F.when(x.rlike(_FIELD), F.regexp_replace(x, f"[^ ]*(?:{_FIELD})[^ ]*", "<*>")).otherwise(x))
+
+
+def _name(line: Column) -> Column:
+    return F.xxhash64(F.lit(1), line)
+
 
+def _sizes() -> list[Column]:
+    """The numbers of tokens of a line's parts, from that of all, n."""
+    rest = F.greatest(F.col("n") - 2, F.lit(0))
+    edge = [F.floor(rest * k / _RUNS).cast("int") for k in range(_RUNS + 1)]
+    return [F.least("n", F.lit(1)), F.least(F.greatest(F.col("n") - 1, F.lit(0)), F.lit(1)), *[y - x for x, y in itertools.pairwise(edge)]]
 
-def parts(words: Column) -> Column:
-    """(n, constant, id, h, c) of a tokenised line: numbers of all and of constant tokens, a 64-bit name of the line, and each part's hash and number of constant tokens."""
-    n = F.size(words)
-    rest = n - 2
-    edge = lambda k: F.floor(rest * k / _RUNS).cast("int")
-    cut = [F.slice(words, 1, 1), F.slice(words, 2, 1)]
-    cut += [F.when(rest > 0, F.slice(words, edge(k) + 3, edge(k + 1) - edge(k))).otherwise(F.slice(words, 1, 0)) for k in range(_RUNS)]
-    fields = lambda x: F.size(x) - F.size(F.array_remove(x, "<*>"))
-    return F.struct(n.alias("n"), (n - fields(words)).alias("constant"), F.xxhash64(words).alias("id"), F.array(*[F.xxhash64(F.lit(k), x) for k, x in enumerate(cut)]).alias("h"), F.array(*[(F.size(x) - fields(x)).cast("int") for x in cut]).alias("c"))
+
+def _left(mask: tuple[int, ...]) -> Column:
+    """How many constant tokens a line has outside a template's <*>."""
+    own = [(F.shiftright(F.col(f"v{k // 3}"), _BITS * (k % 3))).bitwiseAND(F.lit((1 << _BITS) - 1)) for k in range(_PARTS)]
+    sizes = _sizes()
+    return sum((sizes[k] - own[k] for k in range(_PARTS) if k not in mask), F.lit(0)).cast("int")
 
 
 def _template(mask: tuple[int, ...]) -> Column:
-    """A line's template with these parts as <*>: 128 bits and its number of constant tokens."""
-    at = [F.lit(0).cast("long") if k in mask else F.col("h")[k] for k in range(_RUNS + 2)]
+    """A line's template with these parts as <*>: 128 bits, its number of constant tokens, how many parts are <*> and which."""
     name = F.lit(sum(1 << k for k in mask))
-    left = F.col("constant") - sum((F.col("c")[k] for k in mask), F.lit(0))
-    return F.struct(F.xxhash64(F.lit(1), name, "n", *at).alias("a"), F.xxhash64(F.lit(2), name, "n", *at).alias("b"), left.alias("left"), F.lit(len(mask)).alias("masked"), name.alias("mask"))
+    at = [F.col(f"h{k}") for k in range(_PARTS) if k not in mask]
+    both = [F.col("a"), F.col("b")] if not mask else [F.xxhash64(F.lit(k), name, "n", *at) for k in (1, 2)]
+    return F.struct(both[0].alias("a"), both[1].alias("b"), _left(mask).alias("left"), F.lit(len(mask)).alias("masked"), name.alias("mask"))
 
 
 def _allowed(mask: tuple[int, ...], least_constant: int) -> Column:
-    left = F.col("constant") - sum((F.col("c")[k] for k in mask), F.lit(0))
-    return F.lit(True) if not mask else (left >= least_constant) & (left * 2 >= F.col("n"))
+    return F.lit(True) if not mask else (_left(mask) >= least_constant) & (_left(mask) * 2 >= F.col("n"))
 
 
 def _recurs(min_docs: int) -> Column:
@@ -81,48 +92,60 @@ def _recurs(min_docs: int) -> Column:
     return (F.col("docs") >= min_docs) & many
 
 
-def _found(docs: DataFrame, constants: bool) -> DataFrame:
-    """(doc_id, own, n, constant, id, h, c, a, b): each document's distinct lines that aren't blank; own is the text's hash, (a, b) the literal template."""
-    words = F.filter(F.transform(lines_of(F.col("text")), tokens), lambda x: F.size(x) > 0)
-    each = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.array_distinct(F.transform(words, parts))).alias("x"))
-    rows = each.select("doc_id", "own", "x.*")
-    if constants:
-        rows = rows.where("constant * 2 >= n")
-    return rows.select("*", _template(()).alias("t")).select("doc_id", "own", "n", "constant", "id", "h", "c", "t.a", "t.b")
+def _found(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, a, b, n, h0.., v0, v1): each document's distinct lines that aren't blank; own is the text's hash, (a, b) the line's 128 bits, h the parts' hashes, v their numbers of variable tokens."""
+    lines = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("own"), F.explode(F.array_distinct(general_lines(F.col("text")))).alias("line")).where("line <> ''")
+    words = lines.select("doc_id", "own", "line", F.split("line", " ").alias("w")).withColumn("n", F.size("w"))
+    begin, parts = F.lit(1), []
+    for size in _sizes():
+        parts.append(F.slice("w", begin, size))
+        begin = begin + size
+    fields = [F.when(F.contains("line", F.lit("<*>")), F.size(x) - F.size(F.array_remove(x, "<*>"))).otherwise(0).cast("long") for x in parts]
+    packed = [fields[k].bitwiseOR(F.shiftleft(fields[k + 1], _BITS)).bitwiseOR(F.shiftleft(fields[k + 2], 2 * _BITS)) for k in (0, 3)]
+    return words.select("doc_id", "own", _name(F.col("line")).alias("a"), F.xxhash64(F.lit(2), "line").alias("b"), "n", *[F.xxhash64(x).alias(f"h{k}") for k, x in enumerate(parts)], *[v.alias(f"v{k}") for k, v in enumerate(packed)])
 
 
 def templates(found: DataFrame, min_docs: int = MIN_DOCS, least_constant: int = LEAST_CONSTANT) -> DataFrame:
     """(a, b, rows, first) for each distinct line whose template recurs: its number of rows and the doc_id that keeps the template."""
-    spec = ["a", "b", "n", "constant", "h", "c"]
-    lines = found.groupBy(*spec).agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed"))
-    lines = written(lines, "line-distinct")
-    # Lines that share any template share one of the widest: only those go on.
-    wide = lambda: F.explode(F.filter(F.array(*[F.when(_allowed((), 0), _template(m)) for m in _WIDE]), lambda x: x["left"] >= 0))
-    pairs = lines.select("a", "b", wide().alias("w")).select("a", "b", F.col("w.a").alias("wa"), F.col("w.b").alias("wb"))
-    shared = pairs.groupBy("wa", "wb").agg(F.count("*").alias("lines")).where("lines > 1")
-    able = written(join_hot(pairs, written(shared, "line-pairs"), ["wa", "wb"], "lines", "met").where("met IS NOT NULL").select("a", "b").distinct(), "line-able")
-    some = lines.join(able, ["a", "b"], "left_semi")
+    spec = ["n", *[f"h{k}" for k in range(_PARTS)], "v0", "v1"]
+    counts = [F.count("*").alias("docs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("unnamed")]
+    lines = written(found.groupBy("a", "b").agg(*counts, *[F.first(c).alias(c) for c in spec]), "line-distinct")
+    keys = F.explode(F.array(*[F.xxhash64(F.lit(i), "n", *[f"h{k}" for k in row]) for i, row in enumerate(_SHARED)])).alias("key")
+    # One hash names a line here: a clash only lets a line go on that needn't. Short lines have no template but their own.
+    pairs = lines.where(F.col("n") > least_constant).select("a", keys)
+    shared = written(pairs.groupBy("key").agg(F.count("*").alias("lines")).where("lines > 1"), "line-shared")
+    able = join_hot(pairs, shared, ["key"], "lines", "met").where("met IS NOT NULL").select("a").distinct()
+    some = lines.join(able, "a", "left_semi")
     kinds = F.explode(F.filter(F.array(*[F.when(_allowed(m, least_constant), _template(m)) for m in _MASKS]), lambda x: x.isNotNull()))
-    fits = some.select("a", "b", "docs", "first", "last", "unnamed", kinds.alias("t"))
-    fits = written(fits.select("a", "b", "docs", "first", "last", "unnamed", F.col("t.a").alias("ta"), F.col("t.b").alias("tb"), F.col("t.left").alias("left"), F.col("t.masked").alias("masked"), F.col("t.mask").alias("mask")), "line-fits")
+    own = ["docs", "first", "last", "unnamed"]
+    fits = some.select("a", "b", *own, kinds.alias("t"))
+    fits = written(fits.select("a", "b", *own, F.col("t.a").alias("ta"), F.col("t.b").alias("tb"), "t.left", "t.masked", "t.mask"), "line-fits")
     sizes = written(fits.groupBy("ta", "tb").agg(F.sum("docs").alias("all"), F.count("*").alias("lines")), "line-sizes")
     best = F.struct(F.col("size.all").alias("all"), F.col("left"), (-F.col("masked")).alias("literal"), (-F.col("mask")).alias("before"), F.col("ta"), F.col("tb"))
-    taken = join_hot(fits, sizes, ["ta", "tb"], "lines", "size").groupBy("a", "b").agg(F.max(best).alias("best"))
-    taken = taken.select("a", "b", F.col("best.ta").alias("ta"), F.col("best.tb").alias("tb"))
-    chosen = lines.join(taken, ["a", "b"], "left").select("a", "b", F.coalesce("ta", "a").alias("ta"), F.coalesce("tb", "b").alias("tb"), "docs", "first", "last", "unnamed")
-    chosen = written(chosen, "line-chosen")
-    often = chosen.groupBy("ta", "tb").agg(F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("unnamed").alias("unnamed"), F.count("*").alias("lines")).where(_recurs(min_docs)).select("ta", "tb", "first", "lines")
-    held = join_hot(chosen.select("a", "b", "ta", "tb", "docs"), written(often, "line-often"), ["ta", "tb"], "lines", "kept").where("kept IS NOT NULL")
-    return held.select("a", "b", F.col("docs").alias("rows"), F.col("kept.first").alias("first"))
+    taken = join_hot(fits, sizes, ["ta", "tb"], "lines", "size").groupBy("a", "b").agg(F.max(best).alias("best"), *[F.max(c).alias(c) for c in own])
+    taken = written(taken.select("a", "b", F.col("best.ta").alias("ta"), F.col("best.tb").alias("tb"), *own), "line-taken")
+    # Of the other lines only those may recur that enough documents have as they are.
+    alone = lines.where(F.col("docs") >= min_docs).join(taken.select("a", "b"), ["a", "b"], "left_anti")
+    chosen = written(taken.unionByName(alone.select("a", "b", F.col("a").alias("ta"), F.col("b").alias("tb"), *own)), "line-chosen")
+    all_ = [F.sum("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.max("unnamed").alias("unnamed"), F.count("*").alias("lines")]
+    often = chosen.groupBy("ta", "tb").agg(*all_).where(_recurs(min_docs)).select("ta", "tb", "first", "lines")
+    often = written(often, "line-often")
+    held = join_hot(chosen.select("a", "b", "ta", "tb", "docs"), often, ["ta", "tb"], "lines", "kept").where("kept IS NOT NULL")
+    known = written(held.select("a", "b", F.col("docs").alias("rows"), F.col("kept.first").alias("first")), "line-templates")
+    for table in (lines, shared, fits, sizes, taken, chosen, often):
+        forget(table)
+    return known
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False, least_constant: int = LEAST_CONSTANT) -> DataFrame:
     """(doc_id, own, dropped): for each document the names of the lines that it must drop."""
-    found = written(_found(docs, constants), "line-keys")  # worked out once, read for the counts and for the answer
-    known = written(templates(found, min_docs, least_constant), "line-templates")
-    gone = join_hot(found.select("a", "b", "doc_id", "own", "id"), known, ["a", "b"], "rows", "known")
+    found = written(_found(docs), "line-keys")  # worked out once, read for the counts and for the answer
+    if constants:
+        found = found.where(_left(()) * 2 >= F.col("n"))
+    known = templates(found, min_docs, least_constant)
+    gone = join_hot(found.select("a", "b", "doc_id", "own"), known, ["a", "b"], "rows", "known")
     gone = gone.where("known IS NOT NULL").where(~F.col("doc_id").eqNullSafe(F.col("known.first")))
-    return gone.groupBy("doc_id", "own").agg(F.collect_set("id").alias("dropped"))
+    return gone.groupBy("doc_id", "own").agg(F.collect_set("a").alias("dropped"))
 
 
 def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False, whole: str | None = None, least_constant: int = LEAST_CONSTANT) -> DataFrame:
@@ -138,10 +161,10 @@ def dedup(docs: DataFrame, min_docs: int = MIN_DOCS, constants: bool = False, wh
     dealt = F.when(F.size("dropped") <= 32, F.array("dropped")).otherwise(F.transform(F.sequence(F.lit(0).cast("long"), lists - 1), lambda k: F.filter("dropped", lambda x: F.pmod(x, lists) == k)))
     both = both.withColumn("dealt", F.when(F.col("dropped").isNotNull(), dealt))
     lines = lines_of(F.col("row.text"))
-    name = lambda x: F.xxhash64(tokens(x))
-    blank = lambda x: ~x.rlike(r"[^\x20\x09-\x0D]")
-    stays = lambda x: blank(x) | ~F.array_contains(F.element_at("dealt", (F.pmod(name(x), F.size("dealt").cast("long")) + 1).cast("int")), name(x))
-    both = both.withColumn("stay", F.when(F.col("dealt").isNull(), lines).otherwise(F.filter(lines, stays)))
+    named = F.arrays_zip(lines.alias("line"), F.transform(general_lines(F.col("row.text")), lambda x: F.when(x != "", _name(x))).alias("name"))
+    gone = lambda x: F.array_contains(F.element_at("dealt", (F.pmod(x["name"], F.size("dealt").cast("long")) + 1).cast("int")), x["name"])
+    stays = F.transform(F.filter(named, lambda x: x["name"].isNull() | ~gone(x)), lambda x: x["line"])
+    both = both.withColumn("stay", F.when(F.col("dealt").isNull(), lines).otherwise(stays))
     text = F.col("row.text")
     n_lines = F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long")
     n_dropped = F.when(text.isNull(), 0).otherwise(F.size(lines) - F.size("stay")).cast("long")
