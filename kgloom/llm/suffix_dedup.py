@@ -45,6 +45,7 @@ from kgloom.llm.common import documents, written
 
 LENGTH, GRAM = 50, 16
 _CHUNK = 4 << 20
+PART_BYTES = 8 << 20
 _LAST = (1 << 63) - 1
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -446,7 +447,7 @@ def _settled(docs: DataFrame, columns, length: int, gram: int, parts: int | None
         docs.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, parts: int | None = None, part_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, parts: int | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): each document's removed [start, stop) byte spans and the bytes that stay."""
     return _settled(docs, ["doc_id", "n_bytes", "spans", "kept"], length, gram, parts, part_bytes)
 
@@ -454,7 +455,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, part
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     removed = F.col("n_bytes") - F.octet_length("kept")
     digests = ["doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")]
-    return _settled(documents(spark, sf_dir), digests, LENGTH, GRAM, None, 32 << 20)
+    return _settled(documents(spark, sf_dir), digests, LENGTH, GRAM, None, PART_BYTES)
 
 
 QUERIES = {"op8_suffix_dedup": op8_suffix_dedup}
