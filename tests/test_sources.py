@@ -151,11 +151,11 @@ def test_datasets(spark, tmp_path):
     (tmp_path / "folds" / "other.csv").write_text("a\n1\n")
     got = datasets.fold_results(spark, str(tmp_path / "folds"))
     assert sorted((r.item, r.fold, r.detail) for r in got.collect()) == [("i1", 1, 0), ("i2", 2, 0)]
-    known = datasets.Registry(datasets.DatasetSpec("MUTAG", "m.nt", "label", "bond", exclude=("p",)))
-    assert known["mutag_tff"].item == "bond" == known.item("MUTAG1") and known["Mutag"].skip("q") == ["p", "q"]
-    assert known.with_paths("/d")["mutag"].graph == "/d/m.nt"
+    known = datasets.Registry(datasets.DatasetSpec("TOYS", "m.nt", "label", "bond", exclude=("p",)))
+    assert known["toys_tff"].item == "bond" == known.item("TOYS1") and known["Toys"].skip("q") == ["p", "q"]
+    assert known.with_paths("/d")["toys"].graph == "/d/m.nt"
     with pytest.raises(KeyError, match="unknown dataset"):
-        known["aifb"]
+        known["none"]
     assert datasets.missing_files(spark, str(tmp_path / "hard.csv"), str(tmp_path / "gone")) == [str(tmp_path / "gone")]
 
 
