@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import join_hot, written
+from kgloom.llm.common import beside, chosen, join_hot, written
 from kgloom.llm.components import components
 from kgloom.llm.simhash import bridges, met
 
@@ -98,25 +98,29 @@ def _lists(rows: list) -> pa.Array:
 
 
 def wide_fingerprints(rows: DataFrame, width: int = 5, words: int = WORDS, few: int = FEW) -> DataFrame:
-    """(row, key, fp, few) of (row, text) rows: the shingle set's SHA-256 and fingerprint, and the set itself if it has no more than `few` shingles."""
+    """(row, doc_id, key, fp, few) of (row, doc_id, text) rows: the shingle set's SHA-256 and fingerprint, and the set itself if it has no more than `few` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(x.as_py() or b"", width) for x in batch.column("text").cast(pa.binary())]
             keys = pa.array([hashlib.sha256(x.tobytes()).digest() for x in sets], pa.binary())
             small = [x if len(x) <= few else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), keys, _lists([fingerprint_of(x, words) for x in sets]), _lists(small)], names=["row", "key", "fp", "few"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), keys, _lists([fingerprint_of(x, words) for x in sets]), _lists(small)], names=["row", "doc_id", "key", "fp", "few"])
 
-    return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, key binary, fp array<long>, few array<long>")
+    texts = rows.select("row", "doc_id", F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(run, "row long, doc_id long, key binary, fp array<long>, few array<long>")
 
 
-def shingle_sets(rows: DataFrame, width: int = 5) -> DataFrame:
-    """(row, shingles) of (row, text) rows."""
+def shingle_sets(rows: DataFrame, of: DataFrame, width: int = 5) -> DataFrame:
+    """(row, shingles) of those (row, text) rows that `of` has the numbers of. Texts stay where they are; the numbers come to them."""
+    folder = beside(of, "wide-asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = chosen(folder)
         for batch in batches:
-            for row, text in zip(batch.column("row"), batch.column("text").cast(pa.binary()), strict=True):
-                yield pa.RecordBatch.from_arrays([pa.array([row.as_py()], pa.int64()), _lists([shingles(text.as_py() or b"", width)])], names=["row", "shingles"])
+            for k in np.flatnonzero(among(batch.column("row").to_numpy())).tolist():
+                text = batch.column("text")[k].as_py() or ""
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(k, 1), _lists([shingles(text.encode(), width)])], names=["row", "shingles"])
 
     return rows.select("row", F.col("text").cast("string").alias("text")).mapInArrow(run, "row long, shingles array<long>")
 
@@ -275,7 +279,7 @@ def few_links(nodes: DataFrame, similarity: float, block: int = 4096) -> DataFra
 
 def apart_links(rest: DataFrame, rows: DataFrame, similarity: float, width: int = 5, block: int = 1 << 20) -> DataFrame:
     """(node, loose, label) rows to (u, v) links that join all alike sets of equal `loose`, beside what equal labels join. Pairs of blocks of about `block` shingles meet."""
-    sets = shingle_sets(rows.join(rest.select(F.col("node").alias("row")), "row", "left_semi"), width)
+    sets = shingle_sets(rows, rest.select(F.col("node").alias("row")), width)
     held = written(sets.join(rest, sets["row"] == rest["node"]).select("loose", "node", "label", "shingles"), "wide-apart-sets")
     sizes = written(held.groupBy("loose").agg(F.sum(F.size("shingles")).alias("n"), F.count("*").alias("rows")), "wide-apart-sizes")
     blocks = F.ceil(F.col("sizes.n") / F.lit(block)).cast("long")
@@ -289,7 +293,7 @@ def apart_links(rest: DataFrame, rows: DataFrame, similarity: float, width: int
 def verified(links: DataFrame, rows: DataFrame, similarity: float, width: int = 5) -> DataFrame:
     """The links whose ends' whole shingle sets have this Jaccard similarity. Only texts that have a link are cut into shingles again. Ends are rows' numbers."""
     ends = links.select(F.col("u").alias("row")).unionByName(links.select(F.col("v").alias("row"))).distinct()
-    sets = written(shingle_sets(rows.join(ends, "row", "left_semi"), width), "wide-sets")
+    sets = written(shingle_sets(rows, ends, width), "wide-sets")
     one, two = (sets.select(F.col("row").alias(c), F.col("shingles").alias(f"s{c}")) for c in "uv")
     common = F.size(F.array_intersect("su", "sv"))
     return links.join(one, "u").join(two, "v").where(_alike(common, F.size("su"), F.size("sv"), similarity)).select("u", "v").distinct()
@@ -317,8 +321,8 @@ def alike_links(rows: DataFrame, nodes: DataFrame, similarity: float = 0.8, widt
     # What the forest joined and the sets took apart again may hold alike pairs that the forest left out.
     both = _labelled(_labelled(nodes.select("node"), forest, "loose"), sure, "label")
     both = written(both, "wide-labels")
-    apart = both.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("loose")
-    rest = written(both.join(apart, "loose", "left_semi"), "wide-apart")
+    apart = both.groupBy("loose").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a < b")
+    rest = written(join_hot(both, written(apart.select("loose", "n"), "wide-loose"), ["loose"], "n", "met").where("met IS NOT NULL").drop("met"), "wide-apart")
     return sure.unionByName(apart_links(rest, rows, similarity, width))
 
 
@@ -333,8 +337,7 @@ def _groups(rows: DataFrame, similarity: float, width: int, words: int, expect:
     nodes = written(found.groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("rows"), F.first("fp").alias("fp"), F.first("few").alias("few")), "wide-nodes")
     joined = components(alike_links(texts, nodes.select("node", "fp", "few"), similarity, width, words, expect))
     of = written(nodes.join(joined, "node", "left").select("key", F.coalesce("component", "node").alias("component"), "rows"), "wide-components")
-    each = join_hot(found.select("row", "key"), of, ["key"], "rows", "of").select("row", "of.component").join(texts.select("row", "doc_id"), "row")
-    each = written(each, "wide-members")
+    each = written(join_hot(found.select("row", "doc_id", "key"), of, ["key"], "rows", "of").select("row", "doc_id", "of.component"), "wide-members")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
     names = each.groupBy("component").agg(first, F.count("*").alias("rows")).select("component", F.col("first.doc_id").alias("id"), F.col("first.row").alias("row"), "rows")
     return each, written(names, "wide-names")
@@ -350,4 +353,11 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
     """One row of each group, with all its columns: of those with its smallest doc_id (nulls last) the first as the table is read."""
     rows = _numbered(docs)
     _, names = _groups(rows, similarity, width, WORDS, None)
-    return rows.join(names.select("row"), "row", "left_semi").select("whole.*")
+    folder = beside(names.select("row"), "wide-kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        among = chosen(folder)
+        for batch in batches:
+            yield batch.filter(pa.array(among(batch.column("row").to_numpy())))
+
+    return rows.mapInArrow(run, rows.schema).select("whole.*")
