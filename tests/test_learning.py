@@ -57,12 +57,12 @@ def test_random_draws_follow_the_weights(spark):
 
 @pytest.mark.parametrize("semantics", ["clean", "reference"])
 def test_boosting_learns_and_reruns_agree(spark, semantics):
-    data = rows(spark)
-    found = learning.cross_validate(data, learning.boosted(3, 3, 1.0, 5, semantics), 3).collect()
-    assert len(found) == 60 and sum(r.detail for r in found) >= 57
+    data = rows(spark).withColumn("fold", F.col("id") % 2)
+    found = learning.cross_validate(data, learning.boosted(3, 2, 1.0, 5, semantics), 2).collect()
+    assert len(found) == 60 and sum(r.detail for r in found) >= 54
     data = learning.difficulty_loss(data, 1.0)
-    one, two = (learning.Booster(3, 3, seed=2, semantics=semantics).fit(data) for _ in range(2))
-    assert one.alphas == two.alphas and len(one.alphas) == 3
+    one, two = (learning.Booster(3, 2, seed=2, semantics=semantics).fit(data) for _ in range(2))
+    assert one.alphas == two.alphas and len(one.alphas) == 2
     said = one.predict(data).select("id", "predict", "label").collect()
     assert sum(r.predict == r.label for r in said) >= 57
 
