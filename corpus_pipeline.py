@@ -6,13 +6,34 @@ Parquet and read again as the next stage's docs. All but the last return the col
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.llm import bpe, line_dedup, mixing, quality, wide_simhash
-from kgloom.llm.common import written
+from kgloom.llm.common import forget, release, tables, written
+
+
+_BEFORE: set[str] = set()
+
+
+def _staged(work):
+    """A stage that begins by deleting the intermediate tables of the stage before, whose result has been written by then; tables that its own input reads stay."""
+
+    @functools.wraps(work)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(_BEFORE, docs)
+        _BEFORE.clear()
+        there = tables()
+        found = work(spark, docs, sf_dir)
+        _BEFORE.update(tables() - there)
+        return found
+
+    return stage
 
 
+@_staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose best grade is unlikely go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -25,6 +46,7 @@ def _lines(text: Column) -> Column:
     return F.array_distinct(F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))))
 
 
+@_staged
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go. A document that only had such lines goes with them if each stands literally in a document that stays, and else stays whole: lines of one template may have different values."""
     cut = line_dedup.dedup(docs, constants=True, whole="__whole").withColumn("__row", F.monotonically_increasing_id())
@@ -38,16 +60,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return stays.unionByName(back).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_staged
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, a similarity of 0.8 or more."""
     return wide_simhash.keep_first(docs)
 
 
+@_staged
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their source's target weight asks for."""
     return mixing.mix(docs)
 
 
+@_staged
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
     coded = bpe.encode(docs, bpe.default_tokenizer())
@@ -63,7 +88,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        done = written(stage(spark, docs, sf_dir), name)
+        forget(docs)
+        docs = done
     return docs
 
 
