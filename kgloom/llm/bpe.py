@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgloom.llm.common import documents, text_or_empty, written
+from kgloom.llm.common import documents, eased, text_or_empty, written
 
 # Fixed value: the pattern by which byte-level BPE splits text before merging; \s is written as the Unicode property.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -437,7 +437,7 @@ def word_counts(docs: DataFrame, vocabulary, flush_at: int = 300_000) -> DataFra
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
 
-        for batch in batches:
+        for batch in eased(batches):
             for text in batch.column("text"):
                 for piece in encoder.pieces(text.as_py()):
                     seen.update(encoder.words(piece))
@@ -475,7 +475,7 @@ def encode(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 16) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(table.value, compiled.value)
-        for batch in batches:
+        for batch in eased(batches):
             held: list[np.ndarray] = []  # of a row that isn't finished
             for first, stop, ids, bounds, whole in encoder.encode_rows(batch.column("text")):
                 ids = np.concatenate([*held, ids])
@@ -497,7 +497,7 @@ def decode(coded: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Packed(table.value.pieces)
-        for batch in batches:
+        for batch in eased(batches):
             texts = [pieces.join(x.values.to_numpy()).tobytes().decode("utf-8", "replace") if x.is_valid else "" for x in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
@@ -530,7 +530,7 @@ def round_trip(docs: DataFrame, tokenizer: str, lexicon_size: int = 1 << 16) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(table.value, compiled.value)
         pieces, numbers = Packed(table.value.pieces), Packed([b",%d" % k for k in range(len(table.value.pieces))])
-        for batch in batches:
+        for batch in eased(batches):
             out, held = [], None
             for _, _, ids, bounds, whole in encoder.encode_rows(batch.column("text")):
                 last = len(bounds) - 2

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import documents, join_hot, written
+from kgloom.llm.common import documents, eased, join_hot, written
 from kgloom.llm.components import components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, width: int = 3, seed: int = SEED) -> DataFrame
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in eased(batches):
             texts = batch.column("text").cast(pa.binary())
             fps = np.fromiter((fingerprint(x.as_py() or b"", width, seed) for x in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgloom.llm.common import beside, chosen, join_hot, written
+from kgloom.llm.common import beside, chosen, eased, join_hot, written
 from kgloom.llm.components import components
 from kgloom.llm.simhash import bridges, met
 
@@ -101,7 +101,7 @@ def wide_fingerprints(rows: DataFrame, width: int = 5, words: int = WORDS, few:
     """(row, doc_id, key, fp, few) of (row, doc_id, text) rows: the shingle set's SHA-256 and fingerprint, and the set itself if it has no more than `few` shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in eased(batches):
             sets = [shingles(x.as_py() or b"", width) for x in batch.column("text").cast(pa.binary())]
             keys = pa.array([hashlib.sha256(x.tobytes()).digest() for x in sets], pa.binary())
             small = [x if len(x) <= few else None for x in sets]
@@ -117,7 +117,7 @@ def shingle_sets(rows: DataFrame, of: DataFrame, width: int = 5) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = chosen(folder)
-        for batch in batches:
+        for batch in eased(batches):
             for k in np.flatnonzero(among(batch.column("row").to_numpy())).tolist():
                 text = batch.column("text")[k].as_py() or ""
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(k, 1), _lists([shingles(text.encode(), width)])], names=["row", "shingles"])
@@ -357,7 +357,7 @@ def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         among = chosen(folder)
-        for batch in batches:
+        for batch in eased(batches):
             yield batch.filter(pa.array(among(batch.column("row").to_numpy())))
 
     return rows.mapInArrow(run, rows.schema).select("whole.*")
