@@ -14,7 +14,8 @@ To do so over all documents without a row per byte:
 2. Contexts. For anchors that recur, chunks send two 64-bit hashes of the anchor's context (all bytes that windows around
    it can cover) to the part of the context, and those of its two half windows to the parts of these. Parts answer: an
    earlier document has the whole context, or another context has this half. Any window has one half or the other.
-3. Refinement. Contexts that are the first of their kind and share a half are sent as bytes to the part of the half. Each
+3. Refinement. Contexts that are the first of their kind and share a half are sent as bytes, as far as windows with that
+   half reach, to the part of the half. Each
    part refines its buckets by bucket pointers to depth `length` and gives, for each window, the smallest document.
 4. Chunks put the windows together, remove what they cover, and give the rest.
 
@@ -372,11 +373,17 @@ def _kept(docs: DataFrame, length: int, gram: int, parts: int | None, part_bytes
         for row, c in _chunks(batches, length, gram):
             x, out = known(row, c), []
             for p, ends in enumerate(zip(*x.open_routes, strict=True)):
-                at = np.concatenate([rows[e] for e, (rows, _) in zip(ends, x.open, strict=True)])
-                if len(at):
-                    start, left, size = c.contexts(x.lead[at], length, gram)
-                    texts = b"".join(c.data[s : s + n] for s, n in zip(start.tolist(), size.tolist(), strict=True))
-                    out.append((row["chunk"], p, _blob(np.array([len(at)]), x.doc[at], left, size) + texts))
+                heads, texts = [], []
+                for k, (e, (rows, _)) in enumerate(zip(ends, x.open, strict=True)):
+                    start, left, size = c.contexts(x.lead[rows[e]], length, gram)
+                    # Of each side only what windows that hold its half can cover.
+                    cut = np.maximum(left - (side - half), 0) if k else np.zeros(len(e), np.int64)
+                    start, left = start + cut, left - cut
+                    size = size - cut if k else np.minimum(size, left + gram + side - half)
+                    heads.append((x.doc[rows[e]], left, size))
+                    texts += [c.data[s : s + n] for s, n in zip(start.tolist(), size.tolist(), strict=True)]
+                if texts:
+                    out.append((row["chunk"], p, _blob(np.array([len(texts)]), *map(np.concatenate, zip(*heads, strict=True))) + b"".join(texts)))
             if out:
                 yield sent(out)
 

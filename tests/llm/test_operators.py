@@ -184,6 +184,36 @@ def test_suffix_dedup(spark):
     assert suffix_dedup.remove_repeats(none(spark)).count() == 0
 
 
+def test_suffix_dedup_of_overlapping_passages(spark):
+    r = random.Random(21)
+    base = ["".join(r.choice("abc d") for _ in range(r.randrange(40, 130))) for _ in range(12)]
+    rows = []
+    for k in range(150):
+        text = ""
+        for _ in range(r.randrange(5)):
+            passage = r.choice(base)
+            a = r.randrange(len(passage) // 2)
+            text += passage[a : a + r.randrange(30, 120)] + "".join(r.choice("xyé ") for _ in range(r.randrange(12)))
+        rows.append((r.choice((k, k // 2, None)), text))
+    last, first, want = 1 << 62, {}, []
+    for d, t in rows:
+        b = t.encode()
+        for i in range(len(b) - 49):
+            first[b[i : i + 50]] = min(last if d is None else d, first.get(b[i : i + 50], last))
+    for d, t in rows:
+        b = t.encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - 49):
+            if first[b[i : i + 50]] < (last if d is None else d):
+                gone[i : i + 50] = b"\1" * 50
+        want.append((str(d), len(b), bytes(x for x, y in zip(b, gone, strict=True) if not y)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for parts in (3, 40):
+        got = sorted((str(x.doc_id), x.n_bytes, bytes(x.kept)) for x in suffix_dedup.remove_repeats(docs, parts=parts).collect())
+        assert got == sorted(want)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("kgloom_chunks")]
+
+
 def test_refine_orders_suffixes():
     r = random.Random(2)
     data = bytes(r.choice(b"ab") for _ in range(400)) + bytes(50)
