@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgloom.operators import expand
+from kgloom.shared import written
 
 
 def entity_triples(triples: DataFrame, entity: str) -> DataFrame:
@@ -48,9 +49,15 @@ def upsert(nbh: DataFrame, fresh: DataFrame, nodes: DataFrame) -> DataFrame:
     return nbh.join(nodes.select("noi").distinct(), "noi", "left_anti").unionByName(fresh)
 
 
-def refreshed(old: DataFrame, nbh: DataFrame, nodes: DataFrame, changed: DataFrame, new: DataFrame, depth: int, skip: list[str] | None = None) -> DataFrame:
-    """The neighbourhoods after a change of the graph from `old` to `new` that touched the (node) entities `changed`: only
-    nodes within `depth` of them, before or after, are worked out again; the others keep their rows of nbh."""
+def refreshed_walks(old: DataFrame, walks: expand.Walks, nodes: DataFrame, changed: DataFrame, new: DataFrame, depth: int, skip: list[str] | None = None) -> expand.Walks:
+    """The walks after a change of the graph from `old` to `new` that touched the (node) entities `changed`: only nodes
+    within `depth` of them, before or after, are worked out again; the others keep theirs."""
+    changed = written(changed, "changed")
     near = expand.affected(old, changed, depth).unionByName(expand.affected(new, changed, depth)).where("NOT is_lit").select("node").distinct()
-    again = nodes.join(near, F.col("noi") == F.col("node"), "left_semi").select("noi")
-    return upsert(nbh, expand.expand(new, again, depth, skip), again)
+    again = written(nodes.join(near, F.col("noi") == F.col("node"), "left_semi").select("noi").distinct(), "again")
+    return walks.without(again).plus(expand.walks(new, again, depth, skip))
+
+
+def refreshed(old: DataFrame, nbh: DataFrame, nodes: DataFrame, changed: DataFrame, new: DataFrame, depth: int, skip: list[str] | None = None) -> DataFrame:
+    """The rows of `refreshed_walks` for the listed neighbourhoods nbh."""
+    return refreshed_walks(old, expand.Walks(nbh), nodes, changed, new, depth, skip).rows()

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from kgloom.operators import expand as graph
+from kgloom.operators import mutate
 from kgloom.plans import catalog
 
 SCHEMA = "s string, p string, o string, is_lit boolean"
@@ -103,3 +104,21 @@ def test_depth2_over_a_hub(spark, hub):
 def test_marked_walks_over_a_hub(spark, hub):
     names = {"inNation.inNation": "inNation.^inNation", "orderedBy": "^orderedBy", "orderedBy.orderedBy": "^orderedBy.orderedBy", "orderedBy.priority": "^orderedBy.priority", "orderedBy.status": "^orderedBy.status"}
     assert sums(catalog.queries()["g1_marked"](spark, hub)) == {names.get(path, path): n for path, n in SUMS.items()}
+
+
+def test_walks_without_a_hub_that_went(spark, hub):
+    """Nation 3 goes, and with it the neighbourhoods of all its customers but one's orders; the ten of nation 4 stay as they were."""
+    stay = {"inNation": (10, 10), "inNation.inNation": (110, 110), "inNation.inRegion": (10, 10), "inNation.name": (10, 10)}
+    assert sums(catalog.queries()["m5_incremental"](spark, hub)) == {path: stay.get(path, n) for path, n in SUMS.items()}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_walks_after_a_change_are_those_of_the_new_graph(spark, seed):
+    rows, nodes = some_graph(seed), ["a", "b", "c", "h"]
+    left = [r for r in rows if "b" not in r[0].split(" ") and (r[3] or "b" not in r[2].split(" "))]
+    frames = [spark.createDataFrame(x, SCHEMA) for x in (rows, left)]
+    noi, gone = spark.createDataFrame([(n,) for n in nodes], "noi string"), spark.createDataFrame([(x,) for x in ("b", "a b")], "node string")
+    got = mutate.refreshed_walks(frames[0], graph.walks(frames[0], noi, 2), noi, gone, frames[1], 2)
+    want = listed(left, nodes, 2)
+    assert {(r.noi, r.path, r.value, r.is_lit): r.mult for r in got.rows().collect()} == want
+    assert {r.path: (r.n_rows, r.n_walks) for r in got.by_path().collect()} == by_path(want)
