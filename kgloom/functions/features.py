@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.expand import Walks, joined_path, of_nodes
 from kgloom.shared import written
 
 
@@ -22,6 +23,20 @@ def counts(nbh: DataFrame) -> DataFrame:
     return one.where("n > 1").select("noi", name.alias("path"), F.col("n").cast("string").alias("value")).unionByName(all_.select("noi", F.concat(F.lit("count."), F.col("path")).alias("path"), F.col("n").cast("string").alias("value")))
 
 
+def walk_counts(walks: Walks) -> DataFrame:
+    """The counts of all the walks' rows. Of a fan only what is counted over 1 is listed: ends of equal edges, ends of a front with several walks, and sums by path."""
+    found = counts(walks.listed)
+    for front, links in walks.fans:
+        nodes = written(front.select("node").distinct(), "heads")
+        one = written(of_nodes(links, nodes).groupBy("src", "p", "dst").agg(F.sum("m").alias("m")), "ends")
+        sums = written(one.groupBy("src", "p").agg(F.sum("m").alias("m")), "sums")
+        met = lambda part, ends: part.join(ends, F.col("node") == F.col("src")).select("noi", joined_path().alias("path"), *(["dst"] if "dst" in ends.columns else []), (F.col("mult") * F.col("m")).alias("n"))
+        several = met(front.where("mult = 1"), written(one.where("m > 1"), "ends")).unionByName(met(front.where("mult > 1"), one))
+        found = found.unionByName(several.select("noi", F.concat_ws(".", F.lit("count"), "path", "dst").alias("path"), F.col("n").cast("string").alias("value")))
+        found = found.unionByName(met(front, sums).where("n > 1").select("noi", F.concat(F.lit("count."), F.col("path")).alias("path"), F.col("n").cast("string").alias("value")))
+    return found
+
+
 def with_counts(nbh: DataFrame) -> DataFrame:
     """The neighbourhood with its count features as further literal paths, each of multiplicity 1."""
     return nbh.unionByName(counts(nbh).select("noi", "path", "value", F.lit(True).alias("is_lit"), F.lit(1).cast("long").alias("mult")))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from kgloom.functions import features
 from kgloom.operators import expand as graph
 from kgloom.operators import mutate
 from kgloom.plans import catalog
@@ -122,3 +123,23 @@ def test_walks_after_a_change_are_those_of_the_new_graph(spark, seed):
     want = listed(left, nodes, 2)
     assert {(r.noi, r.path, r.value, r.is_lit): r.mult for r in got.rows().collect()} == want
     assert {r.path: (r.n_rows, r.n_walks) for r in got.by_path().collect()} == by_path(want)
+
+
+@pytest.mark.parametrize(("seed", "depth"), [(7, 1), (8, 2), (9, 2)])
+def test_counts_of_walks_are_those_of_the_rows(spark, seed, depth):
+    rows, nodes = some_graph(seed) + some_graph(seed)[:3], ["a", "b", "c", "h"]
+    found = graph.walks(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(n,) for n in nodes], "noi string"), depth)
+    want = Counter()
+    for (noi, path, value, _), n in listed(rows, nodes, depth).items():
+        want[noi, f"count.{path}.{value}"] += n
+        want[noi, f"count.{path}"] += n
+    assert Counter(map(tuple, features.walk_counts(found).collect())) == Counter((*key, str(n)) for key, n in want.items() if n > 1)
+
+
+def test_counts_over_a_hub(spark, hub):
+    got = catalog.queries()["a1_counts"](spark, hub)
+    assert Counter((r.path, r.value, r["count"]) for r in got.groupBy("path", "value").count().collect()) == Counter([
+        ("count.inNation.inNation", str(HUB + 1), HUB), ("count.inNation.inNation", "11", 10),
+        ("count.orderedBy", "3", 1), ("count.orderedBy.orderedBy", "3", 1), ("count.orderedBy.orderedBy.customer/7", "3", 1), ("count.orderedBy.priority", "3", 1),
+        ("count.orderedBy.priority.LOW", "2", 1), ("count.orderedBy.status", "3", 1), ("count.orderedBy.status.F", "2", 1),
+    ])
